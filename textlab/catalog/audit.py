@@ -45,6 +45,18 @@ VERDICT_SQL = f"""with g as (select source, {norm_sql('text')} as k, count(*) as
   select s.source, coalesce(w.c, 0) as total_warnings, coalesce(w.c, 0) = 0 as passed
   from (select distinct source from documents) s left join w using (source)"""
 
+FLAGSHIP_SQL = f"""with docs as (select * from documents where lang is not null and text is not null and {strip_sql('text')} <> ''
+    qualify row_number() over (partition by text order by doc_id) = 1),
+  g as (select {norm_sql('text')} as k, count(*) as n, count(distinct lang) as n_labels from docs group by 1),
+  c as (select lang as label, count(*) as n from docs group by 1),
+  found as (select 'short texts' as measure, '' as subject, count(*) as n from docs where length({strip_sql('text')}) < 5
+    union all select 'near duplicates', '', sum(n) from g where n > 1
+    union all select 'label conflicts', '', count(*) from g where n_labels > 1
+    union all select 'tiny class', label, n from c where n < 20)
+select 'rows' as measure, label as subject, cast(n as double) as value from c
+union all select 'weight', label, round(min(n) over () / n, 6) from c
+union all select measure, subject, cast(n as double) from found where n > 0"""
+
 QUERIES = {
     "q1_short_texts": (
         lambda s, d: rounded(q.short_texts(documents(s, d), "text", by="lang")),

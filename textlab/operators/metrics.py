@@ -210,12 +210,12 @@ def majority_baseline_multilabel(df: DataFrame, labels: str, by=()) -> DataFrame
     base = counts.groupBy(*by).agg(
         F.array_sort(frequent).alias("predicted"), F.max(prevalence).alias("majority_share")
     )
+    told = df.select(*by, F.col(labels).alias("labels"))
     if by:
-        told = join_on(df, base, by)
+        told = join_on(told, base, by)
     else:
-        told = df.withColumn("_b", base.select(F.struct("predicted", "majority_share")).scalar())
-        told = told.select(*df.columns, "_b.*")
-    told = told.withColumn("labels", F.col(labels))
+        told = told.withColumn("_b", base.select(F.struct("predicted", "majority_share")).scalar())
+        told = told.select("labels", "_b.*")
     scores = metrics_multilabel(told, [*by, "majority_share"])
     return scores.select(*by, "majority_share", "accuracy", "f1")
 

@@ -67,7 +67,7 @@ def decode_multilabel(scored: DataFrame, names: str = "names", p: str = "p") ->
     pairs = F.arrays_zip(F.col(names).alias("name"), F.col(p).alias("p"))
     chosen = F.filter(pairs, lambda x: x["p"] >= THRESHOLD)
     joined = F.array_join(F.transform(chosen, lambda x: x["name"]), ", ")
-    detail = F.transform(chosen, lambda x: F.format_string("%s=%.1f%%", x["name"], x["p"] * 100))
+    detail = F.transform(chosen, lambda x: F.format_string("%s=%.1f%%", x["name"], F.bround(x["p"] * 100, 1)))
     return scored.select(
         *scored.columns,
         F.when(joined == "", NO_LABEL).otherwise(joined).alias("predicted_label"),

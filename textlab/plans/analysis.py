@@ -1,7 +1,8 @@
 """Dataset analysis: measurements of a table and the training decisions they lead to.
 
 Each function adds columns to one row per group, so a whole table and any number of segments
-are analysed by the same plan.
+are analysed by the same plan. Numbers in texts are rounded half to even before formatting,
+which by itself rounds half up.
 """
 
 from __future__ import annotations
@@ -148,9 +149,9 @@ def run_recommendations(table: DataFrame) -> DataFrame:
     skewed = ratio > rules.CV_IMBALANCE
     reason = (
         F.when(tiny, F.format_string("%d rows leave only %d to validate on", n, held))
-        .when(small & skewed, F.format_string("%d validation rows, imbalance %.1f", held, ratio))
+        .when(small & skewed, F.format_string("%d validation rows, imbalance %.1f", held, F.bround(ratio, 1)))
         .when(small, F.format_string("%d validation rows are few", held))
-        .when(skewed, F.format_string("class imbalance is %.1f", ratio))
+        .when(skewed, F.format_string("class imbalance is %.1f", F.bround(ratio, 1)))
         .when(n > rules.CV_LARGE_ROWS, F.format_string("%d validation rows are reliable", held))
         .otherwise(F.format_string("%d validation rows are adequate", held))
     )
@@ -164,7 +165,9 @@ def run_recommendations(table: DataFrame) -> DataFrame:
         reason.alias("cv_reason"),
         rules.by_tier(size, lambda t: t.search).alias("use_search"),
         rules.by_tier(size, lambda t: t.trials).alias("search_trials"),
-        F.format_string("%.0f labels per class, tier %s", "labels_per_class", "strategy").alias("search_reason"),
+        F.format_string(
+            "%.0f labels per class, tier %s", F.bround("labels_per_class", 0), "strategy"
+        ).alias("search_reason"),
     )
 
 
@@ -245,21 +248,21 @@ def decision_log(analysis: DataFrame, by=()) -> DataFrame:
         entry(2, "class_imbalance",
               F.when(weighted, "class weights on").otherwise("class weights off"),
               F.format_string("ratio %.2f, smallest class %.1f%% of the rows; on above %.1f",
-                              ratio, F.col("minority_share") * 100, F.lit(WEIGHT_RATIO)),
+                              F.bround(ratio, 2), F.bround(F.col("minority_share") * 100, 1), F.lit(WEIGHT_RATIO)),
               weighted.cast("string"),
               F.when(weighted, texts()).otherwise(texts("class weights on"))),
         entry(3, "class_imbalance", F.lit("focal loss on"),
-              F.format_string("ratio %.2f is above %.1f", ratio, F.lit(FOCAL_RATIO)),
+              F.format_string("ratio %.2f is above %.1f", F.bround(ratio, 2), F.lit(FOCAL_RATIO)),
               F.lit("true"), texts(), when=F.col("use_focal_loss")),
         entry(4, "sequence_length", F.format_string("maximum length %d", "max_length"),
-              F.format_string("p95 is %d, average %.0f, limits %d to %d", F.col("p95_raw"), F.col("avg_length"),
+              F.format_string("p95 is %d, average %.0f, limits %d to %d", F.col("p95_raw"), F.bround("avg_length", 0),
                               F.lit(rules.MIN_LENGTH), F.lit(rules.MAX_LENGTH)),
               F.col("max_length").cast("string"), texts()),
         entry(5, "model_selection", F.concat(F.lit("candidates "), F.array_join("models", ", ")),
               F.format_string("%d rows, tier %s", "n_rows", "strategy"), F.array_join("models", ","),
               F.when(F.size(unused) > 0, unused).otherwise(texts("(all selected)"))),
         entry(6, "hyperparameters", F.format_string("settings of tier %s", "strategy"),
-              F.format_string("%.0f rows per class, ratio %.2f", "rows_per_class", "imbalance_ratio"),
+              F.format_string("%.0f rows per class, ratio %.2f", F.bround("rows_per_class", 0), F.bround(ratio, 2)),
               F.to_json(F.struct("strategy", "epochs_min", "epochs_max", "learning_rate", "batch_size",
                                  "weight_decay", "patience")),
               texts()),

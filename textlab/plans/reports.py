@@ -15,7 +15,7 @@ COLUMNS = ["section", "ord", "key", "value"]
 
 
 def _number(value: Column, places: int = 4) -> Column:
-    return F.format_string(f"%.{places}f", value.cast("double"))
+    return F.format_string(f"%.{places}f", F.bround(value.cast("double"), places))
 
 
 def _rows(df: DataFrame, section: str, order, key: Column, value: Column) -> DataFrame:
