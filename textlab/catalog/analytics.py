@@ -75,13 +75,13 @@ FACTS_SQL = f"""{LANG_COUNTS}, k as (select source, count(*) as num_classes, cas
 RECOMMEND_SQL = f"""rec as (select *, {VAL_SPLIT_SQL} as val_share, cast(floor(n_rows * {VAL_SPLIT_SQL}) as bigint) as val_rows from conf),
   told as (select *, val_rows < 120 or imbalance_ratio > 5 as use_cv, 5 as cv_folds,
     case when val_rows < 60 then printf('%d rows leave only %d to validate on', n_rows, val_rows)
-      when val_rows < 120 and imbalance_ratio > 5 then printf('%d validation rows, imbalance %.1f', val_rows, imbalance_ratio)
+      when val_rows < 120 and imbalance_ratio > 5 then printf('%d validation rows, largest class %d, smallest %d', val_rows, max_class, min_class)
       when val_rows < 120 then printf('%d validation rows are few', val_rows)
-      when imbalance_ratio > 5 then printf('class imbalance is %.1f', imbalance_ratio)
+      when imbalance_ratio > 5 then printf('classes are uneven: largest class %d, smallest %d', max_class, min_class)
       when n_rows > 5000 then printf('%d validation rows are reliable', val_rows)
       else printf('%d validation rows are adequate', val_rows) end as cv_reason,
     {pick(False, False, True, True)} as use_search, {pick(3, 5, 8, 10)} as search_trials,
-    printf('%.0f labels per class, tier %s', labels_per_class, strategy) as search_reason from rec)"""
+    printf('%d labels in %d classes, tier %s', label_count, num_classes, strategy) as search_reason from rec)"""
 
 ANALYSIS_SQL = f"""{FACTS_SQL}, conf as (select *, {MODELS_SQL} as models, {CONFIG_SQL} from facts), {RECOMMEND_SQL}"""
 
@@ -275,13 +275,13 @@ QUERIES = {
         select 1 as decision_no, 'task_detection' as category, 'task is ' || task_type as decision,
           printf('%d classes; two are binary, more are multiclass', num_classes) as reason from told
         union all select 2, 'class_imbalance', case when use_class_weights then 'class weights on' else 'class weights off' end,
-          printf('ratio %.2f, smallest class %.1f%% of the rows; on above 2.0', imbalance_ratio, minority_share * 100) from told
-        union all select 3, 'class_imbalance', 'focal loss on', printf('ratio %.2f is above 5.0', imbalance_ratio) from told where use_focal_loss
+          printf('largest class %d, smallest %d of %d rows; on above a ratio of 2', max_class, min_class, n_rows) from told
+        union all select 3, 'class_imbalance', 'focal loss on', printf('%d to %d is above a ratio of 5', max_class, min_class) from told where use_focal_loss
         union all select 4, 'sequence_length', 'maximum length ' || max_length,
-          printf('p95 is %d, average %.0f, limits 16 to 512', p95_raw, avg_length) from told
+          printf('p95 is %d, limits are 16 to 512', p95_raw) from told
         union all select 5, 'model_selection', 'candidates ' || array_to_string(models, ', '), printf('%d rows, tier %s', n_rows, strategy) from told
         union all select 6, 'hyperparameters', 'settings of tier ' || strategy,
-          printf('%.0f rows per class, ratio %.2f', rows_per_class, imbalance_ratio) from told""",
+          printf('%d rows in %d classes, %d in the smallest', n_rows, num_classes, min_class) from told""",
     ),
     "j1_attach_weights": (
         lambda s, d: rounded(o.attach_weights(documents(s, d).select("doc_id", "lang"), o.class_weights(documents(s, d).filter("lang <> 'es'"), "lang"), "lang")),

@@ -98,10 +98,13 @@ def u2(s, d):
 def r8(s, d):
     """Events per type and day, read as a stream; windows the watermark has passed."""
     schema = load(s, d, "events").schema
-    stream = file_stream(s, d, schema, "events.parquet").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    epoch = "timestamp_ntz '1970-01-01 00:00:00'"
+    utc = F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, {epoch}, cast(ts as timestamp_ntz)))")
+    stream = file_stream(s, d, schema, "events.parquet").select("event_type", utc.alias("ts"))
     path = work_path(s, "distribution")
     write_stream(distribution_stream(stream, "event_type", "ts"), path, path + "-checkpoint").awaitTermination()
-    day = [F.date_format(x, "yyyy-MM-dd HH:mm").alias(x) for x in ("window_start", "window_end")]
+    local = "date_format(timestampadd(MICROSECOND, unix_micros({0}), {1}), 'yyyy-MM-dd HH:mm') as {0}"
+    day = [F.expr(local.format(x, epoch)) for x in ("window_start", "window_end")]
     return s.read.parquet(path).select(*day, "label", "n")
 
 

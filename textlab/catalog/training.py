@@ -9,7 +9,7 @@ from textlab.operators.metrics import metrics, metrics_multilabel
 from textlab.functions.labels import parse_labels
 from textlab.operators.validate import clean
 from textlab.plans.run import run
-from textlab.session import work_path
+from textlab.session import work_path, written
 from textlab.sources.runs import SavedRun, load_run, save_run
 from textlab.sources.tables import load
 from textlab.streaming.scoring import file_stream, predict_stream, write_stream
@@ -17,9 +17,14 @@ from textlab.streaming.scoring import file_stream, predict_stream, write_stream
 FAST = train.Config(epochs=(2, 4), weight_decay=0.01, decay_bounds=(0.0, 0.02))
 
 
+def _cleaned(df, label):
+    """The cleaned table, written once: every fit reads it several times."""
+    return written(clean(df, label, "text", "doc_id"), "cleaned")
+
+
 def _parts(s, d, label="lang"):
     """Training and validation part of the cleaned documents."""
-    df = clean(documents(s, d), label, "text", "doc_id")
+    df = _cleaned(documents(s, d), label)
     parts = sp.stratified_split(df, label, "doc_id", ratio=0.2)
     return [parts.filter(F.col("split") == p).withColumn("label", F.col(label)) for p in ("train", "val")]
 
@@ -40,7 +45,7 @@ def t1(s, d):
 
 def t2(s, d):
     """Weighted training on the unbalanced quality label."""
-    df = clean(labeled(s, d), "quality", "text", "doc_id").withColumn("label", F.col("quality").cast("string"))
+    df = _cleaned(labeled(s, d), "quality").withColumn("label", F.col("quality").cast("string"))
     parts = sp.stratified_split(df, "label", "doc_id", ratio=0.2)
     weighted = train.Config(epochs=(2, 4), weight_decay=0.01, use_class_weights=True)
     one = train.fit_model("lr_unigram", parts.filter("split = 'train'"), "text", "label", weighted)
@@ -53,7 +58,7 @@ def t5(s, d):
 
 
 def t6(s, d):
-    df = clean(multi_docs(s, d), "tags", "text", "doc_id")
+    df = _cleaned(multi_docs(s, d), "tags")
     parts = sp.random_split(df, "doc_id", ratio=0.2)
     fitted = train.fit_multilabel(parts.filter("split = 'train'"), "text", "tags", FAST)
     val = parts.filter("split = 'val'")
@@ -75,7 +80,7 @@ def t10(s, d):
 
 
 def e14(s, d):
-    df = clean(documents(s, d), "lang", "text", "doc_id")
+    df = _cleaned(documents(s, d), "lang")
     return train.cross_validate(sp.stratified_folds(df, "lang", "doc_id", 3), "text", "lang", "nb_multinomial", FAST)
 
 

@@ -7,7 +7,7 @@ import time
 from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IDF, HashingTF, NGram, SQLTransformer, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
@@ -107,19 +107,48 @@ def tokenizer(text: str, max_length: int) -> SQLTransformer:
     )
 
 
-def feature_stages(name: str) -> list:
+def hashing_stages(name: str, text: str, max_length: int) -> list:
+    """Text to hashed term counts. None of the stages has to be fitted."""
     kind, bits, pairs = CANDIDATES[name]
-    stages, source = [], "tokens"
+    stages, source = [tokenizer(text, max_length)], "tokens"
     if pairs:
         stages.append(NGram(n=2, inputCol="tokens", outputCol="pairs"))
         stages.append(SQLTransformer(statement="SELECT *, concat(tokens, pairs) AS terms FROM __THIS__"))
         source = "terms"
-    if kind == "logistic":
-        stages.append(HashingTF(inputCol=source, outputCol="counts", numFeatures=1 << bits))
-        stages.append(IDF(inputCol="counts", outputCol="features"))
-    else:
-        stages.append(HashingTF(inputCol=source, outputCol="features", numFeatures=1 << bits))
-    return stages
+    return [*stages, HashingTF(inputCol=source, outputCol=_counted(kind), numFeatures=1 << bits)]
+
+
+def _counted(kind: str) -> str:
+    return "counts" if kind == "logistic" else "features"
+
+
+class _Features:
+    """Hashed counts of a training table, held while models are fitted on them.
+
+    Tokens are hashed in one pass; inverse document frequencies are fitted and applied on the
+    held counts.
+    """
+
+    def __init__(self, name: str, ready: DataFrame, text: str, max_length: int, columns: list[str]):
+        kind = CANDIDATES[name][0]
+        self.stages = hashing_stages(name, text, max_length)
+        counted = PipelineModel(self.stages).transform(ready)
+        self.held = counted.select(_counted(kind), *columns).persist(StorageLevel.MEMORY_AND_DISK)
+        self.data = self.held
+        try:
+            if kind == "logistic":
+                idf = IDF(inputCol="counts", outputCol="features").fit(self.held)
+                self.stages.append(idf)
+                self.data = idf.transform(self.held).select("features", *columns)
+        except Exception:
+            self.held.unpersist()
+            raise
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.held.unpersist()
 
 
 def estimator(name: str, cfg: Config):
@@ -157,15 +186,10 @@ def fit_model(name: str, train: DataFrame, text: str, label: str, cfg: Config) -
     started = time.monotonic()
     index = index_classes(train, label)
     ready = _prepared(train, text, label, cfg, index)
-    features = Pipeline(stages=[tokenizer(text, cfg.max_length), *feature_stages(name)]).fit(ready)
-    data = features.transform(ready).select("features", "class_id", "weight")
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fitted = estimator(name, cfg).fit(data)
+    with _Features(name, ready, text, cfg.max_length, ["class_id", "weight"]) as features:
+        fitted = estimator(name, cfg).fit(features.data)
         if cfg.use_focal_loss and CANDIDATES[name][0] == "logistic":
-            fitted = _refit_focal(name, data, fitted, cfg)
-    finally:
-        data.unpersist()
+            fitted = _refit_focal(name, features.data, fitted, cfg)
     model = PipelineModel(stages=[*features.stages, fitted])
     return Trained(name, model, list(index.labels), time.monotonic() - started, config=cfg)
 
@@ -234,18 +258,14 @@ def fit_multilabel(train: DataFrame, text: str, label: str, cfg: Config = Config
     weights = {r["label"]: r["pos_weight"] for r in pos_weights(train, label).collect()}
     classes = [r["label"] for r in atomic_labels(train, label).orderBy("class_id").collect()]
     hot = multi_hot(train, label).select(text, "multi_hot")
-    features = Pipeline(stages=[tokenizer(text, cfg.max_length), *feature_stages(name)]).fit(hot)
-    data = features.transform(hot).select("features", "multi_hot").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with _Features(name, hot, text, cfg.max_length, ["multi_hot"]) as features:
         models = []
         for i, one in enumerate(classes):
             y = F.get("multi_hot", F.lit(i)).cast("double")
-            rows = data.select("features", y.alias("class_id"))
+            rows = features.data.select("features", y.alias("class_id"))
             weight = F.when(F.col("class_id") == 1, F.lit(float(weights[one]))).otherwise(1.0)
             models.append(estimator(name, cfg).fit(rows.withColumn("weight", weight)))
-    finally:
-        data.unpersist()
-    return TrainedLabels(features, models, classes, time.monotonic() - started)
+    return TrainedLabels(PipelineModel(features.stages), models, classes, time.monotonic() - started)
 
 
 def training_curve(spark: SparkSession, trained: Trained) -> DataFrame:

@@ -1,8 +1,8 @@
 """Dataset analysis: measurements of a table and the training decisions they lead to.
 
 Each function adds columns to one row per group, so a whole table and any number of segments
-are analysed by the same plan. Numbers in texts are rounded half to even before formatting,
-which by itself rounds half up.
+are analysed by the same plan. Reasons name whole numbers only, so that they do not depend on
+how an engine rounds when it formats.
 """
 
 from __future__ import annotations
@@ -147,11 +147,12 @@ def run_recommendations(table: DataFrame) -> DataFrame:
     held = F.col("val_rows")
     tiny, small = held < rules.CV_TINY_VAL, held < rules.CV_SMALL_VAL
     skewed = ratio > rules.CV_IMBALANCE
+    sizes = F.format_string("largest class %d, smallest %d", "max_class", "min_class")
     reason = (
         F.when(tiny, F.format_string("%d rows leave only %d to validate on", n, held))
-        .when(small & skewed, F.format_string("%d validation rows, imbalance %.1f", held, F.bround(ratio, 1)))
+        .when(small & skewed, F.format_string("%d validation rows, %s", held, sizes))
         .when(small, F.format_string("%d validation rows are few", held))
-        .when(skewed, F.format_string("class imbalance is %.1f", F.bround(ratio, 1)))
+        .when(skewed, F.concat(F.lit("classes are uneven: "), sizes))
         .when(n > rules.CV_LARGE_ROWS, F.format_string("%d validation rows are reliable", held))
         .otherwise(F.format_string("%d validation rows are adequate", held))
     )
@@ -165,9 +166,7 @@ def run_recommendations(table: DataFrame) -> DataFrame:
         reason.alias("cv_reason"),
         rules.by_tier(size, lambda t: t.search).alias("use_search"),
         rules.by_tier(size, lambda t: t.trials).alias("search_trials"),
-        F.format_string(
-            "%.0f labels per class, tier %s", F.bround("labels_per_class", 0), "strategy"
-        ).alias("search_reason"),
+        F.format_string("%d labels in %d classes, tier %s", "label_count", "num_classes", "strategy").alias("search_reason"),
     )
 
 
@@ -237,7 +236,7 @@ def decision_log(analysis: DataFrame, by=()) -> DataFrame:
     def texts(*values):
         return F.array(*[F.lit(v) for v in values])
 
-    task, ratio = F.col("task_type"), F.col("imbalance_ratio")
+    task = F.col("task_type")
     weighted = F.col("use_class_weights")
     roster = texts(*rules.ROSTER)
     unused = F.array_except(roster, "models")
@@ -247,22 +246,21 @@ def decision_log(analysis: DataFrame, by=()) -> DataFrame:
               F.when(task == "binary", texts("binary", "multiclass")).otherwise(texts("binary"))),
         entry(2, "class_imbalance",
               F.when(weighted, "class weights on").otherwise("class weights off"),
-              F.format_string("ratio %.2f, smallest class %.1f%% of the rows; on above %.1f",
-                              F.bround(ratio, 2), F.bround(F.col("minority_share") * 100, 1), F.lit(WEIGHT_RATIO)),
+              F.format_string("largest class %d, smallest %d of %d rows; on above a ratio of %.0f",
+                              "max_class", "min_class", "n_rows", F.lit(WEIGHT_RATIO)),
               weighted.cast("string"),
               F.when(weighted, texts()).otherwise(texts("class weights on"))),
         entry(3, "class_imbalance", F.lit("focal loss on"),
-              F.format_string("ratio %.2f is above %.1f", F.bround(ratio, 2), F.lit(FOCAL_RATIO)),
+              F.format_string("%d to %d is above a ratio of %.0f", "max_class", "min_class", F.lit(FOCAL_RATIO)),
               F.lit("true"), texts(), when=F.col("use_focal_loss")),
         entry(4, "sequence_length", F.format_string("maximum length %d", "max_length"),
-              F.format_string("p95 is %d, average %.0f, limits %d to %d", F.col("p95_raw"), F.bround("avg_length", 0),
-                              F.lit(rules.MIN_LENGTH), F.lit(rules.MAX_LENGTH)),
+              F.format_string("p95 is %d, limits are %d to %d", "p95_raw", F.lit(rules.MIN_LENGTH), F.lit(rules.MAX_LENGTH)),
               F.col("max_length").cast("string"), texts()),
         entry(5, "model_selection", F.concat(F.lit("candidates "), F.array_join("models", ", ")),
               F.format_string("%d rows, tier %s", "n_rows", "strategy"), F.array_join("models", ","),
               F.when(F.size(unused) > 0, unused).otherwise(texts("(all selected)"))),
         entry(6, "hyperparameters", F.format_string("settings of tier %s", "strategy"),
-              F.format_string("%.0f rows per class, ratio %.2f", F.bround("rows_per_class", 0), F.bround(ratio, 2)),
+              F.format_string("%d rows in %d classes, %d in the smallest", "n_rows", "num_classes", "min_class"),
               F.to_json(F.struct("strategy", "epochs_min", "epochs_max", "learning_rate", "batch_size",
                                  "weight_decay", "patience")),
               texts()),

@@ -16,6 +16,7 @@ from textlab.operators import compare, explain, metrics, profile, quality, split
 from textlab.operators.merge import auto_columns, merge_text, merged_name, truncate_text
 from textlab.operators.tracking import STEPS, run_state
 from textlab.plans import analysis, reports
+from textlab.session import written
 from textlab.sources.runs import SavedRun, save_run
 
 EVENT_SCHEMA = "run string, step string, status string, ts timestamp, error string"
@@ -173,9 +174,9 @@ def _validated(df, label, text, text_columns, id_col, auto_merge, min_rows):
     validate.require_min_rows(df, min_rows)
     validate.require_columns(df, [label, *([text] if text else []), *(text_columns or []), *([id_col] if id_col else [])])
     if id_col is None:
-        # Layout-dependent: pass an id column for results that do not depend on partitioning.
+        # Depends on the layout of the input; written once, so that every later read agrees.
         id_col = "_row_id"
-        df = df.withColumn(id_col, F.monotonically_increasing_id())
+        df = written(df.withColumn(id_col, F.monotonically_increasing_id()), "rows")
     multi = validate.is_multi_label(df, label, id_col)
     if not multi:
         validate.require_classification(df, label)
