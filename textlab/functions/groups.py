@@ -49,7 +49,7 @@ def small_table(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     The check reads at most ``limit + 1`` rows. A larger table stays a distributed one and is
     joined by shuffle, where adaptive execution splits the skewed keys.
     """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
+    table = df.limit(limit + 1).toArrow()
+    if table.num_rows > limit:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))

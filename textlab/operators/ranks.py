@@ -37,7 +37,7 @@ def cut_keys(df: DataFrame, id_col: str, cuts: DataFrame, by=(), seed: int = 42)
     spans = counts.withColumn("upto", F.sum("n").over(running))
     spans = spans.withColumn("below", F.col("upto") - F.col("n"))
 
-    per_rank = cuts.groupBy(*by, "rank").agg(F.count(F.lit(1)).alias("times"))
+    per_rank = small_table(cuts.groupBy(*by, "rank").agg(F.count(F.lit(1)).alias("times")))
     ranks = per_rank.groupBy(*by).agg(F.collect_list(F.struct("rank", "times")).alias("ranks"))
     spans = join_on(spans, ranks, by) if by else spans.withColumn("ranks", ranks.scalar())
     here = F.filter(

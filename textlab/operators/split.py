@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlab.functions.groups import join_on, keys, with_totals
+from textlab.functions.groups import keys, small_table, with_totals
 from textlab.operators.ranks import cuts_passed, row_key
 from textlab.plans.rules import val_split
 
@@ -33,7 +33,8 @@ def quotas(counts: DataFrame, wanted: Column, by=(), size: str = "n", name: str
 
 
 def _classes(df: DataFrame, label: str, by) -> DataFrame:
-    return df.groupBy(*by, F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    """The class table, from one pass; what is planned on it does not read ``df`` again."""
+    return small_table(df.groupBy(*by, F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")))
 
 
 def _per_class(df: DataFrame, cuts: DataFrame, label: str, id_col: str, by, seed: int, name: str):
