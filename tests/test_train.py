@@ -154,7 +154,9 @@ def test_whole_run(spark, small, tmp_path):
     assert done["comparison"].count() == 2 and done["cv"]["folds"].count() == 2
     assert set(done["reports"]) == {"quality", "baseline", "model", "explanation", "cross_validation"}
     assert load_run(spark, path).best == done["best_model_name"]
-    assert spark.read.json(path + "/reports/model").filter("section = 'diagnosis'").count() == 1
+    assert spark.read.json(path + "/reports/model/rows").filter("section = 'diagnosis'").count() == 1
+    shown = [r[0] for r in spark.read.text(path + "/reports/model/text").collect()]
+    assert shown[0] == "model of run" and shown.index("VALIDATION") < shown.index("DIAGNOSIS")
 
 
 def test_run_finds_its_columns_and_merges(spark, small):

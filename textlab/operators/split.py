@@ -72,14 +72,17 @@ def random_split(
 
 
 def repair_split(df: DataFrame, label: str, id_col: str, seed: int = 42) -> DataFrame:
-    """Move the last-ranked row of every class that has validation rows only to train."""
+    """Move the last-ranked row of every class that has validation rows only to train.
+
+    At most one row per class moves, so the rows pass a broadcast join and are not shuffled.
+    """
     moved = (
         df.groupBy(label)
         .agg(F.count_if(F.col("split") == "train").alias("_n"), F.max(row_key(id_col, seed)).alias("_last"))
         .filter("_n = 0")
         .select(F.col("_last.id").alias(id_col), F.lit("train").alias("_split"))
     )
-    joined = df.join(moved, id_col, "left")
+    joined = df.join(small_table(moved), id_col, "left")
     kept = [c for c in df.columns if c != "split"]
     return joined.select(*kept, F.coalesce("_split", "split").alias("split"))
 

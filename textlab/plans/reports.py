@@ -144,14 +144,29 @@ def cv_report(folds: DataFrame, summary: DataFrame) -> DataFrame:
     ])
 
 
+# Sections in the order in which a reader meets them.
+SECTION_ORDER = [
+    "overview", "classes", "findings", "baseline", "model", "improvement", "verdict",
+    "validation", "train vs validation", "diagnosis", "classes in validation", "small classes",
+    "confusion in validation", "classes in training", "confusion in training", "candidates", "decisions",
+    "confidence", "histogram", "calibration", "top words", "folds", "summary", "per fold",
+]
+
+
 def render(report: DataFrame, title: str) -> str:
-    """Text form of a report. A report has rows per class, metric or model, not per text."""
+    """Text form of a report, which has rows per class, metric or model, not per text."""
+    rows = sorted(report.collect(), key=lambda r: (SECTION_ORDER.index(r["section"]), r["ord"]))
     lines, section = [title, "=" * len(title)], None
-    rows = sorted(report.withColumn("_part", F.monotonically_increasing_id()).collect(), key=lambda r: r["_part"])
-    order = list(dict.fromkeys(r["section"] for r in rows))
-    for row in sorted(rows, key=lambda r: (order.index(r["section"]), r["ord"])):
+    for row in rows:
         if row["section"] != section:
             section = row["section"]
             lines += ["", section.upper(), "-" * len(title)]
         lines.append(f"  {row['key']:<28} {row['value']}")
     return "\n".join(lines) + "\n"
+
+
+def write_report(report: DataFrame, path: str, title: str) -> None:
+    """The report as rows in JSON and as text."""
+    report.coalesce(1).write.mode("overwrite").json(f"{path}/rows")
+    text = report.sparkSession.createDataFrame([(render(report, title),)], "value string")
+    text.coalesce(1).write.mode("overwrite").text(f"{path}/text")

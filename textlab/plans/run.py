@@ -262,5 +262,4 @@ def _save(path, name, best, usable, text, multi, record, told):
         saved = SavedRun(name, best.name, text, multi, {t.name: t for t in usable}, analysis.analysis_long(record))
         save_run(spark, saved, path)
     for kind, report in told.items():
-        # A report has rows per class, metric or model.
-        report.coalesce(1).write.mode("overwrite").json(f"{path}/reports/{kind}")
+        reports.write_report(report, f"{path}/reports/{kind}", f"{kind.replace('_', ' ')} of {name}")
