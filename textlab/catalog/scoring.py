@@ -368,4 +368,22 @@ QUERIES = {
         union all select 'improvement', 3, 'accuracy lift', printf('%.4f', accuracy - a) from j
         union all select 'verdict', 1, 'verdict', case when f1 - f < 0.02 then 'WARNING' when f1 - f < 0.1 then 'MARGINAL' else 'SOLID' end from j""",
     ),
+    "k4_model_report": (
+        lambda s, d: reports.model_report(scored(s, d)),
+        f"""with {SCORED_SQL}, {per_class_sql('scored')}, q as ({metrics_sql()}),
+          avgs as (select 1 as last, 'macro avg' as class, avg(precision) as p, avg(recall) as r, avg(f1) as f, cast(sum(support) as bigint) as n from per_class
+            union all select 1, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+              sum(f1 * support) / sum(support), cast(sum(support) as bigint) from per_class
+            union all select 0, class, precision, recall, f1, support from per_class),
+          k as (select label from scored union select prediction from scored),
+          cells as (select a.label, b.label as prediction, count(s.id) as n from k a cross join k b
+            left join scored s on s.label = a.label and s.prediction = b.label group by 1, 2)
+        select 'validation' as section, 1 as ord, 'f1' as key, printf('%.4f', f1) as value from q
+        union all select 'validation', 2, 'accuracy', printf('%.4f', accuracy) from q
+        union all select 'validation', 3, 'precision', printf('%.4f', precision) from q
+        union all select 'validation', 4, 'recall', printf('%.4f', recall) from q
+        union all select 'classes in validation', row_number() over (order by last, class), class, printf('%.4f %.4f %.4f %d', p, r, f, n) from avgs
+        union all select 'small classes', row_number() over (order by class), class, support::varchar from per_class where support < 50
+        union all select 'confusion in validation', row_number() over (order by label, prediction), label || ' -> ' || prediction, n::varchar from cells""",
+    ),
 }
