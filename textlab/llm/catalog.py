@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textlab.llm import quality
+from textlab.llm import fingerprints, quality, sharding
 from textlab.sources.tables import load
 
 
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edited_next(load(spark, folder, "documents"))
+
+
+def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 16 shards whose row counts differ by one at most."""
+    shards = sharding.document_shards(load(spark, folder, "documents"))
+    grown = F.lit(None).cast("int").alias("grown_shard")
+    return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", grown, "curve")
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(load(spark, folder, "documents"))
 
@@ -15,5 +27,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict:
     """``name -> (callable(spark, folder), sql or None)``."""
     return {
+        "op1_fingerprints": (op1_fingerprints, None),
+        "op4_hilbert_shards": (op4_hilbert_shards, None),
         "op10_quality_rules": (op10_quality_rules, None),
     }

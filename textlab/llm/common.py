@@ -6,6 +6,7 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textlab.session import work_path
@@ -80,6 +81,21 @@ def quantile_bounds(df: DataFrame, key: Column, count: int) -> Column:
     return one.scalar()
 
 
+def running_starts(sizes: DataFrame, part: str, rows: str) -> DataFrame:
+    """``part``, ``__start`` (rows of the parts before it) and ``__all`` (rows of all parts).
+
+    ``sizes`` has one row per part of a table, a small multiple of the shuffle partitions, and
+    nothing else of the table passes through the one task that sums them up.
+    """
+    every = W.partitionBy()
+    until = every.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    return sizes.select(
+        part,
+        F.coalesce(F.sum(rows).over(until), F.lit(0)).alias("__start"),
+        F.sum(rows).over(every).alias("__all"),
+    )
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with the number of each row in the given order, from 0.
 
@@ -93,25 +109,12 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     kept = stored(dealt.withColumn(at, F.monotonically_increasing_id()), "ranked")
     part = F.shiftright(F.col(at), 33)
     sizes = kept.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))
-    # One row per part, at most as many as there are shuffle partitions.
-    listed = sizes.agg(F.sort_array(F.collect_list(F.struct("__part", "__rows"))).alias("parts"))
-    before = listed.select(
-        F.map_from_arrays(
-            F.col("parts.__part"),
-            F.transform(
-                F.sequence(F.lit(1), F.size("parts")),
-                lambda i: F.aggregate(
-                    F.slice(F.col("parts.__rows"), F.lit(1), i - 1), F.lit(0).cast("long"), lambda a, r: a + r
-                ),
-            ),
-        ).alias("before")
-    )
-    start = F.broadcast(before.select(F.explode("before").alias("__part", "__before")))
+    start = F.broadcast(running_starts(sizes, "__part", "__rows"))
     low = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
     return (
         kept.join(start, part == F.col("__part"))
-        .withColumn(name, F.col("__before") + low)
-        .drop("__part", "__before", at)
+        .withColumn(name, F.col("__start") + low)
+        .drop("__part", "__start", "__all", at)
     )
 
 
