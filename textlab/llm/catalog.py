@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import fingerprints, quality, sharding
+from textlab.llm import fingerprints, links, quality, sharding
 from textlab.sources.tables import load
 
 
@@ -20,6 +20,19 @@ def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", grown, "curve")
 
 
+RULES = [
+    links.Rule("com", "/", "allow"),
+    links.Rule("example.com", "/en/", "block"),
+    links.Rule("www.example.com", "/en/", "allow"),
+    links.Rule("net", "/es/", "block"),
+    links.Rule("net", "/fr/", "block"),
+]
+
+
+def op8_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return links.url_verdicts(load(spark, folder, "pages"), RULES)
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(load(spark, folder, "documents"))
 
@@ -29,5 +42,6 @@ def queries() -> dict:
     return {
         "op1_fingerprints": (op1_fingerprints, None),
         "op4_hilbert_shards": (op4_hilbert_shards, None),
+        "op8_url_verdicts": (op8_url_verdicts, None),
         "op10_quality_rules": (op10_quality_rules, None),
     }
