@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import fingerprints, links, quality, sharding
+from textlab.llm import fingerprints, language, links, mixing, packing, quality, sharding
 from textlab.sources.tables import load
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the vocabulary file is; the package that knows it is on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_next(load(spark, folder, "documents"))
 
 
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.document_mix(load(spark, folder, "documents"))
+
+
 def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 16 shards whose row counts differ by one at most."""
     shards = sharding.document_shards(load(spark, folder, "documents"))
@@ -20,6 +31,10 @@ def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", grown, "curve")
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.document_packing(load(spark, folder, "documents"), tokenizer_path())
+
+
 RULES = [
     links.Rule("com", "/", "allow"),
     links.Rule("example.com", "/en/", "block"),
@@ -33,6 +48,10 @@ def op8_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return links.url_verdicts(load(spark, folder, "pages"), RULES)
 
 
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.cross_predicted(load(spark, folder, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(load(spark, folder, "documents"))
 
@@ -41,7 +60,10 @@ def queries() -> dict:
     """``name -> (callable(spark, folder), sql or None)``."""
     return {
         "op1_fingerprints": (op1_fingerprints, None),
+        "op3_packing": (op3_packing, None),
         "op4_hilbert_shards": (op4_hilbert_shards, None),
+        "op5_mixing": (op5_mixing, None),
         "op8_url_verdicts": (op8_url_verdicts, None),
+        "op9_language": (op9_language, None),
         "op10_quality_rules": (op10_quality_rules, None),
     }

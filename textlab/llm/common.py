@@ -104,7 +104,7 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     a range sort that runs twice may cut elsewhere.
     """
     spark = df.sparkSession
-    at = fresh(df, "at")
+    at = fresh(df, "__at")
     dealt = df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     kept = stored(dealt.withColumn(at, F.monotonically_increasing_id()), "ranked")
     part = F.shiftright(F.col(at), 33)
