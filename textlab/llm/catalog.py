@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import fingerprints, language, links, mixing, packing, quality, sharding
+from textlab.llm import fingerprints, language, links, mixing, packing, pseudonyms, quality, sharding
 from textlab.sources.tables import load
 
 
@@ -48,6 +48,10 @@ def op8_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return links.url_verdicts(load(spark, folder, "pages"), RULES)
 
 
+def op6_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonyms.document_pseudonyms(load(spark, folder, "documents"))
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.cross_predicted(load(spark, folder, "documents"))
 
@@ -63,6 +67,7 @@ def queries() -> dict:
         "op3_packing": (op3_packing, None),
         "op4_hilbert_shards": (op4_hilbert_shards, None),
         "op5_mixing": (op5_mixing, None),
+        "op6_pseudonyms": (op6_pseudonyms, None),
         "op8_url_verdicts": (op8_url_verdicts, None),
         "op9_language": (op9_language, None),
         "op10_quality_rules": (op10_quality_rules, None),
