@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import fingerprints, language, links, mixing, packing, pseudonyms, quality, sharding
+from textlab.llm import fingerprints, language, links, mixing, ngramjoin, packing, pseudonyms, quality, sharding
 from textlab.sources.tables import load
 
 
@@ -31,6 +33,12 @@ def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", grown, "curve")
 
 
+def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents linked at 90 % of their shingles of three words."""
+    docs = load(spark, folder, "documents")
+    return ngramjoin.near_components(docs, width=3, share=Fraction(9, 10))
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.document_packing(load(spark, folder, "documents"), tokenizer_path())
 
@@ -64,6 +72,7 @@ def queries() -> dict:
     """``name -> (callable(spark, folder), sql or None)``."""
     return {
         "op1_fingerprints": (op1_fingerprints, None),
+        "op2_ngram_join": (op2_ngram_join, None),
         "op3_packing": (op3_packing, None),
         "op4_hilbert_shards": (op4_hilbert_shards, None),
         "op5_mixing": (op5_mixing, None),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed odd multiplier of the word hash, and the multipliers of its finaliser.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -27,7 +28,7 @@ def powers(n: int) -> np.ndarray:
 def chunks(batch: pa.RecordBatch, text: str):
     """Slices of a batch with about CHUNK_BYTES of text each; a longer text is a slice of its own."""
     sizes = batch.column(text)
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(sizes), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(sizes), 0), dtype=np.int64)
     group = np.cumsum(lengths) // CHUNK_BYTES
     cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
     for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
@@ -42,7 +43,7 @@ class Words:
     """
 
     def __init__(self, column: pa.Array, fold: bool = False):
-        column = pa.compute.fill_null(column.cast(pa.large_string()), "")
+        column = pc.fill_null(column.cast(pa.large_string()), "")
         data = column.buffers()[2]
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
