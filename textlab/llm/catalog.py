@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import fingerprints, language, links, mixing, ngramjoin, packing, pseudonyms, quality, sharding
+from textlab.llm import fingerprints, language, links, mixing, ngramjoin, packing, pseudonyms, quality, repeats, sharding
 from textlab.sources.tables import load
 
 
@@ -60,6 +60,10 @@ def op6_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonyms.document_pseudonyms(load(spark, folder, "documents"))
 
 
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeated_words(load(spark, folder, "documents"))
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.cross_predicted(load(spark, folder, "documents"))
 
@@ -77,6 +81,7 @@ def queries() -> dict:
         "op4_hilbert_shards": (op4_hilbert_shards, None),
         "op5_mixing": (op5_mixing, None),
         "op6_pseudonyms": (op6_pseudonyms, None),
+        "op7_repeats": (op7_repeats, None),
         "op8_url_verdicts": (op8_url_verdicts, None),
         "op9_language": (op9_language, None),
         "op10_quality_rules": (op10_quality_rules, None),
