@@ -7,14 +7,12 @@ DataFrame functions.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlab.llm.common import crc, fresh, partitions, quantile_bounds, rank_in_bounds, running_starts, stored, string_or_empty
+from textlab.llm.common import crc, fresh, partitions, quantile_bounds, rank_in_bounds, running_starts, stored, string_or_empty, total
 
 #: Bits per dimension, so there are 2 ** (BITS * dimensions) cells.
 BITS = 5
@@ -32,46 +30,34 @@ def as_number(column: Column, kind: T.DataType) -> Column:
     return column.cast("double")
 
 
-def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
-    """Place on the Hilbert curve of a cell with ``bits`` bits in each dimension (Skilling's form)."""
-    n = len(cells)
-    steps = F.array(
-        *[F.struct(F.lit(1 << b).alias("q"), F.lit(i).alias("i")) for b in range(bits - 1, 0, -1) for i in range(n)]
-    )
+def hilbert_index(df: DataFrame, cells: list[str], name: str, bits: int = BITS) -> DataFrame:
+    """``df`` with the place on the Hilbert curve of a cell of ``bits`` bits in each dimension.
 
-    def turn(x, step):
-        low, own = step["q"] - 1, F.get(x, step["i"])
-        hit = own.bitwiseAND(step["q"]) != 0
-        swap = F.get(x, F.lit(0)).bitwiseXOR(own).bitwiseAND(low)
-        return F.transform(
-            x,
-            lambda v, j: F.when(hit, F.when(j == 0, v.bitwiseXOR(low)).otherwise(v))
-            .when((j == 0) | (j == step["i"]), v.bitwiseXOR(swap))
-            .otherwise(v),
-        )
-
-    turned = F.aggregate(steps, F.array(*[c.cast("int") for c in cells]), turn)
-    # Gray decoding: each value takes in the ones before it, then all the bits of the last.
-    gray = F.transform(
-        turned,
-        lambda v, j: F.aggregate(F.slice(turned, F.lit(1), j), v, lambda a, b: a.bitwiseXOR(b)),
-    )
-    last = F.get(gray, F.lit(n - 1))
-    flips = reduce(
-        lambda a, b: a.bitwiseXOR(b),
-        [F.when(last.bitwiseAND(F.lit(1 << b)) != 0, F.lit((1 << b) - 1)).otherwise(F.lit(0)) for b in range(bits - 1, 0, -1)],
-        F.lit(0),
-    )
-    flat = F.transform(gray, lambda v: v.bitwiseXOR(flips))
-    places = F.array(
-        *[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)]
-    )
-    return F.aggregate(
-        places,
-        F.lit(0).cast("long"),
-        lambda a, p: a * 2
-        + F.when(F.get(flat, p["i"]).bitwiseAND(F.element_at(F.array(*[F.lit(1 << b) for b in range(bits)]), p["b"] + 1)) != 0, 1).otherwise(0),
-    )
+    Each step is a projection of plain columns (Skilling's form), so nothing is evaluated twice.
+    """
+    n, columns = len(cells), df.columns
+    x = [f"__x{i}" for i in range(n)]
+    out = df.withColumns({x[i]: F.col(c).cast("long") for i, c in enumerate(cells)})
+    for b in range(bits - 1, 0, -1):
+        low = F.lit((1 << b) - 1)
+        for i in range(n):
+            own, first = F.col(x[i]), F.col(x[0])
+            hit = own.bitwiseAND(F.lit(1 << b)) != 0
+            swap = first.bitwiseXOR(own).bitwiseAND(low)
+            step = {x[0]: F.when(hit, first.bitwiseXOR(low)).otherwise(first.bitwiseXOR(swap))}
+            if i:
+                step[x[i]] = F.when(hit, own).otherwise(own.bitwiseXOR(swap))
+            out = out.withColumns(step)
+    for i in range(1, n):
+        out = out.withColumn(x[i], F.col(x[i]).bitwiseXOR(F.col(x[i - 1])))
+    flips = F.lit(0).cast("long")
+    for b in range(bits - 1, 0, -1):
+        bit = F.shiftright(F.col(x[-1]), b).bitwiseAND(F.lit(1))
+        flips = flips.bitwiseXOR(bit * ((1 << b) - 1))
+    out = out.withColumn("__flips", flips)
+    out = out.withColumns({c: F.col(c).bitwiseXOR(F.col("__flips")) for c in x})
+    terms = [F.shiftright(F.col(c), b).bitwiseAND(F.lit(1)) * (1 << (b * n + n - 1 - i)) for i, c in enumerate(x) for b in range(bits)]
+    return out.withColumn(name, total(terms)).select(*[c for c in columns if c != name], name)
 
 
 def with_curve(df: DataFrame, dimensions: list[str], name: str, bits: int = BITS) -> DataFrame:
@@ -84,8 +70,7 @@ def with_curve(df: DataFrame, dimensions: list[str], name: str, bits: int = BITS
         out = out.withColumn(bounds, found).withColumn(cell, rank_in_bounds(F.col(bounds), value, 2**bits))
         out = out.withColumn(cell, F.least(F.col(cell), F.lit(2**bits - 1)))
         cells.append(cell)
-    out = out.withColumn(name, hilbert_index([F.col(c) for c in cells], bits))
-    return out.select(*df.columns, name)
+    return hilbert_index(out, cells, name, bits).select(*df.columns, name)
 
 
 def hilbert_shards(df: DataFrame, dimensions: list[str], id_col: str, shards: int = 16, bits: int = BITS) -> DataFrame:
