@@ -73,7 +73,9 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    """``name -> (callable(spark, folder), sql or None)``."""
+    """``name -> (callable(spark, folder), sql or None)``, the pipeline among them."""
+    import corpus_pipeline
+
     return {
         "op1_fingerprints": (op1_fingerprints, None),
         "op2_ngram_join": (op2_ngram_join, None),
@@ -85,4 +87,5 @@ def queries() -> dict:
         "op8_url_verdicts": (op8_url_verdicts, None),
         "op9_language": (op9_language, None),
         "op10_quality_rules": (op10_quality_rules, None),
+        "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     }
