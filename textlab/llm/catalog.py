@@ -33,6 +33,29 @@ def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", grown, "curve")
 
 
+#: Both ways over whole tables; a join of all shingles and a recursion over the links.
+OP2_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+s AS MATERIALIZED (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS g
+    FROM d),
+e AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o, any_value(a.n) AS n, any_value(b.n) AS m
+    FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * o >= 90 * (n + m - o)),
+both_ways AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, seen) AS (
+    SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, both_ways.b FROM r JOIN both_ways ON r.seen = both_ways.a)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, min(seen) AS component_id
+FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, len(g)
+"""
+
+
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Documents linked at 90 % of their shingles of three words."""
     docs = load(spark, folder, "documents")
@@ -60,6 +83,22 @@ def op6_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonyms.document_pseudonyms(load(spark, folder, "documents"))
 
 
+OP7_SQL = r"""
+WITH d AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS k FROM d, unnest(range(1, len(w) - 33)) AS t(i)),
+again AS (SELECT k FROM x GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS j FROM x JOIN again USING (k), range(35) AS t(o)),
+words AS (SELECT doc_id, j, w[j] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(j)),
+kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text
+    FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.repeated_words(load(spark, folder, "documents"))
 
@@ -78,12 +117,12 @@ def queries() -> dict:
 
     return {
         "op1_fingerprints": (op1_fingerprints, None),
-        "op2_ngram_join": (op2_ngram_join, None),
+        "op2_ngram_join": (op2_ngram_join, OP2_SQL),
         "op3_packing": (op3_packing, None),
         "op4_hilbert_shards": (op4_hilbert_shards, None),
         "op5_mixing": (op5_mixing, None),
         "op6_pseudonyms": (op6_pseudonyms, None),
-        "op7_repeats": (op7_repeats, None),
+        "op7_repeats": (op7_repeats, OP7_SQL),
         "op8_url_verdicts": (op8_url_verdicts, None),
         "op9_language": (op9_language, None),
         "op10_quality_rules": (op10_quality_rules, None),
