@@ -105,7 +105,9 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """
     spark = df.sparkSession
     at = fresh(df, "__at")
-    dealt = df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    # Stored, as a range sort reads its input twice, once to find the cuts.
+    read = stored(df, "unranked")
+    dealt = read.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     kept = stored(dealt.withColumn(at, F.monotonically_increasing_id()), "ranked")
     part = F.shiftright(F.col(at), 33)
     sizes = kept.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))

@@ -52,7 +52,7 @@ def source_targets(sizes: DataFrame, share: float = SHARE, weights=WEIGHTS) -> D
 
     Sources are in the order of their code points, null last, and take the weights in turn.
     """
-    found = ranked(stored(sizes, "sources"), [F.col("source").asc_nulls_last()], "at")
+    found = ranked(sizes, [F.col("source").asc_nulls_last()], "at")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("at") % len(weights) + 1).cast("int"))
     found = stored(found.withColumn("weight", weight), "weights")
     budget = share * (found.agg(F.sum("source_size").alias("n")).first()["n"] or 0)

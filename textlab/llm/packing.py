@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,34 @@ GREATEST = 4096
 END_ID = 2
 #: Fixed value: how the tokenizer splits a text into parts that are coded one by one.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Marks that often stand after a word.
+MARKS = tuple(".,;:!?")
 #: Words and parts whose ids a task keeps at a time; when it is full it starts anew.
-KEPT = 400_000
+KEPT = 1_200_000
+#: Places of the table that knows which words have been seen once; only then they are kept.
+SEEN = 1 << 23
 
 
-class Codes(dict):
-    """Ids of words between blanks, as bytes of unsigned 32-bit numbers, coded when first asked for.
+class Kept(dict):
+    """Results of ``make`` for keys that come again; what comes once only is not kept."""
+
+    def __init__(self, make):
+        self.make, self.seen = make, bytearray(SEEN)
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.make(key)
+        place = hash(key) & (SEEN - 1)
+        if self.seen[place] or len(self) < KEPT // 2:
+            if len(self) >= KEPT:
+                self.clear()
+            self[key] = found
+        else:
+            self.seen[place] = 1
+        return found
+
+
+class Codes:
+    """Ids of texts as bytes of unsigned 32-bit numbers.
 
     The tokenizer drops white space and codes the parts between on their own, so a text's ids
     are those of its words one after the other. Normalising and splitting a whole text costs far
@@ -40,40 +63,32 @@ class Codes(dict):
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.find = regex.compile(PARTS).findall
         self.bytes_of = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.parts: dict[str, bytes] = {}
+        self.parts, self.words = Kept(self.part), Kept(self.word)
 
     def part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            plain = part.isascii() and part.isprintable()
-            spelled = part if plain else self.bytes_of.pre_tokenize_str(part)[0][0]
-            found = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-            if len(self.parts) >= KEPT:
-                self.parts.clear()
-            self.parts[part] = found
-        return found
+        plain = part.isascii() and part.isprintable()
+        spelled = part if plain else self.bytes_of.pre_tokenize_str(part)[0][0]
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
+    def word(self, word: str) -> bytes:
         if "<|" in word:  # special tokens are found before anything else
-            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        else:
-            plain = word if word.isascii() else unicodedata.normalize("NFC", word)
-            found = b"".join(map(self.part, self.find(lowered(plain))))
-        if len(self) >= KEPT:
-            self.clear()
-        self[word] = found
-        return found
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        plain = lowered(word if word.isascii() else unicodedata.normalize("NFC", word))
+        if plain.isalpha():  # letters only are one part, and so are marks after them
+            return self.parts[plain]
+        if plain[-1:] in MARKS and plain[:-1].isalpha():
+            return self.parts[plain[:-1]] + self.parts[plain[-1]]
+        return b"".join(map(self.parts.__getitem__, self.find(plain)))
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def lowered(word: str) -> str:
-    """Lower case letter by letter, as the tokenizer has it."""
-    return word.lower() if word.isascii() else "".join(c.lower() for c in word)
+    """Lower case letter by letter, as the tokenizer has it: a sigma at the end is no exception."""
+    return word.lower() if "\u03a3" not in word else "".join(c.lower() for c in word)
 
 
 _CODES: dict[str, Codes] = {}
@@ -107,8 +122,10 @@ def pieces(df: DataFrame, tokenizer: str, keep_ids: bool = True, greatest: int =
                 total, start = len(data) // 4, 0
                 for length in lengths(total, greatest):
                     part = data[4 * start : 4 * (start + length)]
-                    for k, v in zip(rows, (doc, start, length, zlib.crc32(part), total, np.frombuffer(part, "<u4"))):
+                    for k, v in zip(rows, (doc, start, length, zlib.crc32(part), total)):
                         rows[k].append(v)
+                    if keep_ids:
+                        rows["ids"].append(np.frombuffer(part, "<u4"))
                     start += length
             columns = [pa.array(rows[k], kinds[k]) for k in names]
             yield pa.RecordBatch.from_arrays(columns, names)
