@@ -130,6 +130,24 @@ def test_aborted_run(spark):
     ]
     df = spark.createDataFrame(rows, "run string, step string, status string, ts long, error string")
     state = {r["step_no"]: r for r in run_state(df).collect()}
-    assert len(state) == 7 and state[1]["status"] == "completed" and state[1]["finished_at"] == 3
-    assert (state[2]["status"], state[2]["finished_at"], len(state[2]["error"])) == ("failed", 6, 500)
+    assert len(state) == 8 and state[8]["step"] == "no such step" and state[8]["status"] == "running"
+    assert state[1]["status"] == "completed" and state[1]["finished_at"] == 3
+    assert (state[2]["status"], state[2]["finished_at"], len(state[2]["error"])) == ("failed", 6, 600)
     assert state[3]["status"] == "pending" and state[3]["started_at"] is None
+
+
+def test_losses_at_the_edges(spark):
+    """Probabilities of exactly 0 and 1, and a label that is no class."""
+    import math
+
+    from textlab.operators import losses
+
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.5, 0.5])]
+    scored = spark.createDataFrame(rows, "label string, p array<double>")
+    most = -math.log(1e-15)
+    row = losses.cross_entropy(scored, ["a", "b"]).first()
+    assert row["n_rows"] == 3 and row["cross_entropy"] == pytest.approx(2 * most / 3)
+    assert losses.focal_loss(scored, ["a", "b"]).first()["focal_loss"] == pytest.approx(2 * most / 3)
+    several = spark.createDataFrame([(["x"], ["x", "y"], [0.0, 1.0])], "labels array<string>, names array<string>, p array<double>")
+    weights = spark.createDataFrame([("x", 1.0), ("y", 1.0)], "label string, pos_weight double")
+    assert losses.bce_loss(several, weights).first()["bce_loss"] == pytest.approx(most, rel=1e-2)

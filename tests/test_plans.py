@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from textlab.catalog import entries
+from textlab.functions import groups
 from textlab.functions.groups import small_table
 from textlab.operators import labels, quality, validate
 from textlab.operators import split as sp
@@ -64,7 +65,34 @@ def test_weights_join_beyond_the_limit(spark, monkeypatch):
     df = spark.range(900).withColumn("y", (F.col("id") % 300).cast("string"))
     weights = labels.class_weights(df, "y")
     expected = sorted(labels.attach_weights(df, weights, "y").collect())
+    monkeypatch.setattr(groups, "BROADCAST_ROWS", 10)
     monkeypatch.setattr(small_table, "__defaults__", (10,))
     assert sorted(labels.attach_weights(df, weights, "y").collect()) == expected
     parts = sp.stratified_split(df, "y", "id", 0.4)
     assert parts.filter("split = 'val'").count() == 360
+
+
+def test_a_hot_key_is_dealt_out(spark, monkeypatch):
+    """Two thirds of the rows on one key: no partition of the join has more than its share."""
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = groups.salted_join(rows, table, ["k"])
+        sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(sizes) == 3000 and max(sizes) < 1200
+        assert joined.filter("k = 'hot'").select("n").distinct().collect()[0]["n"] == 2000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_cluster_session_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from textlab.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda name, default=None: {"spark.master": "spark://host:7077"}.get(name, default))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(SimpleNamespace(conf=conf))

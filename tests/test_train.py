@@ -66,7 +66,7 @@ def test_search_is_seeded_and_skips_the_smallest_tier(parts):
     assert kept.strategy == "CRITICAL" and record == []
     proxy = sp.proxy_sample(parts[0].drop("split"), "label", "doc_id")
     best, record = train.search(proxy, "text", "label", CFG, trials=1)
-    assert len(record) == train.TRIALS_LEAST
+    assert len(record) == 1
     assert max(record, key=lambda r: r["f1"])["weight_decay"] == best.weight_decay
 
 
@@ -74,7 +74,7 @@ def test_failed_trials_are_recorded_and_left_out(parts, monkeypatch):
     def fail(*_):
         raise RuntimeError("no fit")
 
-    monkeypatch.setattr(train, "fit_model", fail)
+    monkeypatch.setattr(train, "_fit", fail)
     proxy = sp.proxy_sample(parts[0].drop("split"), "label", "doc_id")
     best, record = train.search(proxy, "text", "label", CFG, trials=3)
     assert best == CFG and [r["error"] for r in record] == ["no fit"] * 3
@@ -107,7 +107,43 @@ def test_word_importance(parts, logistic):
         assert [r["score"] for r in mine] == sorted((r["score"] for r in mine), reverse=True)
         assert sum(r["in_top"] for r in mine) == min(5, len(mine))
     told = explain.explanations(logistic.model, parts[1], "doc_id", "text", logistic.classes, n=3).collect()
-    assert len(told) == 3 and all(len(r["excerpt"]) <= 120 and len(r["top_words"]) <= 5 for r in told)
+    assert len(told) == 3 and all(len(r["top_words"]) <= 5 for r in told)
+    short = explain.explanations(logistic.model, parts[1], "doc_id", "text", logistic.classes, n=3, excerpt=9).collect()
+    assert all(t["excerpt"].startswith(r["excerpt"]) and len(r["excerpt"]) <= 9 for t, r in zip(sorted(told), sorted(short)))
+
+
+@pytest.fixture(scope="module")
+def last_words(spark):
+    """Long texts that differ in their last word only."""
+    same = " ".join(f"w{i % 50}" for i in range(3000))
+    return spark.createDataFrame([(i, f"{same} {'yes' if i % 2 else 'no'}", "ab"[i % 2]) for i in range(40)], "doc_id long, text string, label string")
+
+
+def test_the_last_word_of_a_long_text_counts(spark, last_words, tmp_path):
+    fitted = train.fit_model("lr_unigram", last_words, "text", "label", CFG)
+    told = fitted.score(last_words)
+    assert told.filter("prediction != label").count() == 0
+    last_words.write.parquet(str(tmp_path / "in"))
+    stream = file_stream(spark, str(tmp_path / "in"), last_words.schema)
+    write_stream(predict_stream(fitted.model, stream, fitted.classes), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).filter("prediction = label").count() == 40
+    words = explain.word_importance(fitted.model, last_words, "doc_id", "text", k=1)
+    assert {r["word"] for r in words.filter("in_top").collect()} <= {"yes", "no"}
+
+
+def test_stream_counts_every_row_in_any_batching(spark, small, tmp_path):
+    from textlab.streaming.scoring import distribution, distribution_stream, label_windows
+
+    events = load(spark, small, "events")
+    for i, part in enumerate(("event_id % 3 = 2", "event_id % 3 = 0", "event_id % 3 = 1")):
+        events.filter(part).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    wanted = sorted(label_windows(events, "event_type", "ts").collect())
+    for files in (1, 10):
+        out = str(tmp_path / f"out{files}")
+        for _ in range(2):
+            stream = file_stream(spark, str(tmp_path / "in" / "*"), events.schema, files_per_batch=files)
+            distribution_stream(stream, "event_type", "ts", out, out + "-c").awaitTermination()
+        assert sorted(distribution(spark, out).collect()) == wanted
 
 
 def test_saved_run_gives_the_recorded_best(spark, parts, bayes, logistic, tmp_path):

@@ -55,11 +55,11 @@ def test_dedup_with_a_text_that_fills_a_third(spark):
 def test_multi_label_needs_more_than_a_tenth(spark):
     def told(n):
         df = spark.range(100).withColumn("y", F.when(F.col("id") < n, "a,b").otherwise("c"))
-        return validate.is_multi_label(df, "y", "id")
+        return validate.is_multi_label(df, "y")
 
     assert (told(10), told(11)) == (False, True)
     lists = spark.createDataFrame([(1, ["a", " b "])], "id int, y array<string>")
-    assert validate.is_multi_label(lists, "y", "id")
+    assert validate.is_multi_label(lists, "y")
     assert labels.multi_hot(lists, "y").first()["multi_hot"] == [1.0, 1.0]
 
 

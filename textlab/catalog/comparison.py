@@ -12,7 +12,7 @@ from textlab.operators import metrics as m
 from textlab.operators import split as sp
 from textlab.plans import reports
 from textlab.sources.tables import load
-from textlab.streaming.scoring import distribution_stream, file_stream, write_stream
+from textlab.streaming.scoring import distribution, distribution_stream, file_stream
 from textlab.session import work_path
 
 
@@ -96,16 +96,16 @@ def u2(s, d):
 
 
 def r8(s, d):
-    """Events per type and day, read as a stream; windows the watermark has passed."""
+    """Events per type and day, read as a stream."""
     schema = load(s, d, "events").schema
     epoch = "timestamp_ntz '1970-01-01 00:00:00'"
     utc = F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, {epoch}, cast(ts as timestamp_ntz)))")
     stream = file_stream(s, d, schema, "events.parquet").select("event_type", utc.alias("ts"))
     path = work_path(s, "distribution")
-    write_stream(distribution_stream(stream, "event_type", "ts"), path, path + "-checkpoint").awaitTermination()
+    distribution_stream(stream, "event_type", "ts", path, path + "-checkpoint").awaitTermination()
     local = "date_format(timestampadd(MICROSECOND, unix_micros({0}), {1}), 'yyyy-MM-dd HH:mm') as {0}"
     day = [F.expr(local.format(x, epoch)) for x in ("window_start", "window_end")]
-    return s.read.parquet(path).select(*day, "label", "n")
+    return distribution(s, path).select(*day, "label", "n")
 
 
 QUERIES = {
@@ -162,6 +162,6 @@ QUERIES = {
         r8,
         """with w as (select date_trunc('day', ts) as day, event_type as label, count(*) as n from events group by 1, 2)
         select strftime(day, '%Y-%m-%d %H:%M') as window_start, strftime(day + interval 1 day, '%Y-%m-%d %H:%M') as window_end, label, n
-        from w where day + interval 1 day <= (select max(ts) - interval 1 hour from events)""",
+        from w""",
     ),
 }

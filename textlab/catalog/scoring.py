@@ -251,18 +251,18 @@ QUERIES = {
     "t3_cross_entropy": (
         lambda s, d: rounded(losses.cross_entropy(scored(s, d), LANGS, weights(s, d), by="source")),
         f"""with {SCORED_SQL}, {WEIGHTS_CTE} select source, count(*) as n_rows,
-          round(sum(-weight * ln(p_true)) / sum(weight), 6) as cross_entropy from scored join cw using (label) group by source""",
+          round(sum(-weight * ln(greatest(least(p_true, 1 - 1e-15), 1e-15))) / sum(weight), 6) as cross_entropy from scored join cw using (label) group by source""",
     ),
     "t4_focal_loss": (
         lambda s, d: rounded(losses.focal_loss(scored(s, d), LANGS, 3.0, weights(s, d), by="source")),
         f"""with {SCORED_SQL}, {WEIGHTS_CTE} select source, count(*) as n_rows,
-          round(avg(pow(1 - p_true, 3) * weight * -ln(p_true)), 6) as focal_loss from scored join cw using (label) group by source""",
+          round(avg(pow(1 - p_true, 3) * weight * -ln(greatest(least(p_true, 1 - 1e-15), 1e-15))), 6) as focal_loss from scored join cw using (label) group by source""",
     ),
     "t7_bce_loss": (
         lambda s, d: rounded(losses.bce_loss(scored_multi(s, d), o.pos_weights(multi_docs(s, d), "tags"), by="source")),
         f"""with {SCORED_MULTI_SQL}, pw as (select label, least(greatest(count(case when not y then 1 end), 1)
             / greatest(count(case when y then 1 end), 1), 50) as w from marked group by 1)
-        select source, count(*) as n_terms, round(avg(case when y then -w * ln(p) else -ln(1 - p) end), 6) as bce_loss
+        select source, count(*) as n_terms, round(avg(case when y then -w * ln(greatest(least(p, 1 - 1e-15), 1e-15)) else -ln(1 - greatest(least(p, 1 - 1e-15), 1e-15)) end), 6) as bce_loss
         from marked join pw using (label) group by source""",
     ),
     "x2_merge_subwords": (
@@ -348,7 +348,7 @@ QUERIES = {
           strftime(coalesce(b, f), '%Y-%m-%d %H:%M:%S.%f') as started_at,
           strftime(case when coalesce(hit, false) then (select max(ts) from steps z where z.run = h.run and z.step is null and z.status = 'failed')
             when st <> 'running' then f end, '%Y-%m-%d %H:%M:%S.%f') as finished_at,
-          case when coalesce(hit, false) then substr(ae, 1, 500) when st = 'failed' then substr(e, 1, 500) end as error from h""",
+          case when coalesce(hit, false) then ae when st = 'failed' then e end as error from h""",
     ),
     "k4_explain_report": (
         lambda s, d: reports.explain_report(scored(s, d)).filter("section = 'histogram'"),

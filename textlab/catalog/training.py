@@ -1,5 +1,8 @@
 """Queries that fit models. Their results are checked by row counts and by tests."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.catalog.inputs import documents, labeled, multi_docs
@@ -37,10 +40,9 @@ def _fitted(s, d, name="lr_unigram", cfg=FAST):
 def t1(s, d):
     """All candidates on the cleaned documents, with their validation metrics."""
     fit, val = _parts(s, d)
-    frames = []
-    for one in train.fit_models(["nb_multinomial", "nb_complement", "lr_unigram"], fit, "text", "label", FAST):
-        frames.append(metrics(one.score(val)).withColumn("model", F.lit(one.name)))
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+    fitted = train.fit_models(list(train.CANDIDATES), fit, "text", "label", FAST)
+    frames = [metrics(one.score(val)).withColumn("model", F.lit(one.name)) for one in fitted]
+    return reduce(DataFrame.unionByName, frames)
 
 
 def t2(s, d):

@@ -67,11 +67,10 @@ QUERIES = {
         select source, "column", round(cast(r as double), 6) as null_ratio, r > 0.95 as too_empty from long""",
     ),
     "v4_multi_label_check": (
-        lambda s, d: v.multi_label_check(multi_docs(s, d), "tags", "doc_id"),
-        f"""with {MULTI_SQL}, head as (select regexp_matches(tags, '[,|]') as b from multi
-          where tags is not null order by doc_id limit 500)
-        select count(*) as n_sample, count(case when b then 1 end) as n_delimited,
-          count(case when b then 1 end) > 0.1 * count(*) as is_multi_label from head""",
+        lambda s, d: v.multi_label_check(multi_docs(s, d), "tags"),
+        f"""with {MULTI_SQL}, told as (select regexp_matches(tags, '[,|]') as b from multi where tags is not null)
+        select count(*) as n_values, count(case when b then 1 end) as n_delimited,
+          count(case when b then 1 end) > 0.1 * count(*) as is_multi_label from told""",
     ),
     "v5_parse_labels": (
         v5,

@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A lookup table up to this many rows may be broadcast.
+# A lookup table up to this many rows and bytes may be broadcast.
 BROADCAST_ROWS = 10_000
+BROADCAST_BYTES = 8 << 20
+# Join keys that the rows of one value are dealt out over.
+SALTS = 16
 
 
 def keys(by) -> list[str]:
@@ -43,13 +46,43 @@ def with_totals(detail: DataFrame, by, **totals: Column) -> DataFrame:
     return added.select(*detail.columns, *[F.col("_totals")[n].alias(n) for n in totals])
 
 
-def small_table(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` as a broadcast table if it has at most ``limit`` rows, else ``df`` as it is.
+def salted_join(rows: DataFrame, table: DataFrame, names, how: str = "inner") -> DataFrame:
+    """Equi-join, null with null, that deals the rows of one key out over SALTS partitions.
 
-    The check reads at most ``limit + 1`` rows. A larger table stays a distributed one and is
-    joined by shuffle, where adaptive execution splits the skewed keys.
+    ``table`` has a row per key and is repeated for every salt, so its size counts SALTS times
+    and a key with a third of all ``rows`` is SALTS tasks' work. Adaptive execution doesn't split
+    such a key by itself where the table is an aggregate. The salt of a row is a hash of its
+    columns, which is the same when a task is repeated.
     """
+    names = keys(names)
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return join_on(rows.withColumn("_salt", salt), copies, [*names, "_salt"], how).drop("_salt")
+
+
+def lookup_join(rows: DataFrame, table: DataFrame, names, how: str = "inner", limit: int | None = None) -> DataFrame:
+    """``salted_join``, or a broadcast join where the table is known to be small.
+
+    At most ``limit + 1`` rows of it are read to find out.
+    """
+    small = _collected(table, BROADCAST_ROWS if limit is None else limit)
+    if small is None:
+        return salted_join(rows, table, names, how)
+    return join_on(rows, F.broadcast(small), names, how)
+
+
+def _collected(df: DataFrame, limit: int) -> DataFrame | None:
     table = df.limit(limit + 1).toArrow()
-    if table.num_rows > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
+    if table.num_rows > limit or table.nbytes > BROADCAST_BYTES:
+        return None
+    return df.sparkSession.createDataFrame(table, df.schema)
+
+
+def small_table(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` as a broadcast table if it has at most ``limit`` rows and BROADCAST_BYTES bytes.
+
+    The check reads at most ``limit + 1`` rows. A larger table stays a distributed one; where the
+    other side may have a hot key, ``lookup_join`` is the join to use.
+    """
+    found = _collected(df, limit)
+    return df if found is None else F.broadcast(found)

@@ -14,7 +14,6 @@ from textlab.plans.rules import calibration_verdict
 
 LOW_CONFIDENCE = 0.80
 BINS = 10
-SHOWN_CHARS = 120
 CONTINUATION = "##"
 
 
@@ -120,13 +119,13 @@ def word_scores(model: PipelineModel, rows: DataFrame, id_col: str, text: str) -
 
 
 def word_importance(
-    model: PipelineModel, df: DataFrame, id_col: str, text: str, n: int = 10, k: int = 5
+    model: PipelineModel, df: DataFrame, id_col: str, text: str, n: int | None = None, k: int = 5
 ) -> DataFrame:
-    """Scores of the words of the first ``n`` rows, normalised to 1 per row, best first.
+    """Scores of the words of all rows, or the first ``n``, normalised to 1 per row, best first.
 
     ``in_top`` marks the ``k`` strongest words of each row.
     """
-    rows = df.orderBy(id_col).limit(n)
+    rows = df if n is None else df.orderBy(id_col).limit(n)
     scores = word_scores(model, rows, id_col, text)
     total = F.sum("score").over(Window.partitionBy(id_col))
     shares = scores.withColumn("score", F.when(total > 0, F.col("score") / total).otherwise(0.0))
@@ -136,13 +135,14 @@ def word_importance(
 
 def explanations(
     model: PipelineModel, df: DataFrame, id_col: str, text: str, classes: list[str], label: str = "label",
-    n: int = 10, k: int = 5,
+    n: int | None = None, k: int = 5, excerpt: int | None = None,
 ) -> DataFrame:
-    """One row per explained text: excerpt, prediction, truth, top words and all words."""
+    """One row per explained text: the text or an excerpt, prediction, truth, top and all words."""
     names = F.array(*[F.lit(c) for c in classes])
-    rows = model.transform(df.orderBy(id_col).limit(n)).select(
+    shown = df if n is None else df.orderBy(id_col).limit(n)
+    rows = model.transform(shown).select(
         id_col,
-        F.substring(text, 1, SHOWN_CHARS).alias("excerpt"),
+        (F.col(text) if excerpt is None else F.substring(text, 1, excerpt)).alias("excerpt"),
         F.get(names, F.col("prediction").cast("int")).alias("predicted"),
         F.col(label).alias("actual"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlab.functions.groups import join_on, keys, small_table, with_totals
+from textlab.functions.groups import join_on, keys, lookup_join, with_totals
 from textlab.functions.labels import label_rows, parse_labels
 
 WEIGHT_RATIO = 2.0
@@ -142,8 +142,8 @@ def class_dispersion(df: DataFrame, label: str, by=(), multi_label: bool = False
 
 def attach_weights(df: DataFrame, weights: DataFrame, label: str = "label") -> DataFrame:
     """Weight of each row's class; 1.0 for a class without one."""
-    table = small_table(weights.select(F.col("label").alias("_label"), "weight"))
-    joined = df.join(table, F.col(label) == F.col("_label"), "left")
+    table = weights.filter(F.col("label").isNotNull()).select(F.col("label").alias(label), "weight")
+    joined = lookup_join(df, table, label, "left")
     return joined.select(*df.columns, F.coalesce("weight", F.lit(1.0)).alias("weight"))
 
 
@@ -165,14 +165,13 @@ def index_labels(df: DataFrame, label: str) -> DataFrame:
 
 
 def encode_labels(df: DataFrame, label: str, classes: DataFrame) -> DataFrame:
-    table = small_table(classes.select(F.col("label").alias("_label"), "class_id"))
-    return df.join(table, F.col(label) == F.col("_label"), "left").drop("_label")
+    return lookup_join(df, classes.select(F.col("label").alias(label), "class_id"), label, "left")
 
 
 def decode_ids(df: DataFrame, classes: DataFrame, id_column: str = "class_id") -> DataFrame:
     """Class name of each class id (inner join on the class table)."""
-    table = small_table(classes.select(F.col("class_id").alias("_id"), F.col("label").alias("decoded")))
-    return df.join(table, F.col(id_column) == F.col("_id")).drop("_id")
+    table = classes.select(F.col("class_id").alias(id_column), F.col("label").alias("decoded"))
+    return lookup_join(df.filter(F.col(id_column).isNotNull()), table, id_column)
 
 
 def class_list(classes: DataFrame) -> Column:

@@ -18,8 +18,17 @@ def true_probability(classes: list[str], label: str = "label", p: str = "p") ->
     return F.get(F.col(p), F.array_position(names, F.col(label)).cast("int") - 1)
 
 
+#: Probabilities are kept this far from 0 and 1, where the logarithm has no value.
+EDGE = 1e-15
+
+
+def clipped(p: Column) -> Column:
+    return F.greatest(F.least(p, F.lit(1 - EDGE)), F.lit(EDGE))
+
+
 def _weighted(scored: DataFrame, classes: list[str], weights: DataFrame | None) -> DataFrame:
-    told = scored.withColumn("_p", true_probability(classes))
+    # A label that is none of the classes has probability 0, so it costs as much as can be.
+    told = scored.withColumn("_p", clipped(F.coalesce(true_probability(classes), F.lit(0.0))))
     return told.withColumn("weight", F.lit(1.0)) if weights is None else attach_weights(told, weights)
 
 
@@ -48,6 +57,7 @@ def bce_loss(scored: DataFrame, pos_weight: DataFrame, by=()) -> DataFrame:
         *by, F.col("x.label").alias("label"), F.array_contains("labels", F.col("x.label")).alias("y"),
         F.col("x.p").alias("p"),
     )
+    long = long.withColumn("p", clipped(F.col("p")))
     told = attach_weights(long, pos_weight.withColumnRenamed("pos_weight", "weight"))
     loss = F.when(F.col("y"), -F.col("weight") * F.ln("p")).otherwise(-F.ln(1 - F.col("p")))
     return told.groupBy(*by).agg(F.count(F.lit(1)).alias("n_terms"), F.avg(loss).alias("bce_loss"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlab.functions.groups import join_on, keys, small_table, with_totals
+from textlab.functions.groups import join_on, keys, lookup_join, with_totals
 from textlab.plans.rules import fit_diagnosis, gap_flag, lift_verdict
 
 METRICS = ["f1", "accuracy", "precision", "recall"]
@@ -212,7 +212,7 @@ def majority_baseline_multilabel(df: DataFrame, labels: str, by=()) -> DataFrame
     )
     told = df.select(*by, F.col(labels).alias("labels"))
     if by:
-        told = join_on(told, small_table(base), by)
+        told = lookup_join(told, base, by)
     else:
         told = told.withColumn("_b", base.select(F.struct("predicted", "majority_share")).scalar())
         told = told.select("labels", "_b.*")

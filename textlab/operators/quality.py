@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.functions.groups import join_on, keys, with_totals
+from textlab.functions.groups import join_on, keys, salted_join, with_totals
 from textlab.functions.labels import parse_labels
 from textlab.functions.text import bar, normalise, strip, text_key
 from textlab.operators.labels import class_counts
@@ -71,14 +71,15 @@ def near_duplicate_count(df: DataFrame, text: str, by=()) -> DataFrame:
 def near_duplicates(df: DataFrame, text: str, id_col: str) -> DataFrame:
     """The near-duplicate rows themselves, with the group's key and size.
 
-    Groups are counted on keys only; the join back by key carries the id, not the text.
-    Copies of one text meet in one join key, which adaptive execution splits.
+    Groups are counted on keys only; the join back by key carries the id, not the text. The rows
+    of a large group are dealt out over many join keys, see ``salted_join``.
     """
     keyed = df.select(F.col(id_col), text_key(normalise(_text(df, text))).alias("text_key"))
     groups = (
         keyed.groupBy("text_key").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
     )
-    return keyed.join(groups, "text_key").select(id_col, F.hex("text_key").alias("text_key"), "group_size")
+    found = salted_join(keyed, groups, ["text_key"])
+    return found.select(id_col, F.hex("text_key").alias("text_key"), "group_size")
 
 
 def label_conflicts(df: DataFrame, text: str, label: str, by=()) -> DataFrame:

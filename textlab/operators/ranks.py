@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlab.functions.groups import join_on, keys, small_table
+from textlab.functions.groups import join_on, keys, lookup_join, small_table
 
 PREFIX = 4  # hex digits: 65 536 buckets of equal expected size per class
 
@@ -69,7 +69,7 @@ def cuts_passed(
     key = row_key(id_col, seed)
     table = cut_keys(df, id_col, cuts, by, seed)
     if by:
-        marked = join_on(df, small_table(table), by, "left")
+        marked = lookup_join(df, table, by, "left")
     else:
         marked = df.withColumn("cuts", table.select("cuts").scalar())
     passed = F.size(F.filter(F.coalesce("cuts", F.array()), lambda c: c < key))
@@ -155,7 +155,7 @@ def exact_median(df: DataFrame, column: str, by=(), accuracy: int = 100_000) ->
         F.when(tiny, F.col("_hi")).otherwise(F.col("_b")[1]).alias("_hi"),
     )
     if by:
-        marked = join_on(values, small_table(found), by)
+        marked = lookup_join(values, found, by)
     else:
         marked = values.withColumn("_f", found.select(F.struct("_n", "_lo", "_hi")).scalar())
         marked = marked.select("v", "_f.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The steps of a run, in order, and the length an error is cut to.
+# The steps of a run, in order.
 STEPS = [
     "data_validation",
     "data_intelligence",
@@ -15,31 +15,32 @@ STEPS = [
     "best_model_selection",
     "report_generation",
 ]
-ERROR_CHARS = 500
 
 
 def run_state(events: DataFrame) -> DataFrame:
     """Status, start, end and error of every step of every run.
 
     ``events`` is ``(run, step, status, ts, error)``; an event without a step concerns the run.
-    A step without events is pending. If a run failed as a whole, its first step still running
-    failed with it. Two map-side combined aggregates; a run keeps at most a row per step.
+    A step without events is pending. Steps of other names follow the seven, by name. If a run failed as a whole, its first step still running
+    failed with it. Two map-side combined aggregates; a run keeps a row per step.
     """
     ended = F.col("status").isin("completed", "failed")
     failed = F.col("status") == "failed"
-    known = events.filter(F.col("step").isNull() | F.col("step").isin(STEPS))
-    latest = known.groupBy("run", "step").agg(
+    latest = events.groupBy("run", "step").agg(
         F.max(F.struct("ts", "status")).alias("last"),
         F.max(F.when(F.col("status") == "running", F.col("ts"))).alias("begun"),
         F.max(F.when(ended, F.col("ts"))).alias("finished_at"),
-        F.max(F.when(failed, F.struct("ts", F.substring("error", 1, ERROR_CHARS).alias("error")))).alias("fault"),
+        F.max(F.when(failed, F.struct("ts", "error"))).alias("fault"),
     )
     runs = latest.groupBy("run").agg(
         F.collect_list(F.when(F.col("step").isNotNull(), F.struct("step", "last", "begun", "finished_at", "fault"))).alias("steps"),
         F.max(F.when(F.col("step").isNull() & (F.col("last.status") == "failed"), F.col("fault"))).alias("abort"),
     )
-    names = F.array(*[F.lit(s) for s in STEPS])
-    told = runs.select("run", "abort", "steps", F.posexplode(names).alias("step_no", "step"))
+    fixed = F.array(*[F.lit(s) for s in STEPS])
+    own = F.array_sort(F.array_except(F.transform("steps", lambda s: s["step"]), fixed))
+    runs = runs.withColumn("names", F.concat(fixed, own))
+    names = F.col("names")
+    told = runs.select("run", "abort", "steps", "names", F.posexplode(names).alias("step_no", "step"))
     told = told.withColumn("e", F.get(F.filter("steps", lambda s: s["step"] == F.col("step")), F.lit(0)))
     running = F.transform(
         F.filter("steps", lambda s: s["last"]["status"] == "running"),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IDF, HashingTF, NGram, SQLTransformer, StringIndexer, StringIndexerModel
@@ -30,19 +31,23 @@ from textlab.plans.rules import ROSTER
 
 # The candidates: estimator, hashed feature bits, and whether word pairs are features too.
 CANDIDATES = {
-    "nb_multinomial": ("multinomial", 12, False),
+    "nb_multinomial": ("multinomial", 16, False),
     "nb_complement": ("complement", 14, False),
     "lr_unigram": ("logistic", 14, False),
     "lr_bigram": ("logistic", 16, True),
     "lr_bigram_large": ("logistic", 18, True),
 }
 ITERATIONS_PER_EPOCH = 5
-TRIALS_LEAST, TRIALS_MOST = 3, 20
+#: Independent fits that are given to Spark at a time.
+PARALLEL_FITS = 3
 
 
 @dataclass(frozen=True)
 class Config:
-    """Training settings as far as Spark ML has them."""
+    """Training settings as far as Spark ML has them.
+
+    ``max_length`` is reported only: texts are read whole in training and scoring.
+    """
 
     epochs: tuple[int, int] = (5, 8)
     decay_bounds: tuple[float, float] = (0.0, 0.02)
@@ -99,18 +104,16 @@ class Trained:
         return predict(self.model, df, self.classes)
 
 
-def tokenizer(text: str, max_length: int) -> SQLTransformer:
-    """Lower-cased tokens, the first ``max_length`` of them, as a stage that can be saved."""
-    return SQLTransformer(
-        statement=f"SELECT *, slice(regexp_extract_all(lower({text}), '({TOKEN})', 1), 1, {max_length})"
-        " AS tokens FROM __THIS__".replace("\\", "\\\\")
-    )
+def tokenizer(text: str) -> SQLTransformer:
+    """All lower-cased tokens, as a stage that can be saved."""
+    pattern = TOKEN.replace("\\", "\\\\")
+    return SQLTransformer(statement=f"SELECT *, regexp_extract_all(lower({text}), '({pattern})', 1) AS tokens FROM __THIS__")
 
 
-def hashing_stages(name: str, text: str, max_length: int) -> list:
+def hashing_stages(name: str, text: str) -> list:
     """Text to hashed term counts. None of the stages has to be fitted."""
     kind, bits, pairs = CANDIDATES[name]
-    stages, source = [tokenizer(text, max_length)], "tokens"
+    stages, source = [tokenizer(text)], "tokens"
     if pairs:
         stages.append(NGram(n=2, inputCol="tokens", outputCol="pairs"))
         stages.append(SQLTransformer(statement="SELECT *, concat(tokens, pairs) AS terms FROM __THIS__"))
@@ -129,20 +132,19 @@ class _Features:
     held counts.
     """
 
-    def __init__(self, name: str, ready: DataFrame, text: str, max_length: int, columns: list[str]):
-        kind = CANDIDATES[name][0]
-        self.stages = hashing_stages(name, text, max_length)
-        counted = PipelineModel(self.stages).transform(ready)
-        self.held = counted.select(_counted(kind), *columns).persist(StorageLevel.MEMORY_AND_DISK)
-        self.data = self.held
-        try:
-            if kind == "logistic":
-                idf = IDF(inputCol="counts", outputCol="features").fit(self.held)
-                self.stages.append(idf)
-                self.data = idf.transform(self.held).select("features", *columns)
-        except Exception:
-            self.held.unpersist()
-            raise
+    def __init__(self, name: str, ready: DataFrame, text: str, columns: list[str]):
+        self.name, self.columns = name, columns
+        self.stages = hashing_stages(name, text)
+        counted = PipelineModel(stages=self.stages).transform(ready)
+        self.held = counted.select(_counted(CANDIDATES[name][0]), *columns).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fitted(self, rows: str = "true") -> tuple[list, DataFrame]:
+        """The stages that are fitted on some of the held rows, and these rows with features."""
+        part = self.held.filter(rows)
+        if CANDIDATES[self.name][0] != "logistic":
+            return [], part
+        idf = IDF(inputCol="counts", outputCol="features").fit(part)
+        return [idf], idf.transform(part).select("features", *self.columns)
 
     def __enter__(self):
         return self
@@ -186,14 +188,19 @@ def fit_model(name: str, train: DataFrame, text: str, label: str, cfg: Config) -
     started = time.monotonic()
     index = index_classes(train, label)
     ready = _prepared(train, text, label, cfg, index)
-    with _Features(name, ready, text, cfg.max_length, ["class_id", "weight"]) as features:
-        fitted = estimator(name, cfg).fit(features.data)
-        if cfg.use_focal_loss and CANDIDATES[name][0] == "logistic":
-            fitted = _refit_focal(name, features.data, fitted, cfg)
-    model = PipelineModel(stages=[*features.stages, fitted])
+    with _Features(name, ready, text, ["class_id", "weight"]) as features:
+        scaling, data = features.fitted()
+        model = PipelineModel(stages=[*features.stages, *scaling, _fit(name, data, cfg)])
     return Trained(name, model, list(index.labels), time.monotonic() - started, config=cfg)
 
 
+def _fit(name: str, data: DataFrame, cfg: Config):
+    fitted = estimator(name, cfg).fit(data)
+    if cfg.use_focal_loss and CANDIDATES[name][0] == "logistic":
+        fitted = _refit_focal(name, data, fitted, cfg)
+    return fitted
+
+
 def _refit_focal(name: str, data: DataFrame, first, cfg: Config):
     """Second fit with the weights ``w * (1 - p)^gamma`` of the first one.
 
@@ -211,23 +218,30 @@ def fit_focal(train: DataFrame, text: str, label: str, gamma: float, name: str =
 
 
 def fit_models(names, train: DataFrame, text: str, label: str, configs) -> list[Trained]:
-    """Train the candidates in turn; one that fails is kept with its error.
+    """Train the candidates, PARALLEL_FITS at a time; one that fails is kept with its error.
 
     ``configs`` is one ``Config`` for all, or one per name. The narrow training table is
     persisted once for all candidates.
     """
     shared = train.select(text, label).persist(StorageLevel.MEMORY_AND_DISK)
-    results = []
+
+    def one(name: str) -> Trained:
+        cfg = configs if isinstance(configs, Config) else configs[name]
+        try:
+            return fit_model(name, shared, text, label, cfg)
+        except Exception as error:  # a failing candidate must not end the run
+            return Trained(name, error=str(error), config=cfg)
+
     try:
-        for name in names:
-            cfg = configs if isinstance(configs, Config) else configs[name]
-            try:
-                results.append(fit_model(name, shared, text, label, cfg))
-            except Exception as error:  # a failing candidate must not end the run
-                results.append(Trained(name, error=str(error), config=cfg))
+        return _together(one, names)
     finally:
         shared.unpersist()
-    return results
+
+
+def _together(work, items) -> list:
+    """Results in the order of the items; each item is a series of Spark jobs of its own."""
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(work), items))
 
 
 @dataclass
@@ -258,14 +272,17 @@ def fit_multilabel(train: DataFrame, text: str, label: str, cfg: Config = Config
     weights = {r["label"]: r["pos_weight"] for r in pos_weights(train, label).collect()}
     classes = [r["label"] for r in atomic_labels(train, label).orderBy("class_id").collect()]
     hot = multi_hot(train, label).select(text, "multi_hot")
-    with _Features(name, hot, text, cfg.max_length, ["multi_hot"]) as features:
-        models = []
-        for i, one in enumerate(classes):
+    with _Features(name, hot, text, ["multi_hot"]) as features:
+        scaling, data = features.fitted()
+
+        def one(i: int):
             y = F.get("multi_hot", F.lit(i)).cast("double")
-            rows = features.data.select("features", y.alias("class_id"))
-            weight = F.when(F.col("class_id") == 1, F.lit(float(weights[one]))).otherwise(1.0)
-            models.append(estimator(name, cfg).fit(rows.withColumn("weight", weight)))
-    return TrainedLabels(PipelineModel(features.stages), models, classes, time.monotonic() - started)
+            rows = data.select("features", y.alias("class_id"))
+            weight = F.when(F.col("class_id") == 1, F.lit(float(weights[classes[i]]))).otherwise(1.0)
+            return estimator(name, cfg).fit(rows.withColumn("weight", weight))
+
+        models = _together(one, range(len(classes)))
+    return TrainedLabels(PipelineModel(stages=[*features.stages, *scaling]), models, classes, time.monotonic() - started)
 
 
 def training_curve(spark: SparkSession, trained: Trained) -> DataFrame:
@@ -311,28 +328,40 @@ def search(proxy: DataFrame, text: str, label: str, cfg: Config, name: str = "lr
     """
     if cfg.strategy == "CRITICAL" or CANDIDATES[name][0] != "logistic":
         return cfg, []
-    wanted = max(TRIALS_LEAST, min(TRIALS_MOST, trials or cfg.trials))
-    sample = proxy.filter("role <> 'unused'").select(text, label, "role").persist()
-    record, best = [], (None, cfg)
-    try:
-        train = sample.filter("role in ('proxy_train', 'both')")
-        val = sample.filter("role in ('proxy_val', 'both')")
-        for i, settings in enumerate(trial_settings(cfg, wanted)):
+    settings = trial_settings(cfg, cfg.trials if trials is None else trials)
+    sample = proxy.filter("role <> 'unused'").select(text, F.col(label).cast("string").alias(label), "role")
+    in_train, in_val = "role in ('proxy_train', 'both')", "role in ('proxy_val', 'both')"
+    index = index_classes(sample.filter(in_train), label)
+    weighted = _weighted_part(sample, label, cfg, in_train)
+    with _Features(name, weighted, text, [label, "weight", "role"]) as features:
+        scaling, data = features.fitted(in_train)
+        data = index.transform(data)
+
+        def one(i: int) -> dict:
             entry = {
-                "trial": i, "weight_decay": settings.weight_decay, "elastic_net": settings.elastic_net,
-                "max_iter": settings.iterations, "f1": None, "error": None,
+                "trial": i, "weight_decay": settings[i].weight_decay, "elastic_net": settings[i].elastic_net,
+                "max_iter": settings[i].iterations, "f1": None, "error": None,
             }
             try:
-                scores, _ = evaluate(fit_model(name, train, text, label, settings), val, label)
+                model = PipelineModel(stages=[*scaling, _fit(name, data, settings[i])])
+                scores, _ = evaluate(Trained(name, model, list(index.labels)), features.held.filter(in_val), label)
                 entry["f1"] = scores["f1"]
-                if best[0] is None or scores["f1"] > best[0]:
-                    best = (scores["f1"], settings)
             except Exception as error:
                 entry["error"] = str(error)
-            record.append(entry)
-    finally:
-        sample.unpersist()
-    return best[1], record
+            return entry
+
+        record = _together(one, range(len(settings)))
+    done = [r for r in record if r["f1"] is not None]
+    best = max(done, key=lambda r: (r["f1"], -r["trial"]), default=None)
+    return cfg if best is None else settings[best["trial"]], record
+
+
+def _weighted_part(df: DataFrame, label: str, cfg: Config, rows: str) -> DataFrame:
+    """``weight`` from the class sizes of some of the rows; classes without any count once."""
+    if not cfg.use_class_weights:
+        return df.withColumn("weight", F.lit(1.0))
+    counts = df.filter(rows).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return attach_weights(df, weights_from_counts(counts), label).fillna(1.0, ["weight"])
 
 
 FOLD_SCHEMA = (
@@ -344,19 +373,28 @@ FOLD_SCHEMA = (
 def cross_validate(folded: DataFrame, text: str, label: str, name: str, cfg: Config) -> DataFrame:
     """Metrics per fold of a table with a ``fold`` column; weights are those of each fold's train
     part. A failing fold is recorded with its error."""
-    data = folded.select(text, label, "fold").persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
+    data = folded.select(text, F.col(label).cast("string").alias(label), "fold")
+    index = index_classes(data, label)
+    sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
+    total = sum(sizes.values())
     try:
-        sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
-        total = sum(sizes.values())
-        for fold in sorted(sizes):
+        features = _Features(name, index.transform(data), text, [label, "class_id", "fold"])
+    except Exception as error:
+        rows = [(fold, None, None, None, None, total - n, n, str(error)) for fold, n in sorted(sizes.items())]
+        return folded.sparkSession.createDataFrame(rows, FOLD_SCHEMA)
+    # Texts are hashed once; folds differ in the rows that the rest is fitted on.
+    with features:
+
+        def one(fold: int) -> tuple:
             n_val = sizes[fold]
             try:
-                trained = fit_model(name, data.filter(F.col("fold") != fold), text, label, cfg)
-                scores, _ = evaluate(trained, data.filter(F.col("fold") == fold), label)
-                rows.append((fold, *[scores[m] for m in METRICS], total - n_val, n_val, None))
+                scaling, rest = features.fitted(f"fold <> {int(fold)}")
+                model = PipelineModel(stages=[*scaling, _fit(name, _weighted_part(rest, label, cfg, "true"), cfg)])
+                val = features.held.filter(F.col("fold") == fold)
+                scores, _ = evaluate(Trained(name, model, list(index.labels)), val, label)
+                return (fold, *[scores[m] for m in METRICS], total - n_val, n_val, None)
             except Exception as error:
-                rows.append((fold, None, None, None, None, total - n_val, n_val, str(error)))
-    finally:
-        data.unpersist()
+                return (fold, None, None, None, None, total - n_val, n_val, str(error))
+
+        rows = _together(one, sorted(sizes))
     return folded.sparkSession.createDataFrame(rows, FOLD_SCHEMA)

@@ -12,7 +12,6 @@ from textlab.functions.text import is_blank, text_key
 
 MIN_ROWS = 100
 MAX_NULL_RATIO = 0.95
-MULTI_LABEL_SAMPLE = 500
 MULTI_LABEL_SHARE = 0.10
 REGRESSION_CLASSES = 20
 REGRESSION_RATIO = 0.2
@@ -91,20 +90,15 @@ def require_filled(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def multi_label_check(df: DataFrame, label: str, order_by: str) -> DataFrame:
-    """Does the label hold several labels per row? Judged on the first 500 values by order."""
+def multi_label_check(df: DataFrame, label: str) -> DataFrame:
+    """Does the label hold several labels per row? Judged on all values, in one aggregate."""
     if is_list(df, label):
         has_several = F.col(label).isNotNull()
     else:
         has_several = F.col(label).cast("string").rlike(DELIMITER)
-    sample = (
-        df.filter(~_missing(df, label))
-        .select(F.col(order_by).alias("_order"), has_several.alias("delimited"))
-        .orderBy("_order")
-        .limit(MULTI_LABEL_SAMPLE)
-    )
-    return sample.agg(
-        F.count(F.lit(1)).alias("n_sample"),
+    told = df.filter(~_missing(df, label)).select(has_several.alias("delimited"))
+    return told.agg(
+        F.count(F.lit(1)).alias("n_values"),
         F.count_if("delimited").alias("n_delimited"),
         F.coalesce(F.avg(F.col("delimited").cast("int")) > MULTI_LABEL_SHARE, F.lit(False)).alias(
             "is_multi_label"
@@ -112,8 +106,8 @@ def multi_label_check(df: DataFrame, label: str, order_by: str) -> DataFrame:
     )
 
 
-def is_multi_label(df: DataFrame, label: str, order_by: str) -> bool:
-    return is_list(df, label) or multi_label_check(df, label, order_by).first()["is_multi_label"]
+def is_multi_label(df: DataFrame, label: str) -> bool:
+    return is_list(df, label) or multi_label_check(df, label).first()["is_multi_label"]
 
 
 def regression_guard(df: DataFrame, label: str, by=()) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from textlab.functions.labels import parse_labels
 from textlab.functions.text import fill_empty
 from textlab.operators import compare, explain, metrics, profile, quality, split, train, validate
-from textlab.operators.merge import auto_columns, merge_text, merged_name, truncate_text
+from textlab.operators.merge import auto_columns, merge_text, merged_name
 from textlab.operators.tracking import STEPS, run_state
 from textlab.plans import analysis, reports
 from textlab.session import written
@@ -177,7 +177,7 @@ def _validated(df, label, text, text_columns, id_col, auto_merge, min_rows):
         # Depends on the layout of the input; written once, so that every later read agrees.
         id_col = "_row_id"
         df = written(df.withColumn(id_col, F.monotonically_increasing_id()), "rows")
-    multi = validate.is_multi_label(df, label, id_col)
+    multi = validate.is_multi_label(df, label)
     if not multi:
         validate.require_classification(df, label)
         df = validate.normalise_label(df, label)
@@ -196,7 +196,7 @@ def _validated(df, label, text, text_columns, id_col, auto_merge, min_rows):
         validate.require_filled(cleaned, columns)
         if len(columns) > 1:
             merged = merged_name(cleaned)
-            cleaned = truncate_text(merge_text(cleaned, columns, merged), merged)
+            cleaned = merge_text(cleaned, columns, merged)
             first = merged
     return cleaned, first, id_col, multi
 

@@ -24,8 +24,17 @@ def local_session(cores: int | str = "*", name: str = "textlab", memory: str = "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor reaches; a temporary one only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _local_dir()
+    """Folder that every executor reaches: ``spark.checkpoint.dir`` of the session.
+
+    Only a session that runs in one process gets a temporary folder where it names none.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.conf.get("spark.master", "")
+    if master == "local" or master.startswith("local["):
+        return _local_dir()
+    raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
 
 
 @lru_cache(maxsize=1)

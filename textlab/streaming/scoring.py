@@ -1,4 +1,4 @@
-"""Structured Streaming: score rows as they arrive, and count predicted labels per window."""
+"""Structured Streaming: score rows as they arrive, and count labels per window."""
 
 from __future__ import annotations
 
@@ -21,16 +21,40 @@ def predict_stream(model: PipelineModel, stream: DataFrame, classes: list[str])
     return predict(model, stream, classes)
 
 
-def distribution_stream(
-    stream: DataFrame, label: str, ts: str, window: str = "1 day", delay: str = "1 hour"
-) -> DataFrame:
-    """Rows per label and tumbling window. The watermark bounds the state to open windows."""
-    counted = stream.withWatermark(ts, delay).groupBy(F.window(ts, window), F.col(label).alias("label"))
-    return counted.agg(F.count(F.lit(1)).alias("n")).select(
+def label_windows(df: DataFrame, label: str, ts: str, window: str = "1 day") -> DataFrame:
+    """Rows per label and tumbling window."""
+    counted = df.groupBy(F.window(ts, window), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "label", "n"
     )
 
 
+def distribution_stream(
+    stream: DataFrame, label: str, ts: str, path: str, checkpoint: str, window: str = "1 day"
+) -> StreamingQuery:
+    """Count rows per label and tumbling window as they arrive, however late and in any order.
+
+    The counts of each batch are a folder of their own under ``path``, which a repeated batch
+    writes anew, so every row counts once; no state is kept and no row comes too late.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        label_windows(batch, label, ts, window).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        stream.writeStream.foreachBatch(add)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def distribution(spark: SparkSession, path: str) -> DataFrame:
+    """The counts so far: the sum over the batches."""
+    counts = spark.read.parquet(path)
+    return counts.groupBy("window_start", "window_end", "label").agg(F.sum("n").alias("n"))
+
+
 def write_stream(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process what is there, then stop. The checkpoint makes a restart continue, not repeat."""
     return (
