@@ -1,0 +1,488 @@
+"""Each operator against brute force, an exact property or held-out accuracy."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from textlab.llm import (
+    catalog, components, fingerprints, language, links, mixing, ngramjoin, packing, pseudonyms, quality, repeats, sharding,
+)
+from textlab.sources.tables import load
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, small):
+    return load(spark, small, "documents")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+
+
+def shingles(text, width):
+    w = WORD.findall(text)
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+# 1 ---------------------------------------------------------------------------------------------
+
+
+def test_fingerprints(docs, texts):
+    rows = by_id(fingerprints.edited_next(docs.repartition(5)))
+    order = sorted(texts, reverse=True)
+    errors = []
+    for doc, after in zip(order, order[1:] + order[:1]):
+        text, cut = texts[doc], len(texts[doc]) // 3
+        edited = text[: len(text) - cut] + texts[after][:cut]
+        row = rows[doc]
+        assert row["n_chars"] == len(text) and row["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        sets = [shingles(t, 5) for t in (text, edited, texts[after])]
+        errors += [row["near_edited"] - jaccard(*sets[:2]), row["near_next"] - jaccard(sets[0], sets[2])]
+    assert max(map(abs, errors)) < 0.15 and abs(np.mean(errors)) < 0.01
+
+
+def test_sketches_merge_to_that_of_the_whole(spark):
+    rng = random.Random(1)
+    parts = [("hot" if i % 3 else f"g{i % 7}", " ".join(rng.choices("abcdefgh", k=200))) for i in range(40)]
+    df = spark.createDataFrame(parts, "g string, text string")
+    merged = by_id(fingerprints.merge_by(fingerprints.fingerprints(df, k=64), ["g"], k=64), "g")
+    for g in {g for g, _ in parts}:
+        own = df.filter(F.col("g") == g)
+        every = sorted({h for r in fingerprints.with_sketch(own, "text", "s", 10**6).collect() for h in r["s"]})
+        assert merged[g]["sketch"] == every[:64]
+
+
+def test_sketches_estimate_counts_and_containment(spark):
+    words = [f"w{i}" for i in range(4000)]
+    df = spark.createDataFrame([(" ".join(words[:2000]), " ".join(words))], "a string, b string")
+    df = fingerprints.with_sketch(fingerprints.with_sketch(df, "a", "x"), "b", "y")
+    row = df.select(
+        fingerprints.distinct_count(F.col("y")).alias("n"), fingerprints.containment(F.col("x"), F.col("y")).alias("c"),
+        fingerprints.resemblance(F.col("x"), F.col("y")).alias("r"),
+    ).first()
+    assert abs(row["n"] / 3996 - 1) < 0.2 and row["c"] > 0.75 and abs(row["r"] - 0.5) < 0.12
+
+
+# 2 ---------------------------------------------------------------------------------------------
+
+
+def planted(seed, sizes, copies):
+    """Texts with near copies: a word changed here and there, words added at the end."""
+    rng, rows = random.Random(seed), []
+    for size in sizes:
+        base = [f"v{rng.randrange(60)}" if rng.random() < 0.5 else f"u{rng.randrange(10**6)}" for _ in range(size)]
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(rng.choice((0, 0, 1, 1, 2, 3))):
+                if rng.random() < 0.5:
+                    w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+                else:
+                    w.append(f"y{rng.randrange(10**6)}")
+            rows.append(" ".join(w))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def brute_components(rows, width, share):
+    sets = {i: shingles(t, width) for i, t in rows}
+    label = {i: i for i in sets}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j]:
+                both = len(sets[i] & sets[j])
+                if both >= share * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = find(i), find(j)
+                    label[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("width,share,boundary", [(3, Fraction(9, 10), None), (2, Fraction(4, 5), 14), (5, Fraction(4, 5), 0)])
+def test_near_components(spark, monkeypatch, width, share, boundary):
+    """Sets on both sides of the boundary, with sizes where one shingle decides."""
+    if boundary is not None:
+        monkeypatch.setattr(ngramjoin, "chosen_boundary", lambda sets, share: boundary)
+    rows = planted(7, [*range(1, 32), 45, 60, 61, 95, 150], 6)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.near_components(df, width=width, share=share).collect()}
+    assert found == brute_components(rows, width, share)
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Copies of one text that each change one word: a star of candidates, not all pairs."""
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, " ".join(base[:k] + [f"c{i}"] + base[k + 1 :])) for i, k in ((i, i % 120) for i in range(300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ngramjoin.near_components(df, width=3, share=Fraction(9, 10))
+    assert {r["component_id"] for r in found.collect()} == {0}
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(1, 400)] + [(1000, 1000 + i) for i in range(1, 200)] + [(3000, 3000)]
+    found = components.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["component"] for r in found.collect()} == {i: 1 for i in range(1, 401)} | {1000 + i: 1000 for i in range(200)}
+
+
+# 3 ---------------------------------------------------------------------------------------------
+
+
+def test_packing(spark, docs, texts):
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(catalog.tokenizer_path())
+    rows = packing.packed(packing.pieces(docs, catalog.tokenizer_path())).collect()
+    assert sorted(r["sequence_id"] for r in rows) == list(range(len(rows))) and {r["offset"] for r in rows} == {0}
+    in_order = [r["length"] for r in sorted(rows, key=lambda r: r["sequence_id"])]
+    assert in_order == sorted(in_order, reverse=True) and all(n & (n - 1) == 0 and n <= 4096 for n in in_order)
+    for doc, text in texts.items():
+        own = sorted((r for r in rows if r["doc_id"] == doc), key=lambda r: r["start"])
+        ids = coder.encode(text, add_special_tokens=False).ids + [2]
+        assert [x for r in own for x in r["ids"]] == ids
+        for r in own:
+            part = ids[r["start"] : r["start"] + r["length"]]
+            assert zlib.crc32(np.array(part, "<u4").tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids)
+
+
+STRANGE = [
+    "", "  ", "a\x0bb\tc  d", "ΑΣ Σ. ΟΔΟΣ, İstanbul", "x\x00y \x7f", "<|endoftext|> a<|startoftext|>b <|x", "it's WE'LL don't 'sx 're",
+    "日本語 テスト 🙂👍🏽", "á̀b ́ x", "½ 12³ ﬁ ẞ", "a b c\x85d\x1ce", "word, word. (word) word's",
+]
+
+
+@pytest.mark.parametrize("text", STRANGE)
+def test_codes_are_those_of_the_tokenizer(text):
+    from tokenizers import Tokenizer
+
+    path = catalog.tokenizer_path()
+    coder, codes = Tokenizer.from_file(path), packing.codes(path)
+    for _ in range(3):  # as first seen, as seen again, and as kept
+        assert np.frombuffer(codes.ids(text), "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids
+
+
+# 4 ---------------------------------------------------------------------------------------------
+
+
+def test_hilbert_curve_moves_one_cell_at_a_time(spark):
+    grid = spark.range(8**3).select(*[F.floor(F.col("id") / 8**i % 8).cast("int").alias(f"c{i}") for i in range(3)])
+    rows = sharding.hilbert_index(grid, ["c0", "c1", "c2"], "h", 3).orderBy("h").collect()
+    assert [r["h"] for r in rows] == list(range(512))
+    assert all(sum(abs(a[i] - b[i]) for i in range(3)) == 1 for a, b in zip(rows, rows[1:]))
+
+
+def test_shards(spark, docs, texts):
+    rows = sharding.document_shards(docs).collect()
+    again = sharding.document_shards(docs.repartition(7)).collect()
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in rows} == {r["doc_id"]: (r["shard"], r["slot"]) for r in again}
+    sizes = Counter(r["shard"] for r in rows)
+    assert set(sizes) == set(range(16)) and max(sizes.values()) - min(sizes.values()) <= 1
+    for shard, n in sizes.items():
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(n))
+    for r in rows:
+        data = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"]) == (len(data) + 1, zlib.crc32(data))
+
+
+def test_shards_are_narrow_in_all_dimensions_and_written(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, f"s{rng.randrange(32):02}", rng.randrange(10**6)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    placed = sharding.hilbert_shards(df, ["source", "size"], "doc_id", 16)
+    spread = placed.groupBy("shard").agg(F.countDistinct("source").alias("s"), (F.max("size") - F.min("size")).alias("w")).collect()
+    assert np.mean([r["s"] / 32 * r["w"] / 10**6 for r in spread]) < 0.2
+    sharding.write_shards(placed, str(tmp_path / "out"), 100)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(back.select(*placed.columns).collect()) == sorted(placed.collect())
+
+
+# 5 ---------------------------------------------------------------------------------------------
+
+
+def brute_targets(sizes, weights, share, most):
+    budget, left, targets = share * sum(sizes), set(range(len(sizes))), {}
+    while left:
+        level = (budget - sum(targets.values())) / sum(weights[i] for i in left)
+        over = {i for i in left if weights[i] * level > most * sizes[i]}
+        if not over:
+            return targets | {i: weights[i] * level for i in left}
+        targets |= {i: most * sizes[i] for i in over}
+        left -= over
+    return targets
+
+
+def test_mix(spark, docs):
+    df = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").when(F.col("doc_id") % 29 == 0, None).otherwise(F.col("source")))
+    rows = mixing.document_mix(df).collect()
+    assert sorted(rows) == sorted(mixing.document_mix(df.repartition(6)).collect())
+    sizes = Counter()
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    wanted = brute_targets([sizes[s] for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5, 2)
+    for i, s in enumerate(order):
+        own = [r for r in rows if r["source"] == s]
+        largest = max(r["size"] for r in own)
+        assert own[0]["target"] == pytest.approx(wanted[i]) and own[0]["source_size"] == sizes[s]
+        assert abs(sum(r["taken"] for r in own) - wanted[i]) <= largest / 2 + 1
+        assert len({r["copies"] for r in own if r["size"]}) <= 2
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in rows)
+    mixed = Counter(r["doc_id"] for r in mixing.mixture(df).collect())
+    assert mixed == Counter({r["doc_id"]: r["copies"] for r in rows if r["copies"]})
+
+
+def test_the_sample_follows_its_inclusion_probabilities(spark):
+    """Longer documents are preferred: over many seeds they come in as often as they should."""
+    rows = spark.createDataFrame([(i, 20 if i % 2 else 400) for i in range(400)], "id long, size long")
+    total = 200 * 20 + 200 * 400
+    preferred = 200 * 20 * 20 / 120 + 200 * 400 * 400 / 500
+    told = rows.withColumns({"rest": F.lit(total / 2.0), "preferred": F.lit(preferred)})
+    p = {s: total / 2 * s / (s + 100) / preferred for s in (20, 400)}
+    share = {20: [], 400: []}
+    for seed in range(6):
+        placed = told.withColumn("v", mixing.order_value(F.col("id"), F.col("size"), seed)).collect()
+        taken, left = [], total / 2
+        for r in sorted(placed, key=lambda r: r["v"]):
+            if left < r["size"] / 2:
+                break
+            taken.append(r["size"])
+            left -= r["size"]
+        for s in share:
+            share[s].append(taken.count(s) / 200)
+    assert all(abs(np.mean(share[s]) - p[s]) < 0.05 for s in p)
+
+
+# 6 ---------------------------------------------------------------------------------------------
+
+
+def test_permutations_are_one_to_one(spark):
+    got = [r["v"] for r in spark.range(92 * 7).select(pseudonyms.permuted(F.col("id"), 92, 7, "t", "k").alias("v")).collect()]
+    assert sorted(got) == list(range(644)) and got != sorted(got)
+    digits = spark.range(1000).select(pseudonyms.permuted_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "t", "k").alias("v"))
+    assert sorted(r["v"] for r in digits.collect()) == [f"{i:03}" for i in range(1000)]
+
+
+def luhn(number):
+    digits = [int(c) for c in reversed(re.sub(r"\D", "", number))]
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+
+
+def swapped(spark, *values, key="k"):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, text string")
+    return [r["text"] for r in sorted(pseudonyms.pseudonymised(df, key=key).collect())]
+
+
+def test_pseudonyms_pass_the_check_of_their_format(spark):
+    card, spaced, bad = "4845168114407329", "4845 1681 1440 7329", "4845168114407320"
+    a, b, c = swapped(spark, card, f"x {spaced} y", bad)
+    assert luhn(a) and a != card and len(a) == 16 and re.sub(r"\D", "", b) == a and c == bad
+    days = [f"{y}-{m:02}-{d:02}" for y, m, d in ((1984, 2, 29), (1999, 12, 31), (2000, 2, 29), (2024, 1, 1))]
+    import datetime
+
+    new = [datetime.date.fromisoformat(x) for x in swapped(spark, *days)]
+    assert [d.year // 100 for d in new] == [19, 19, 20, 20] and len(set(new)) == 4
+    assert swapped(spark, "1983-02-29", "300.1.1.1", "000-12-3456") == ["1983-02-29", "300.1.1.1", "000-12-3456"]
+    bank = swapped(spark, "DE89 3704 0044 0532 0130 00")[0].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in bank[4:] + bank[:4])) % 97 == 1 and bank.startswith("DE")
+    ip = swapped(spark, "at 97.51.17.173.")[0]
+    assert all(int(x) < 256 for x in re.findall(r"\d+", ip)) and ip.startswith("at ") and ip.endswith(".")
+    phones = swapped(spark, "+1 (487) 555-7209", "call +1 (487) 555-7209 now")
+    assert phones[1] == f"call {phones[0]} now" and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", phones[0])
+    assert swapped(spark, card) != swapped(spark, card, key="other")
+
+
+def test_a_century_of_dates_is_permuted(spark):
+    days = spark.sql("select explode(sequence(date'2000-01-01', date'2099-12-31')) as d").select(F.col("d").cast("string").alias("v"))
+    new = days.select(pseudonyms.date(F.col("v"), "k").alias("v"))
+    assert sorted(r["v"] for r in new.collect()) == sorted(r["v"] for r in days.collect())
+
+
+def test_clean_texts_stay_and_personal_data_goes(docs, texts):
+    rows = by_id(pseudonyms.document_pseudonyms(docs))
+    private = re.compile(r"[\w.]+@[\w.]+|\+1 \(\d{3}\) \d{3}-\d{4}|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])|(?<!\d)\d{16}(?!\d)")
+    for doc, text in texts.items():
+        new = rows[doc]["text"]
+        for found in private.findall(text):
+            if not found.isdigit() or luhn(found):
+                assert found not in new
+        if not re.search(r"\d|@|=", text):
+            assert new == text and not rows[doc]["changed"]
+
+
+# 7 ---------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("most", [1000, 2])
+def test_repeats(spark, monkeypatch, most):
+    """Passages shared by several texts, periodic texts, copies; with and without long prefixes."""
+    monkeypatch.setattr(repeats, "MOST_RUNS", most)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**5)}"
+    passage, period = [word() for _ in range(60)], [word() for _ in range(11)]
+    rows = []
+    for i in range(40):
+        w = [word() for _ in range(rng.randrange(0, 120))]
+        if i % 3 == 0:
+            lo = rng.randrange(0, 20)
+            w += passage[lo : lo + rng.choice((34, 35, 36, 40))]
+        if i % 4 == 0:
+            w += period * rng.randrange(1, 8)
+        rows.append((i, " \n".join(w + [word() for _ in range(rng.randrange(0, 30))])))
+    rows += [(100, rows[9][1]), (101, "a " * 90), (102, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = by_id(repeats.repeated_words(df))
+    lists = {i: WORD.findall(t or "") for i, t in rows}
+    seen = Counter(tuple(w[k : k + 35]) for w in lists.values() for k in range(len(w) - 34))
+    kept_texts = {r["doc_id"]: r["text"] for r in repeats.without_repeats(df).collect()}
+    for i, w in lists.items():
+        gone = [any(seen[tuple(w[k : k + 35])] > 1 for k in range(max(0, j - 34), min(j, len(w) - 35) + 1)) for j in range(len(w))]
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        row = found[i]
+        assert (row["n_words"], row["n_removed"], row["kept_sha256"]) == (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
+        assert " ".join(WORD.findall(kept_texts[i] or "")) == kept
+
+
+# 8 ---------------------------------------------------------------------------------------------
+
+
+def brute_rank(edges, seeds, rounds=300):
+    hosts = sorted({x for e in edges for x in e[:2]} | set(seeds))
+    at = {h: i for i, h in enumerate(hosts)}
+    m = np.zeros((len(hosts), len(hosts)))
+    for a, b, w in edges:
+        m[at[a], at[b]] += w
+    m /= np.where(m.sum(1) == 0, 1, m.sum(1))[:, None]
+    s = np.array([h in seeds for h in hosts], float) / len(seeds)
+    x = s
+    for _ in range(rounds):
+        moved = x @ m
+        x = 0.85 * moved + s * (1 - 0.85 * moved.sum())
+    return dict(zip(hosts, x))
+
+
+def test_trust_spreads_over_links(spark):
+    edges = [("a", "b", 1), ("a", "c", 3), ("b", "c", 1), ("c", "d", 1)]
+    table = spark.createDataFrame([("trust", *e) for e in edges], "kind string, src string, dst string, weight long")
+    seeds = spark.createDataFrame([("trust", "a")], "kind string, host string")
+    found = {r["host"]: r["score"] for r in links.propagated(table, seeds, tolerance=1e-3).collect()}
+    assert found == pytest.approx(brute_rank(edges, ["a"]), abs=1e-2)
+
+
+def test_url_verdicts(spark):
+    page = lambda *to: "".join(f'<a class=x HREF="{t}">t</a>' for t in to)
+    rows = [
+        (1, "http://Good.com/x", page("https://friend.org/1", "/own", "//mirror.org/")), (2, "https://evil.net/es/1", page("http://good.com/")),
+        (3, "http://farm.org/", page("http://evil.net/es/2")), (4, "http://friend.org", ""), (5, "https://a.example.com/en/1?x#y", None),
+        (6, "http://m.www.example.com/en/", ""), (7, None, None), (8, "no url", ""), (9, "http://lone.org/a", ""), (10, "http://notcom/", ""),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in links.url_verdicts(df, catalog.RULES).collect()}
+    assert found[1] == ("good.com", "/x", "com/", "allow") and found[2] == ("evil.net", "/es/1", "net/es/", "block")
+    assert found[3] == ("farm.org", "/", None, "block") and found[4] == ("friend.org", "", None, "allow")
+    assert found[5] == ("a.example.com", "/en/1", "example.com/en/", "block")
+    assert found[6] == ("m.www.example.com", "/en/", "www.example.com/en/", "allow")
+    assert found[7] == found[8] == ("", "", None, "allow") and found[9][3] == "allow" and found[10] == ("notcom", "/", None, "allow")
+
+
+# 9 ---------------------------------------------------------------------------------------------
+
+
+def test_languages_of_held_out_rows(docs):
+    rows = language.cross_predicted(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    out = [r for r in rows if r["held_out"]]
+    assert {r["held_out"] for r in rows} == {True, False} and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    assert np.mean([r["lang"] == r["lang_pred"] for r in out]) > 0.95 and all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_features_match_a_plain_count():
+    texts = ["Ab, c1\n\nÉ!", "", "xyz" * 50]
+    columns, rows, has = language.features(texts)
+    for i, t in enumerate(texts):
+        low = re.sub(r"[^a-zé]+", " ", f" {t.lower()} ")
+        grams = [low[k : k + n] for n in (1, 2, 3) for k in range(len(low) - n + 1) if low[k : k + n] != " "]
+        assert sorted(Counter(columns[rows == i].tolist()).values()) == sorted(Counter(grams).values())
+    assert has.tolist() == [True, False, True]
+
+
+# 10 --------------------------------------------------------------------------------------------
+
+
+def test_base_rules(spark, docs, texts):
+    rows = by_id(quality.quality_rules(docs))
+    for doc, text in texts.items():
+        w, row = WORD.findall(text), rows[doc]
+        seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        covered = {i + j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(8)}
+        lines, dup = set(), 0
+        for line in text.split("\n"):
+            if WORD.search(line):
+                dup += line in lines
+                lines.add(line)
+        wanted = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered))
+        assert tuple(row[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == wanted
+        failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+        assert row["base_failed"] == failed and not (failed and row["kept"])
+
+
+def js(p, q):
+    m = [(a + b) / 2 for a, b in zip(p, q)]
+    kl = lambda x: sum(a * math.log2(a / c) for a, c in zip(x, m) if a > 0)
+    return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+
+def test_distances(spark, docs, texts):
+    """Both distances against histograms counted in Python, references included."""
+    rows, langs = by_id(quality.quality_rules(docs)), {r["doc_id"]: r["lang"] for r in docs.collect()}
+    references = {r["lang"]: r for r in quality.language_references(docs).collect()}
+    hashes = {}
+    for text in texts.values():
+        hashes.update(dict.fromkeys(WORD.findall(text)))
+    df = spark.createDataFrame([(w,) for w in hashes], "w string").select("w", F.xxhash64("w").alias("h"))
+    hashes = {r["w"]: r["h"] for r in df.collect()}
+    for lang in set(langs.values()):
+        words = Counter(w for d, t in texts.items() if langs[d] == lang for w in WORD.findall(t))
+        total = sum(words.values())
+        for e in references[lang]["ref_words"]:
+            if e["hash"] is not None:
+                assert any(hashes[w] == e["hash"] and n / total == pytest.approx(e["share"]) for w, n in words.items())
+    for doc in sorted(texts)[:60]:
+        words, ref = WORD.findall(texts[doc]), references[langs[doc]]
+        common = {e["hash"]: e["share"] for e in ref["ref_words"] if e["hash"] is not None}
+        if len(words) < quality.LEAST_FOR_WORDS:
+            assert rows[doc]["word_distance"] is None
+            continue
+        counts = Counter(hashes[w] for w in words)
+        p = [counts[h] / len(words) for h in common]
+        p, q = [*p, 1 - sum(p)], [*common.values(), 1 - sum(common.values())]
+        assert rows[doc]["word_distance"] == pytest.approx(js(p, q), abs=1e-6)
+        assert 0 <= rows[doc]["char_distance"] <= 1
+
+
+def test_clean_documents_stay_and_junk_goes(spark, small, docs):
+    marked = quality.quality_rules(docs).join(load(spark, small, "labels"), "doc_id").collect()
+    good = [r for r in marked if r["quality"] == 1 and not r["base_failed"]]
+    assert np.mean([r["kept"] for r in good]) > 0.98
+    junk = spark.createDataFrame([(1, "### $$$ %%% &&& *** ||| <<< >>> " * 40, "en")], "doc_id long, text string, lang string")
+    assert not quality.quality_rules(junk, references=quality.language_references(docs)).first()["kept"]
