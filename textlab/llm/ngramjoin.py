@@ -397,7 +397,8 @@ def class_sets(rows: DataFrame, classes: DataFrame, width: int, fold: bool) -> D
                 out = pa.RecordBatch.from_arrays([part.column("id"), part.column("n"), pa.array(sets.lists(), pa.binary())], ["id", "n", "tokens"])
                 yield out.filter(same)
 
-    found = rows.join(classes, "id").select("id", "text", "n", "s1", "s2").mapInArrow(make, "id bigint, n bigint, tokens binary")
+    # The classes grow with the corpus, so they are never broadcast, however few they are.
+    found = rows.hint("merge").join(classes, "id").select("id", "text", "n", "s1", "s2").mapInArrow(make, "id bigint, n bigint, tokens binary")
     return found
 
 

@@ -239,7 +239,8 @@ def repeated_windows(df: DataFrame, id_col: str, text: str, window: int) -> tupl
                 keep = (s1 == part.column("s1").to_numpy()) & (s2 == part.column("s2").to_numpy())
                 yield part.filter(pa.array(keep))
 
-    texts = rows.join(wanted, "id").select("text", "s1", "s2", "m", "runs")
+    # The wanted texts grow with the corpus, so their table is never broadcast, however small.
+    texts = rows.hint("merge").join(wanted, "id").select("text", "s1", "s2", "m", "runs")
     texts = stored(texts.mapInArrow(same, texts.schema), "texts")
     runs = stored(cut_runs(texts, window), "runs")
     plain_runs = runs.filter(~F.col("extended"))
