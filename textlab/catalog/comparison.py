@@ -42,17 +42,18 @@ def e9(s, d):
 
 
 def j5(s, d):
-    """Evaluations with their training records; the winner only."""
+    """Evaluations of all candidates with their training records."""
     trainings = load(s, d, "documents").groupBy(F.col("source").alias("model")).agg(F.count(F.lit(1)).alias("n_train"))
-    best = c.best_model(c.compare_models(model_results(s, d)))
-    return rounded(c.attach_training(best.select("model", "f1", "composite"), trainings))
+    judged = c.compare_models(model_results(s, d))
+    return rounded(c.attach_training(judged.select("model", "f1", "composite"), trainings))
 
 
 def folds(s, d):
     """Metrics of the scored table per stratified fold."""
     told = sp.stratified_folds(scored(s, d), "label", "id", 5)
     sums = m.metrics(told, by="fold")
-    return sums.select("fold", *m.METRICS, (F.lit(None).cast("long")).alias("n_train"), F.col("n_rows").alias("n_val"), F.lit(None).cast("string").alias("error"))
+    others = sums.agg(F.sum("n_rows")).scalar() - F.col("n_rows")
+    return sums.select("fold", *m.METRICS, others.alias("n_train"), F.col("n_rows").alias("n_val"), F.lit(None).cast("string").alias("error"))
 
 
 FOLDS_SQL = f"""{SCORED_SQL}, fo as (select id, label, prediction, cast((rnk - 1) * 5 // n_c as integer) as fold from {hash_rank_sql('scored', 'id', 'label')}),
@@ -83,7 +84,7 @@ def runs(s, d):
 
 def cv_report(s, d):
     table = folds(s, d)
-    return reports.cv_report(table, c.cv_summary(table)).filter("section <> 'per fold'")
+    return reports.cv_report(table, c.cv_summary(table))
 
 
 def u2(s, d):
@@ -125,9 +126,9 @@ QUERIES = {
     ),
     "j5_attach_training": (
         j5,
-        f"""with {results_sql(SINGLE)}, best as (select * from comp order by composite desc, model limit 1),
+        f"""with {results_sql(SINGLE)},
           tr as (select source as model, count(*) as n_train from documents group by 1)
-        select model, round(f1, 6) as f1, round(composite, 6) as composite, n_train from best join tr using (model)""",
+        select model, round(f1, 6) as f1, round(composite, 6) as composite, n_train from comp left join tr using (model)""",
     ),
     "e15_cv_summary": (e15, f"with {FOLDS_SQL} select * from summary"),
     "e16_cv_verdict": (
@@ -150,7 +151,9 @@ QUERIES = {
         f"""with {FOLDS_SQL} select 'folds' as section, 1 as ord, 'folds' as key, count(*)::varchar as value from q
         union all select 'folds', 2, 'successful', count(f1)::varchar from q
         union all select 'summary', row_number() over (order by metric), metric,
-          printf('%.4f ± %.4f (%.4f to %.4f)', mean, std, min, max) from summary""",
+          printf('%.4f ± %.4f (%.4f to %.4f)', mean, std, min, max) from summary
+        union all select 'per fold', fold + 1, fold::varchar,
+          printf('%d %d %.4f %.4f', (select sum(n_rows) from q)::bigint - n_rows, n_rows, f1, accuracy) from q""",
     ),
     "u2_repaired_union": (
         u2,
