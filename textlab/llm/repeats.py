@@ -72,15 +72,13 @@ class Anchored:
         return tuple(sums)
 
 
-def two_hashes(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each row of a matrix of hashes."""
-    out = []
-    for m in MIX:
-        h = np.full(len(matrix), m, np.uint64)
-        for column in matrix.T:
-            h = mixed(h * np.uint64(7) + column)
-        out.append(h)
-    return tuple(out)
+def two_hashes(columns) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each row of a matrix of hashes, given by its columns."""
+    h = None
+    for column in columns:
+        h = [np.full(len(column), m, np.uint64) for m in MIX] if h is None else h
+        h = [mixed(x * np.uint64(7) + column) for x in h]
+    return tuple(h)
 
 
 def plain(text: str | None) -> bytes:
@@ -144,23 +142,23 @@ def cut_runs(texts: DataFrame, window: int) -> DataFrame:
             for part in chunks(batch, "text"):
                 found = Anchored(part.column("text"), window)
                 out = {k: [] for k in ("row", "ordinal", "content", "extended", "run")}
+                if any(runs and runs[0] < 0 for runs in part.column("runs").to_pylist()):
+                    n = max(0, len(found.words.hashes) - window + 1)
+                    whole = np.stack(two_hashes([found.words.hashes[j : n + j] for j in range(window)]), 1)
                 for row, runs in enumerate(part.column("runs").to_pylist()):
                     for number in runs:
                         extended = number < 0
                         ordinal = ~number if extended else number
                         run = found.first[row] + ordinal
                         lo, end = found.lo[run], found.end[run]
-                        content = found.words.hashes[lo : end + window - 1]
-                        if extended:
-                            h = two_hashes(np.lib.stride_tricks.sliding_window_view(content, window))
-                            content = np.stack(h, 1).ravel()
+                        content = whole[lo:end] if extended else found.words.hashes[lo : end + window - 1]
                         for k, v in zip(out, (row, ordinal, content.tobytes(), extended, run)):
                             out[k].append(v)
                 if not out["row"]:
                     continue
                 run, row = np.array(out["run"]), np.array(out["row"])
                 offset, windows = found.anchor[run] - found.lo[run], found.end[run] - found.lo[run]
-                marks = [hashlib.blake2b(c, digest_size=16, salt=int(o).to_bytes(8, "little")).digest() for c, o in zip(out["content"], offset)]
+                marks = [hashlib.blake2b(c, digest_size=16, salt=int(o).to_bytes(8, "little"), person=b"x" if e else b"").digest() for c, o, e in zip(out["content"], offset, out["extended"])]
                 marks = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
                 signs = [part.column(c).to_numpy()[row] for c in ("s1", "s2")]
                 yield pa.RecordBatch.from_arrays(
@@ -173,14 +171,14 @@ def cut_runs(texts: DataFrame, window: int) -> DataFrame:
 
 
 def tree_repeats(runs: DataFrame, window: int) -> DataFrame:
-    """``c1``, ``c2``, ``mask``: which windows of each run class occur elsewhere, by suffix trees."""
+    """``c1``, ``c2``, ``at``: the windows of each class of runs that occur elsewhere, by suffix trees."""
 
     def subtrees(table: pa.Table) -> pa.Table:
         contents = [np.frombuffer(x, np.uint64) for x in table["content"].to_pylist()]
         windows, many = table["windows"].to_numpy(), table["m"].to_numpy() > 1
         suffixes = np.concatenate([np.lib.stride_tricks.sliding_window_view(c, window) for c in contents])
         # Suffixes in order; two neighbours that agree in all words hang below one deep node.
-        quick = two_hashes(suffixes[:, ::6])[0]
+        quick = two_hashes(suffixes[:, ::6].T)[0]
         order = np.argsort(quick, kind="stable")
         close = np.zeros(len(order), bool)
         same = quick[order[1:]] == quick[order[:-1]]
@@ -193,16 +191,18 @@ def tree_repeats(runs: DataFrame, window: int) -> DataFrame:
         repeated[order[1:][deep]] = True
         repeated[order[:-1][deep]] = True
         ends = np.cumsum(windows)
-        masks = [repeated[e - n : e] for e, n in zip(ends, windows)]
-        keep = pa.array([bool(m.any()) for m in masks])
-        out = table.select(["c1", "c2"]).append_column("mask", pa.array([m.tobytes() for m in masks], pa.binary()))
-        return out.filter(keep)
+        places = [np.flatnonzero(repeated[e - n : e]).astype(np.int32) for e, n in zip(ends, windows)]
+        keep = pa.array([len(x) > 0 for x in places])
+        return table.select(["c1", "c2"]).append_column("at", pa.array(places, pa.list_(pa.int32()))).filter(keep)
 
-    return runs.groupBy("group").applyInArrow(subtrees, "c1 bigint, c2 bigint, mask binary")
+    return runs.groupBy("group").applyInArrow(subtrees, REPEATED)
 
 
-def extended_repeats(runs: DataFrame) -> DataFrame:
-    """``s1``, ``s2``, ``ordinal``, ``at``: windows under extended prefixes that occur elsewhere."""
+REPEATED = "c1 bigint, c2 bigint, at array<int>"
+
+
+def extended_repeats(kinds: DataFrame) -> DataFrame:
+    """The same under extended prefixes: windows whose hash is that of another one."""
 
     def explode(batches):
         for batch in batches:
@@ -210,19 +210,21 @@ def extended_repeats(runs: DataFrame) -> DataFrame:
             if not n.sum():
                 continue
             hashes = np.frombuffer(b"".join(batch.column("content").to_pylist()), np.int64).reshape(-1, 2)
-            rest = [pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("s1", "s2", "ordinal")]
+            rest = [pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("c1", "c2", "m")]
             at = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(at), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy())], ["s1", "s2", "ordinal", "at", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(at), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy())], ["c1", "c2", "m", "at", "h1", "h2"])
 
-    read = runs.select("s1", "s2", "ordinal", "windows", "content")
-    leaves = read.mapInArrow(explode, "s1 bigint, s2 bigint, ordinal int, at int, h1 bigint, h2 bigint")
-    equal = stored(leaves.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "leaves")
-    return leaves.join(equal, ["h1", "h2"]).select("s1", "s2", "ordinal", "at")
+    read = kinds.select("c1", "c2", "m", "windows", "content")
+    leaves = read.mapInArrow(explode, "c1 bigint, c2 bigint, m bigint, at int, h1 bigint, h2 bigint")
+    leaves = stored(leaves, "leaves")
+    equal = stored(leaves.groupBy("h1", "h2").agg(F.sum("m").alias("all")).filter("all > 1").drop("all"), "equal")
+    # At most as many as a run has windows.
+    return leaves.join(equal, ["h1", "h2"]).groupBy("c1", "c2").agg(F.collect_list("at").alias("at"))
 
 
 def repeated_windows(df: DataFrame, id_col: str, text: str, window: int) -> tuple[DataFrame, DataFrame]:
     """The scanned rows with the size ``m`` of their class, and the texts of classes of one row
-    that have repeats, with their ``marks``: number of an anchor and a mask of its windows."""
+    that have repeats, with their ``marks``: number of an anchor and places of its windows."""
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("string").alias("text"))
     found = stored(scanned(rows, window), "scanned")
     least = F.min(F.struct("id", "keys"))
@@ -243,13 +245,15 @@ def repeated_windows(df: DataFrame, id_col: str, text: str, window: int) -> tupl
     texts = rows.hint("merge").join(wanted, "id").select("text", "s1", "s2", "m", "runs")
     texts = stored(texts.mapInArrow(same, texts.schema), "texts")
     runs = stored(cut_runs(texts, window), "runs")
-    plain_runs = runs.filter(~F.col("extended"))
-    kinds = plain_runs.groupBy("key", "c1", "c2").agg(F.first("content").alias("content"), F.first("windows").alias("windows"), F.count(F.lit(1)).alias("m"))
-    groups = max(partitions(df.sparkSession), 1 + plain_runs.count() // GROUP_RUNS)
-    masks = stored(tree_repeats(kinds.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))), window), "masks")
-    marks = plain_runs.select("s1", "s2", "ordinal", "c1", "c2").join(masks, ["c1", "c2"]).select("s1", "s2", "ordinal", F.lit(-1).alias("at"), "mask")
-    extended = extended_repeats(runs.filter("extended")).withColumn("mask", F.lit(None).cast("binary"))
-    marked = marks.unionByName(extended).groupBy("s1", "s2").agg(F.collect_list(F.struct("ordinal", "at", "mask")).alias("marks"))
+    # Equal runs are one kind, so what a passage has in common is looked at once.
+    first = [F.first(c).alias(c) for c in ("content", "windows", "extended")]
+    kinds = stored(runs.groupBy("key", "c1", "c2").agg(*first, F.count(F.lit(1)).alias("m")), "kinds")
+    short = kinds.filter(~F.col("extended"))
+    groups = max(partitions(df.sparkSession), 1 + short.count() // GROUP_RUNS)
+    repeated = tree_repeats(short.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))), window)
+    repeated = stored(repeated.unionByName(extended_repeats(kinds.filter("extended"))), "repeated")
+    marks = runs.select("s1", "s2", "ordinal", "c1", "c2").join(repeated, ["c1", "c2"])
+    marked = marks.groupBy("s1", "s2").agg(F.collect_list(F.struct("ordinal", "at")).alias("marks"))
     lone = texts.filter("m = 1").join(marked, ["s1", "s2"])
     return found.drop("keys").join(classes.select("s1", "s2", "m"), ["s1", "s2"], "left"), lone
 
@@ -269,7 +273,7 @@ def kept_words(lone: DataFrame, window: int, with_text: bool) -> DataFrame:
                 for row, marks in enumerate(part.column("marks").to_pylist()):
                     for mark in marks:
                         lo = found.lo[found.first[row] + mark["ordinal"]]
-                        starts = lo + (np.flatnonzero(np.frombuffer(mark["mask"], bool)) if mark["at"] < 0 else mark["at"])
+                        starts = lo + np.array(mark["at"], np.int64)
                         np.add.at(removed, starts, 1)
                         np.add.at(removed, starts + window, -1)
                 gone = np.cumsum(removed)[:-1] > 0
