@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that are worked on at a time.
-CHUNK = 1_500_000
+CHUNK = 500_000
 
 HASH_BITS = 16
 SIZES = (1, 2, 3)

@@ -26,9 +26,9 @@ PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Marks that often stand after a word.
 MARKS = tuple(".,;:!?")
 #: Words and parts whose ids a task keeps at a time; when it is full it starts anew.
-KEPT = 1_200_000
+KEPT = 300_000
 #: Places of the table that knows which words have been seen once; only then they are kept.
-SEEN = 1 << 23
+SEEN = 1 << 22
 
 
 class Kept(dict):

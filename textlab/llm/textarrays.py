@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Bytes of text that are worked on at a time, so that memory doesn't depend on the batch.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
