@@ -313,6 +313,16 @@ def test_pseudonyms_pass_the_check_of_their_format(spark):
     assert swapped(spark, card) != swapped(spark, card, key="other")
 
 
+def test_texts_with_single_digits_only_are_searched(spark):
+    """An address of one-digit octets and a card with a mark after each digit, without other signs."""
+    card = "4845168114407329"
+    plain, ip, again, blanks, hyphens = swapped(
+        spark, card, "the resolver 8.8.8.8 answered", "10 of 8.8.8.8", "paid by " + " ".join(card), "paid by " + "-".join(card)
+    )
+    assert "8.8.8.8" not in ip and ip.split()[2] == again.split()[2]
+    assert blanks == "paid by " + " ".join(plain) and hyphens == "paid by " + "-".join(plain)
+
+
 def test_a_century_of_dates_is_permuted(spark):
     days = spark.sql("select explode(sequence(date'2000-01-01', date'2099-12-31')) as d").select(F.col("d").cast("string").alias("v"))
     new = days.select(pseudonyms.date(F.col("v"), "k").alias("v"))
