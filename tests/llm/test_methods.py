@@ -323,6 +323,21 @@ def test_texts_with_single_digits_only_are_searched(spark):
     assert blanks == "paid by " + " ".join(plain) and hyphens == "paid by " + "-".join(plain)
 
 
+def test_cards_and_ibans_before_other_digits_are_replaced(spark):
+    """Followed by expiry, code, a word, another number; marks that the text has by itself stay."""
+    card, amex, phone, bank = "4111 1111 1111 1111", "378282246310005", "030 123 4567", "AT61 1904 3002 3457 3201"
+    a, b, c, d, *got = swapped(
+        spark, card, amex, phone, bank,
+        f"{card} 12/25", f"{card} 123", f"{card}-1 x", f"{bank} USA", f"{bank} CODE ABC", f"{bank.replace(' ', '')} USA",
+        f"{card} {phone}", f"{amex} {card}", f"\uffff {card} 12\uffff\ufffe-", f"{card[:-1]}2 12/25",
+    )
+    assert a != card and b != amex and c != phone and d != bank
+    assert got == [
+        f"{a} 12/25", f"{a} 123", f"{a}-1 x", f"{d} USA", f"{d} CODE ABC", f"{d.replace(' ', '')} USA",
+        f"{a} {c}", f"{b} {a}", f"\uffff {a} 12\uffff\ufffe-", f"{card[:-1]}2 12/25",
+    ]
+
+
 def test_a_century_of_dates_is_permuted(spark):
     days = spark.sql("select explode(sequence(date'2000-01-01', date'2099-12-31')) as d").select(F.col("d").cast("string").alias("v"))
     new = days.select(pseudonyms.date(F.col("v"), "k").alias("v"))

@@ -30,6 +30,19 @@ ANY = "|".join(PATTERNS.values())
 #: A text without any of these has nothing to replace: every pattern has a sign of mails or secrets,
 #: or two digits that touch or have one dot, blank or hyphen between them.
 HINT = r"[@=:]|[0-9][.\x20-]?[0-9]"
+#: Set after a card or IBAN that is shorter than the longest match; no pattern holds or needs it.
+END, SELF = "\uffff", "\ufffe"
+#: Letters and digits of an IBAN by country.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT SD ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO EG GT HU LB NI PL SV",
+        29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
 
 def digest(*parts: Column) -> Column:
@@ -102,12 +115,17 @@ def luhn(digits: Column, doubled: int) -> Column:
     return F.aggregate(F.split(F.reverse(digits), ""), start, add)["sum"]
 
 
+def is_card(value: Column) -> Column:
+    digits = digits_of(value)
+    return F.char_length(digits).between(13, 19) & (F.pmod(luhn(digits, 0), F.lit(10)) == 0)
+
+
 def card(value: Column, key: str) -> Column:
     """Card and account numbers that pass the Luhn check; null for the others."""
     digits = digits_of(value)
     body = permuted_digits(F.substring(digits, F.lit(1), F.char_length(digits) - 1), "card", key)
     check = F.pmod(10 - F.pmod(luhn(body, 1), F.lit(10)), F.lit(10))
-    return F.when(F.pmod(luhn(digits, 0), F.lit(10)) == 0, laid_out(F.concat(body, check.cast("string")), value))
+    return F.when(is_card(value), laid_out(F.concat(body, check.cast("string")), value))
 
 
 def phone(value: Column, key: str) -> Column:
@@ -173,6 +191,13 @@ def remainder(letters_and_digits: Column) -> Column:
     )
 
 
+def is_iban(value: Column) -> Column:
+    plain = F.regexp_replace(value, " ", "")
+    digits = F.char_length(digits_of(F.substring(plain, 5, 99)))
+    checked = remainder(F.concat(F.substring(plain, 5, 99), F.substring(plain, 1, 4))) == 1
+    return (F.char_length(plain) >= 12) & (digits > 0) & (digits <= 30) & checked
+
+
 def iban(value: Column, key: str) -> Column:
     """Account numbers that pass the check: other digits, and check digits to match."""
     plain = F.regexp_replace(value, " ", "")
@@ -193,8 +218,7 @@ def iban(value: Column, key: str) -> Column:
             (a["at"] + (c != " ").cast("int")).alias("at"),
         ),
     )["out"]
-    checked = remainder(F.concat(rest, F.substring(plain, 1, 4))) == 1
-    return F.when((F.char_length(digits) > 0) & (F.char_length(digits) <= 30) & checked, spaced)
+    return F.when(is_iban(value), spaced)
 
 
 def keyed(value: Column, kind: str, key: str) -> Column:
@@ -221,18 +245,68 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     return F.coalesce(made.otherwise(phone(value, key)), value)
 
 
+def shortened(value: Column) -> Column:
+    """One match, with ``END`` after the part that passes where that is not the whole.
+
+    Parts start with the match and end before a blank or hyphen; the longest one that passes is
+    taken, of an IBAN first the one as long as its country has them.
+    """
+    n = F.char_length(value)
+    part = lambda i: F.substring(value, F.lit(1), i)
+    after = lambda i: F.substring(value, i + 1, F.lit(1))
+    ends = F.filter(F.sequence(F.greatest(n, F.lit(12)), F.lit(12), F.lit(-1)), lambda i: after(i).isin("", " ", "-"))
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    due = F.element_at(lengths, F.substring(value, 1, 2))
+    own = lambda i: F.char_length(F.regexp_replace(part(i), " ", "")) == due
+    cards = F.filter(ends, lambda i: is_card(part(i)))
+    ibans = F.filter(ends, lambda i: is_iban(part(i)))
+    best = F.when(value.rlike("^[0-9]"), F.get(cards, F.lit(0))).otherwise(
+        F.coalesce(F.get(F.filter(ibans, own), F.lit(0)), F.get(ibans, F.lit(0)))
+    )
+    cut = F.concat(part(best), F.lit(END), F.substring(value, best + 1, n))
+    fits = value.rlike(f"^(?:{PATTERNS['card']}|{PATTERNS['iban']})$")
+    return F.when((n > 12) & fits, F.when(best < n, cut).otherwise(value)).otherwise(value)
+
+
+def replaced(value: Column, rule) -> Column:
+    """The text with ``rule`` applied to every match."""
+    gaps, found = F.split(value, ANY, -1), F.regexp_extract_all(value, F.lit(ANY), 0)
+    return F.concat(
+        F.array_join(F.zip_with(F.slice(gaps, 1, F.size(found)), F.transform(found, rule), lambda a, b: F.concat(a, b)), ""),
+        F.element_at(gaps, -1),
+    )
+
+
+def with_ends(value: Column) -> Column:
+    """``END`` after every card and IBAN that is shorter than its match.
+
+    What follows one is searched again, as it may begin the next match, until nothing is new.
+    Each turn but the last sets one more ``END`` at least, with 12 characters or more before it.
+    """
+    turns = F.sequence(F.lit(0), F.floor(F.char_length(value) / 12).cast("int"))
+    start = F.struct(value.alias("text"), F.lit("").alias("before"))
+
+    def turn(a, _):
+        again = F.struct(replaced(a["text"], shortened).alias("text"), a["text"].alias("before"))
+        return F.when(a["text"] != a["before"], again).otherwise(a)
+
+    return F.when(value.rlike(f"{PATTERNS['card']}|{PATTERNS['iban']}"), F.aggregate(turns, start, turn)["text"]).otherwise(value)
+
+
 def pseudonymised(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``df`` with the personal data of its text replaced; all other columns stay as they are.
 
     Null stays null, a text without personal data stays as it is to the byte, and numbers that
-    fail their check stay. Whole texts are searched; repeated rows get equal texts.
+    fail their check stay. Cards and IBANs with an expiry, a code or a word behind them are found;
+    a card behind other digits that it is not parted from by more than a blank or hyphen is not.
+    Whole texts are searched; repeated rows get equal texts.
     """
     value = F.col(text)
-    gaps, found = F.split(value, ANY, -1), F.regexp_extract_all(value, F.lit(ANY), 0)
-    joined = F.concat(
-        F.array_join(F.zip_with(F.slice(gaps, 1, F.size(found)), F.transform(found, lambda m: pseudonym(m, key)), lambda a, b: F.concat(a, b)), ""),
-        F.element_at(gaps, -1),
-    )
+    # Own marks stand before a blank or hyphen; those that the text has by itself get a sign behind them.
+    marked = with_ends(F.replace(value, F.lit(END), F.lit(END + SELF)))
+    # Bound as an element, so that the ends are looked for once.
+    joined = F.get(F.transform(F.array(marked), lambda t: replaced(t, lambda m: pseudonym(m, key))), F.lit(0))
+    joined = F.replace(F.regexp_replace(joined, END + "(?=[\\x20-])", ""), F.lit(END + SELF), F.lit(END))
     return df.withColumn(text, F.when(value.rlike(HINT) & value.rlike(ANY), joined).otherwise(value))
 
 
