@@ -207,6 +207,17 @@ def test_multilabel_run(spark, small):
     assert done["best_model_metrics"]["f1"] > 0.5
 
 
+def test_multilabel_run_takes_models_folds_and_path(spark, small, tmp_path):
+    df, path = multi_docs(spark, small), str(tmp_path / "run")
+    done = run(df, "tags", "text", id_col="doc_id", min_rows=50, use_cv=True, cv_folds=2, models=["nb_multinomial"], path=path)
+    assert done["status"] == "success", done
+    folds = done["cv"]["folds"].collect()
+    assert [r["fold"] for r in folds] == [0, 1] and all(r["error"] is None and r["f1"] > 0 for r in folds)
+    again = load_run(spark, path).models["nb_multinomial"]
+    told = [sorted(m.score(df).select("doc_id", "predicted").collect()) for m in (done["best_model"], again)]
+    assert again.classes == done["best_model"].classes and told[0] == told[1]
+
+
 def test_failed_run_is_a_record(spark):
     done = run(spark.range(10).withColumn("y", F.lit("a")).withColumn("t", F.lit("text")), "y", "t", id_col="id")
     assert done["status"] == "failed" and "10 rows" in done["error"]

@@ -86,6 +86,11 @@ def e14(s, d):
     return train.cross_validate(sp.stratified_folds(df, "lang", "doc_id", 3), "text", "lang", "nb_multinomial", FAST)
 
 
+def e14_multi(s, d):
+    df = _cleaned(multi_docs(s, d), "tags")
+    return train.cross_validate_multilabel(sp.random_folds(df, "doc_id", 3), "text", "tags", "nb_multinomial", FAST)
+
+
 def x1(s, d):
     one, val = _fitted(s, d)
     return explain.word_importance(one.model, val, "doc_id", "text").select("doc_id", "rank", "word", "score", "in_top")
@@ -112,6 +117,18 @@ def k3(s, d):
     return metrics(again.score(val))
 
 
+def k3_multi(s, d):
+    """Multi-label models saved with their run, loaded again and applied."""
+    df = _cleaned(multi_docs(s, d), "tags")
+    parts = sp.random_split(df, "doc_id", ratio=0.2)
+    one = train.fit_multilabel(parts.filter("split = 'train'"), "text", "tags", FAST, "nb_multinomial")
+    path = work_path(s, "run")
+    save_run(s, SavedRun("documents", one.name, "text", True, {one.name: one}), path)
+    val = parts.filter("split = 'val'")
+    again = load_run(s, path).models[one.name]
+    return metrics_multilabel(again.score(val.withColumn("labels", parse_labels(val, "tags"))))
+
+
 def r7(s, d):
     """Documents scored as they arrive; the rows are those of the batch scoring."""
     one, _ = _fitted(s, d, "nb_multinomial")
@@ -152,10 +169,12 @@ QUERIES = {
     "t9_search": (t9, None),
     "t10_training_curve": (t10, None),
     "e14_cross_validate": (e14, None),
+    "e14_cross_validate_multilabel": (e14_multi, None),
     "x1_word_importance": (x1, None),
     "x1_explanations": (x1_rows, None),
     "r1_predict": (r1, None),
     "k3_saved_run": (k3, None),
+    "k3_saved_multilabel_run": (k3_multi, None),
     "r7_predict_stream": (r7, None),
     "g2_run_steps": (g2, G2_SQL),
     "g2_run_comparison": (g2_result, None),

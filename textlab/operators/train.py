@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textlab.functions.labels import parse_labels
 from textlab.functions.text import TOKEN
 from textlab.operators.labels import (
     atomic_labels,
@@ -252,6 +253,20 @@ class TrainedLabels:
     models: list
     classes: list[str]
     seconds: float = 0.0
+    name: str = "lr_unigram"
+    error: str | None = None
+    config: Config | None = None
+
+    @property
+    def model(self) -> PipelineModel:
+        """The feature stages, then the models in the order of the classes: what is saved."""
+        return PipelineModel(stages=[*self.features.stages, *self.models])
+
+    @classmethod
+    def of(cls, name: str, model: PipelineModel, classes: list[str]) -> TrainedLabels:
+        """The inverse of ``model``."""
+        at = len(model.stages) - len(classes)
+        return cls(PipelineModel(stages=model.stages[:at]), model.stages[at:], classes, name=name)
 
     def score(self, df: DataFrame) -> DataFrame:
         """Rows with ``names``, ``p`` and the ``predicted`` labels."""
@@ -282,7 +297,18 @@ def fit_multilabel(train: DataFrame, text: str, label: str, cfg: Config = Config
             return estimator(name, cfg).fit(rows.withColumn("weight", weight))
 
         models = _together(one, range(len(classes)))
-    return TrainedLabels(PipelineModel(stages=[*features.stages, *scaling]), models, classes, time.monotonic() - started)
+    return TrainedLabels(PipelineModel(stages=[*features.stages, *scaling]), models, classes, time.monotonic() - started, name, config=cfg)
+
+
+def fit_multilabels(names, train: DataFrame, text: str, label: str, cfg: Config) -> list:
+    """The candidates one by one, as each fits its labels together; one that fails is kept with its error."""
+    fitted = []
+    for name in names:
+        try:
+            fitted.append(fit_multilabel(train, text, label, cfg, name))
+        except Exception as error:
+            fitted.append(Trained(name, error=str(error), config=cfg))
+    return fitted
 
 
 def training_curve(spark: SparkSession, trained: Trained) -> DataFrame:
@@ -398,3 +424,19 @@ def cross_validate(folded: DataFrame, text: str, label: str, name: str, cfg: Con
 
         rows = _together(one, sorted(sizes))
     return folded.sparkSession.createDataFrame(rows, FOLD_SCHEMA)
+
+
+def cross_validate_multilabel(folded: DataFrame, text: str, label: str, name: str, cfg: Config) -> DataFrame:
+    """``cross_validate`` for a multi-label column; each fold has the labels and weights of its
+    train part."""
+    sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
+    total, rows = sum(sizes.values()), []
+    for fold, n_val in sorted(sizes.items()):
+        try:
+            fitted = fit_multilabel(folded.filter(F.col("fold") != fold), text, label, cfg, name)
+            val = folded.filter(F.col("fold") == fold)
+            scores = metrics_multilabel(fitted.score(val.withColumn("labels", parse_labels(val, label)))).first()
+            rows.append((fold, *[float(scores[m]) for m in METRICS], total - n_val, n_val, None))
+        except Exception as error:
+            rows.append((fold, None, None, None, None, total - n_val, n_val, str(error)))
+    return folded.sparkSession.createDataFrame(rows, FOLD_SCHEMA)

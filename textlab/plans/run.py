@@ -103,7 +103,10 @@ def run(
 
         step(3)
         if multi:
-            fitted = [_multi_candidate(part["train"], text, label, cfg)]
+            # Search and choice of candidates go by single classes: only what is named is fitted.
+            if use_search:
+                raise ValueError("use_search is not there for multi-label tables")
+            fitted = train.fit_multilabels(models or ["lr_unigram"], part["train"], text, label, cfg)
         else:
             configs = {
                 n: _searched(part["train"], text, label, id_col, cfg, n, n_trials) if decide_search else cfg
@@ -130,9 +133,14 @@ def run(
         scored = None if multi else {p: keep(_labelled(best, part[p], label)) for p in part}
         told = _reports(table, text, label, multi, findings, scored, comparison, record, base, lift, best, part["val"], id_col)
         cv = None
-        if decide_cv and not multi:
-            folded = split.stratified_folds(table, label, id_col, cv_folds or facts["cv_folds"], seed)
-            folds = train.cross_validate(folded, text, label, best.name, best.config)
+        if decide_cv:
+            k = cv_folds or facts["cv_folds"]
+            if multi:
+                folded = split.random_folds(table, id_col, k, seed)
+                folds = train.cross_validate_multilabel(folded, text, label, best.name, best.config)
+            else:
+                folded = split.stratified_folds(table, label, id_col, k, seed)
+                folds = train.cross_validate(folded, text, label, best.name, best.config)
             summary = compare.cv_summary(folds)
             cv = {
                 "folds": folds,
@@ -208,12 +216,6 @@ def _searched(train_part, text, label, id_col, cfg, name, n_trials):
     return found
 
 
-def _multi_candidate(train_part, text, label, cfg):
-    fitted = train.fit_multilabel(train_part, text, label, cfg)
-    fitted.name, fitted.error, fitted.config = "lr_unigram", None, cfg
-    return fitted
-
-
 def _labelled(best, part, label):
     """Scored rows with the columns the metric operators expect."""
     if label != "label":
@@ -258,8 +260,7 @@ def _reports(table, text, label, multi, findings, scored, comparison, record, ba
 
 def _save(path, name, best, usable, text, multi, record, told):
     spark = record.sparkSession
-    if not multi:
-        saved = SavedRun(name, best.name, text, multi, {t.name: t for t in usable}, analysis.analysis_long(record))
-        save_run(spark, saved, path)
+    saved = SavedRun(name, best.name, text, multi, {t.name: t for t in usable}, analysis.analysis_long(record))
+    save_run(spark, saved, path)
     for kind, report in told.items():
         reports.write_report(report, f"{path}/reports/{kind}", f"{kind.replace('_', ' ')} of {name}")

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.operators.train import Trained
+from textlab.operators.train import Trained, TrainedLabels
 
 
 @dataclass
@@ -17,7 +17,7 @@ class SavedRun:
     best: str
     text: str
     multi_label: bool
-    models: dict[str, Trained] = field(default_factory=dict)
+    models: dict[str, Trained | TrainedLabels] = field(default_factory=dict)
     analysis: DataFrame | None = None
 
 
@@ -43,5 +43,6 @@ def load_run(spark: SparkSession, path: str, model: str | None = None) -> SavedR
     row = meta.filter(wanted).first()
     if row is None:
         raise ValueError(f"run {path} has no model {model or 'recorded as best'}")
-    trained = Trained(row["model"], PipelineModel.load(row["path"]), list(row["classes"]))
+    made = TrainedLabels.of if row["multi_label"] else Trained
+    trained = made(row["model"], PipelineModel.load(row["path"]), list(row["classes"]))
     return SavedRun(row["run"], row["best"], row["text"], row["multi_label"], {row["model"]: trained})
