@@ -2,7 +2,10 @@
 
 import pytest
 
-from textlab.llm import fingerprints, language, links, mixing, ngramjoin, packing, pseudonyms, quality, repeats, sharding
+from textlab.llm import (
+    fingerprints, language, links, mixing, ngramjoin, packing, periodic, pseudonyms, quality, repeats, sharding, toxicity,
+    vectorcodes,
+)
 from textlab.llm.catalog import RULES, tokenizer_path
 
 RULE_TABLE = RULES
@@ -20,6 +23,10 @@ OPERATORS = {
     "urls": lambda d: links.url_verdicts(d, RULE_TABLE, "doc_id", "text", "lang"),
     "language": lambda d: language.cross_predicted(d),
     "quality": lambda d: quality.quality_rules(d),
+    "toxicity": lambda d: toxicity.cross_scored(d, d.selectExpr("doc_id", "doc_id % 2 as toxic")),
+    "unlabelled": lambda d: toxicity.cross_scored(d, d.selectExpr("doc_id", "cast(null as int) as toxic")),
+    "run_digests": lambda d: periodic.run_digests(d),
+    "runs": lambda d: periodic.with_runs(d),
 }
 CHANGES_ROWS = {"packing", "pieces"}
 
@@ -96,3 +103,50 @@ def test_without_repeats_keeps_columns(spark, odd):
     out = repeats.without_repeats(unique)
     assert out.columns == odd.columns
     assert {r["doc_id"]: r["text"] for r in out.collect()}[5] == "short text"
+
+
+def test_odd_toxicity(odd):
+    nothing = by_id(OPERATORS["unlabelled"](odd).collect())
+    assert {r["predicted"] for r in nothing.values()} == {0}
+    rows = OPERATORS["toxicity"](odd).collect()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    assert by_id(rows)[1]["score"] == by_id(rows)[2]["score"]
+    assert not by_id(rows)[None]["held_out"]
+
+
+def test_odd_runs(odd):
+    rows = by_id(periodic.with_runs(odd).collect())
+    assert periodic.with_runs(odd).columns == [*odd.columns, "runs", "collapsed"]
+    assert rows[1]["runs"] == rows[3]["runs"] == [] and rows[1]["collapsed"] == rows[3]["collapsed"] == ""
+    assert [tuple(r) for r in rows[7]["runs"]] == [(0, 200, 10)]
+    assert rows[7]["collapsed"] == "one two three four five six seven eight nine ten"
+    # Every second word of the long text is the same, and the rest repeat after 977.
+    assert [tuple(r) for r in rows[4]["runs"]] == [(0, 120_000, 1954)]
+
+
+VECTORS = "vec_id bigint, embedding array<double>, label string, code string, error string, x string, id string"
+
+
+def test_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    fine = [(i, [float(i + k) for k in range(8)], "a" if i % 2 else None) for i in range(20)]
+    bad = [
+        (20, None, "a"), (21, [], "a"), (22, [None] * 8, "a"), (23, [nan] + [0.0] * 7, "a"), (24, [inf] + [0.0] * 7, "a"),
+        (25, [1.0] * 7, "a"), (26, [1.0] * 16, "a"), (27, [1e30] + [0.0] * 7, None), (None, None, None),
+    ]
+    again = [(3, fine[3][1], "a"), (None, fine[5][1], "b")]
+    df = spark.createDataFrame([(*r, "x", "x", "x", "x") for r in fine + bad + again], VECTORS).repartition(3)
+    rows = vectorcodes.vector_codes(df).collect()
+    assert sorted(r["vec_id"] is None or r["vec_id"] for r in rows) == sorted([*range(20), 3, True])
+    assert len({r["code"] for r in rows if r["vec_id"] == 3}) == 1
+    sums = {}
+    for r in rows:
+        key = "b" if r["vec_id"] is None else fine[r["vec_id"]][2]
+        sums.setdefault(key, [0, set()])
+        sums[key][0] += r["error"]
+        sums[key][1].add(r["label_error"])
+    assert all(found == {total} for total, found in sums.values()) and len(sums) == 3
+    few = vectorcodes.vector_codes(df.filter("vec_id < 2")).collect()
+    assert {r["code"] for r in few} == {"00" * 8, "01" * 8} and {r["error"] for r in few} == {0}
+    assert vectorcodes.vector_codes(df.filter("vec_id > 19 and vec_id <> 26")).collect() == []
+    assert vectorcodes.vector_codes(df.limit(0)).collect() == []

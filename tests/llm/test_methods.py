@@ -13,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlab.llm import (
-    catalog, components, fingerprints, language, links, mixing, ngramjoin, packing, pseudonyms, quality, repeats, sharding,
+    catalog, components, fingerprints, language, links, mixing, ngramjoin, packing, periodic, pseudonyms, quality, repeats,
+    sharding, toxicity, vectorcodes,
 )
 from textlab.sources.tables import load
 
@@ -511,3 +512,189 @@ def test_clean_documents_stay_and_junk_goes(spark, small, docs):
     assert np.mean([r["kept"] for r in good]) > 0.98
     junk = spark.createDataFrame([(1, "### $$$ %%% &&& *** ||| <<< >>> " * 40, "en")], "doc_id long, text string, lang string")
     assert not quality.quality_rules(junk, references=quality.language_references(docs)).first()["kept"]
+
+
+# 11 --------------------------------------------------------------------------------------------
+
+RUDE = "grumpel snorvak blithek quandro".split()
+
+
+@pytest.fixture(scope="module")
+def rude_model():
+    rng = random.Random(3)
+    syllables = "an er th ou re in st he ti or ed on".split()
+
+    def text(rude):
+        w = ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(rng.randint(15, 300))]
+        for i in range(0, len(w), 25) if rude else ():
+            w[i] = rng.choice(RUDE)
+        return " ".join(w)
+
+    labels = np.array([i % 4 == 0 for i in range(600)], int)
+    texts = [text(y) for y in labels]
+    column, row = toxicity.grams(texts)
+    return text, toxicity.trained([column[row == i] for i in range(600)], labels)
+
+
+def odds(model, texts):
+    column, row = toxicity.grams(texts)
+    size = np.bincount(row, minlength=len(texts)) + toxicity.BLANKS
+    return np.bincount(row, model.slopes()[column], len(texts)) / size + model.bias[1] - model.bias[0]
+
+
+def test_toxic_texts_and_unseen_misspellings(rude_model):
+    text, model = rude_model
+    rude = [text(True) for _ in range(150)]
+    clean = odds(model, [text(False) for _ in range(150)])
+    assert np.mean(odds(model, rude) > 0) > 0.97 and np.mean(clean > 0) < 0.02
+    wrong = [t.replace("grumpel", "grumpell").replace("snorvak", "snorvack").replace("blithek", "bl1thek").replace("quandro", "quandroo") for t in rude]
+    assert np.mean(odds(model, wrong) > 0) > 0.7 and np.mean(odds(model, wrong) > np.quantile(clean, 0.95)) > 0.95
+
+
+def test_slopes_are_the_softmax(rude_model):
+    _, model = rude_model
+    column, _ = toxicity.grams(["the grumpel and the snorvak"])
+    mean = model.embeddings[column].sum(0) / (len(column) + toxicity.BLANKS)
+    logits = mean @ model.layer + model.bias
+    assert math.isclose(1 / (1 + math.exp(logits[0] - logits[1])), 1 / (1 + math.exp(-odds(model, ["the grumpel and the snorvak"])[0])), rel_tol=1e-5)
+
+
+def test_grams_by_hand():
+    column, row = toxicity.grams(["Ab, cde", "", "x" * 10, "ab cde ab"])
+    # " ab", "ab ", " ab " and of " cde " three, two and one of 3 to 5 characters.
+    assert np.bincount(row, minlength=4).tolist() == [9, 0, len({f" {'x' * 10} "[i : i + n] for n in (3, 4, 5, 6) for i in range(13 - n)}), 9]
+    assert set(column[row == 0]) == set(column[row == 3])
+
+
+def test_toxicity_on_held_out_rows(spark, small):
+    folder = small.replace("sf0.001", "sf0.1")
+    docs, labels = load(spark, folder, "documents"), load(spark, folder, "labels")
+    # In other languages the rude words of these tables are too rare to be learned.
+    english = docs.filter("lang = 'en'").select("doc_id")
+    found = toxicity.cross_scored(docs, labels).join(labels, "doc_id").join(english, "doc_id").filter("held_out").collect()
+    right = [r["predicted"] == r["toxic"] for r in found]
+    toxic = [r["predicted"] for r in found if r["toxic"] == 1]
+    print(np.mean(right), np.mean(toxic))
+    assert len(right) > 300 and np.mean(right) > 0.95 and np.mean(toxic) > 0.8
+
+
+def test_toxicity_scores_use_the_text_only(spark, docs, small):
+    labels = load(spark, small, "labels")
+    model = toxicity.fit(toxicity.labelled_texts(docs, labels))
+    one = by_id(toxicity.predict(docs, model))
+    other = by_id(toxicity.predict(docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None)).repartition(7), model))
+    assert {i: r["score"] for i, r in one.items()} == {i: r["score"] for i, r in other.items()}
+
+
+# 12 --------------------------------------------------------------------------------------------
+
+
+def test_nearest_entry_with_ties():
+    rng = np.random.default_rng(5)
+    for size in (1, 2, 8):
+        for entries in (1, 5, 16):
+            book, x = rng.integers(-4, 5, (entries, size)), rng.integers(-6, 7, (500, size))
+            code, error = vectorcodes.Codebook(book).nearest(x)
+            distance = ((x[:, None] - book[None]) ** 2).sum(2)
+            assert (code == distance.argmin(1)).all() and (error == distance.min(1)).all()
+
+
+def test_codebooks_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(300, 12))
+    vectors[50:90] = vectors[7]
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    got = by_id(vectorcodes.vector_codes(df.repartition(5), parts=3, entries=10, rounds=4), "vec_id")
+    x = np.floor(vectors * 4096).astype(int)
+    codes, errors, books = [], 0, []
+    for part in np.split(x, 3, 1):
+        book = part[:10].copy()
+        for step in range(5):
+            distance = ((part[:, None] - book[None]) ** 2).sum(2)
+            code = distance.argmin(1)
+            for e in range(10) if step < 4 else ():
+                mine = part[code == e]
+                if len(mine):
+                    book[e] = mine.sum(0) // len(mine)
+        codes.append(code)
+        errors = errors + distance.min(1)
+        books.append(book)
+    assert all(got[i]["code"] == "".join(f"{c[i]:02x}" for c in codes) and got[i]["error"] == errors[i] for i in range(300))
+    assert all(got[i]["label_error"] == errors[i % 3 :: 3].sum() for i in range(300))
+    assert got[0]["codebooks_sha256"] == vectorcodes.books_sha256(books)
+    back = vectorcodes.decoded(spark.createDataFrame([(got[4]["code"],), (None,)], "code string"), books).collect()
+    wanted = np.concatenate([b[c[4]] for b, c in zip(books, codes)]) / 4096
+    assert np.allclose(back[0]["decoded"], wanted) and back[1]["decoded"] is None
+
+
+# 13 --------------------------------------------------------------------------------------------
+
+
+def plain_runs(w):
+    found = {}
+    for q in range(len(w) // 4, 0, -1):
+        i = 0
+        while i < len(w) - q:
+            j = i
+            while j < len(w) - q and w[j] == w[j + q]:
+                j += 1
+            if j + q - i >= max(6, 4 * q):
+                found[i, j + q] = q
+            i = max(j, i + 1)
+    return sorted(((s, e - s, q) for (s, e), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def looping_texts(n, seed):
+    rng = random.Random(seed)
+    for _ in range(n):
+        w = rng.choices("abcdefgh"[: rng.choice((1, 2, 3, 8))], k=rng.randint(0, 80))
+        if rng.random() < 0.6 and len(w) > 10:
+            a, p = rng.randrange(len(w)), rng.randint(1, 9)
+            w = [w[min(i if i < a else a + (i - a) % p, len(w) - 1)] for i in range(len(w))]
+        yield w
+
+
+@pytest.mark.parametrize("jumps", [0, periodic.JUMPS])
+def test_runs_by_brute_force(monkeypatch, jumps):
+    import pyarrow as pa
+
+    monkeypatch.setattr(periodic, "JUMPS", jumps)
+    monkeypatch.setattr(periodic, "TESTED", 7)
+    texts = list(looping_texts(400, 11))
+    for start in range(0, len(texts), 8):
+        runs, kept = periodic.collapsed(pa.array([" ".join(w) for w in texts[start : start + 8]]))
+        for w, found, text in zip(texts[start:], runs.to_pylist(), kept.to_pylist()):
+            wanted = plain_runs(w)
+            assert [(r["start"], r["length"], r["period"]) for r in found] == wanted
+            gone = {i for s, n, q in wanted for i in range(s + q, s + n)}
+            assert text == " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def test_last_smaller_value():
+    rng = np.random.default_rng(2)
+    for values in (rng.integers(0, 9, 500), np.arange(500), np.arange(500)[::-1], np.r_[np.arange(300), 1, np.arange(199)]):
+        values = np.r_[-1, values]
+        for strict in (True, False):
+            wanted = [max([j for j in range(i) if values[j] < values[i] + (not strict)], default=0) for i in range(len(values))]
+            assert periodic.last_before(values, strict).tolist() == wanted
+
+
+def test_run_digests_by_hand(spark):
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(looping_texts(200, 4))], "doc_id long, text string")
+    got = by_id(periodic.run_digests(docs.repartition(3)))
+    for row in docs.collect():
+        w, h = row["text"].split(), zlib.crc32(str(row["doc_id"]).encode())
+        if h % 10 == 0 and w:
+            g, n = h // 10, len(w)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+        runs, found = plain_runs(w), got[row["doc_id"]]
+        best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=(None, None, None))
+        assert (found["start"], found["length"], found["period"]) == best and found["n_runs"] == len(runs)
+        assert found["exponent_milli"] == (1000 * best[1] // best[2] if runs else None)
+        lines = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
+        assert found["runs_sha256"] == hashlib.sha256(lines.encode()).hexdigest()
+        gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+        text = " ".join(x for i, x in enumerate(w) if i not in gone)
+        assert found["collapsed_sha256"] == hashlib.sha256(text.encode()).hexdigest()

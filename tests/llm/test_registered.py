@@ -17,6 +17,9 @@ COLUMNS = {
     "op8": "page_id host path rule verdict",
     "op9": "doc_id held_out lang_pred score",
     "op10": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op11": "doc_id held_out score predicted",
+    "op12": "vec_id code error label_error codebooks_sha256",
+    "op13": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 
 
@@ -31,6 +34,6 @@ def test_columns_and_rows(spark, small, name):
     result = QUERIES[name][0](spark, small)
     wanted = COLUMNS[name.split("_")[0]].split()
     assert result.columns[: len(wanted)] == wanted
-    table = "pages" if name.startswith("op8") else "documents"
+    table = {"op8": "pages", "op12": "embeddings"}.get(name.split("_")[0], "documents")
     ids = {r[0] for r in result.select(wanted[0]).collect()}
     assert ids == {r[0] for r in spark.read.parquet(f"{small}/{table}.parquet").select(wanted[0]).collect()}
