@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlab.operators import labels, profile, quality, validate
-from textlab.sources.tables import read_csv, write_decisions, write_predictions
+from textlab.sources.csvfiles import read_csv
+from textlab.sources.tables import write_decisions, write_predictions
 from textlab.plans import analysis
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from textlab.catalog.inputs import ATOMS_SQL, MULTI_SQL, documents, hash_rank_sql, labeled, multi_docs, rounded, tokens_sql
 from textlab.operators import labels as o
+from textlab.operators.classes import label_sets
 from textlab.operators.ranks import sample_n
 from textlab.operators.split import stratified_split
 from textlab.plans import analysis as a
@@ -289,6 +290,14 @@ QUERIES = {
           w as (select lang, min(n) over () / n as weight from c)
         select doc_id, lang, round(coalesce(weight, 1.0), 6) as weight from documents left join w using (lang)""",
     ),
+    "p7_label_sets": (
+        lambda s, d: label_sets(multi_docs(s, d), "tags", o.atomic_labels(multi_docs(s, d), "tags")).select(
+            "doc_id", F.array_join(F.col("label_ids").cast("array<string>"), ",").alias("label_ids")
+        ),
+        f"""with {MULTI_SQL}, k as (select list(distinct t order by t) as ks from (select unnest(string_split(tags, ',')) as t from multi))
+        select doc_id, array_to_string(list_sort(list_transform(list_distinct(string_split(tags, ',')), lambda x: list_position(ks, x) - 1)), ',') as label_ids
+        from multi, k""",
+    ),
     "p7_multi_hot": (
         lambda s, d: o.multi_hot(multi_docs(s, d), "tags").select(
             "doc_id", F.array_join(F.transform("multi_hot", lambda x: x.cast("int").cast("string")), "").alias("multi_hot")

@@ -82,6 +82,20 @@ def v24(s, d):
     return m.auto_text(load(s, d, "part").select(*PART), "p_type", "p_partkey").select("p_partkey", "combined_text")
 
 
+def approximate(df):
+    """The profile by sketches with the roles it gives, and whether what is estimated there is
+    within its error of the exact profile."""
+    told = p.classify_columns(p.profile_columns(df, approximate=True))
+    exact = p.profile_columns(df).select("column", F.col("num_unique").alias("u"), F.col("top_share").alias("t"))
+    off = F.col("top_share") - F.col("t")
+    both = told.join(exact, "column")
+    return rounded(both.select(
+        "column", "kind", "n_rows", "non_null", "avg_length", "min_length", "max_length", "avg_words",
+        (F.abs(F.col("num_unique") - F.col("u")) <= 5 * p.DISTINCT_ERROR * F.col("u")).alias("unique_near"),
+        (F.abs(off) <= p.TOP_ERROR).alias("share_near"),
+    ))
+
+
 CUT = "substr(text, 1, 1638)"
 
 QUERIES = {
@@ -93,6 +107,16 @@ QUERIES = {
         lambda s, d: rounded(p.profile_columns(load(s, d, "documents").select("lang", *DOCS), by="lang")),
         f"with {profile_sql('documents', DOCS, 'lang')} select lang, {PROFILE_COLUMNS} from profile",
     ),
+    "v16_approximate_profile_part": (
+        lambda s, d: approximate(part(s, d)),
+        f"""with {profile_sql('part', PART)} select "column", kind, n_rows, non_null, round(avg_length, 6) as avg_length, min_length, max_length,
+          round(avg_words, 6) as avg_words, true as unique_near, true as share_near from kinds""",
+    ),
+    "v16_approximate_profile_documents": (
+        lambda s, d: approximate(docs(s, d)),
+        f"""with {profile_sql('documents', DOCS)} select "column", kind, n_rows, non_null, round(avg_length, 6) as avg_length, min_length, max_length,
+          round(avg_words, 6) as avg_words, true as unique_near, true as share_near from kinds""",
+    ),
     "v17_classify_part": (
         lambda s, d: p.classify_columns(p.profile_columns(part(s, d))).select("column", "kind", "near_constant"),
         f"""with {profile_sql('part', PART)} select "column", kind, kind = 'text' and top_share > 0.5 as near_constant from kinds""",

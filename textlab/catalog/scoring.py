@@ -176,6 +176,10 @@ QUERIES = {
         select a.label, b.label as prediction, count(s.id) as n from k a cross join k b
         left join scored s on s.label = a.label and s.prediction = b.label group by 1, 2""",
     ),
+    "e4_confusion_cells": (
+        lambda s, d: m.confusion_cells(scored(s, d), by="source"),
+        f"with {SCORED_SQL} select source, label, prediction, count(*) as n from scored group by all",
+    ),
     "e4_confusion_by_source": (
         lambda s, d: m.confusion(scored(s, d), by="source"),
         f"""with {SCORED_SQL}, k as (select source, label from scored union select source, prediction from scored)

@@ -15,6 +15,8 @@ from textlab.catalog.inputs import (
 )
 from textlab.functions.labels import parse_labels
 from textlab.operators import validate as v
+from textlab.session import work_path
+from textlab.sources.csvfiles import LATIN, read_csv
 from textlab.sources.tables import load
 
 BLANK = f"{strip_sql('text')} = ''"
@@ -30,6 +32,20 @@ def v7(spark, d):
     return v.normalise_label(items, "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def s1(spark, d):
+    """The documents written as CSV files in two encodings and read again."""
+    df = load(spark, d, "documents").select("doc_id", "source", "text", "lang", "n_chars")
+    latin = (F.col("doc_id") % 2 == 1) & F.coalesce(F.col("text").rlike(r"^[\x01-\x7f\xa1-\xff]*$"), F.lit(True))
+    path = work_path(spark, "csv")
+    for name, rows, encoding in (("latin", df.filter(latin), LATIN), ("utf", df.filter(~latin), "UTF-8")):
+        rows.write.options(header=True, escape='"', encoding=encoding).csv(f"{path}/{name}")
+    got = read_csv(spark, f"{path}/*")
+    return got.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars"),
+        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"),
+    )
+
+
 FUNNEL_SQL = f"""with {PARTLY_SQL}, c as (select lang, count(*) as c0, count(quality) as c1,
     count(case when quality is not null and text is not null then 1 end) as c2,
     count(case when quality is not null and text is not null and not ({BLANK}) then 1 end) as c3,
@@ -41,6 +57,10 @@ union all select lang, 3, 'drop blank text', c2, c3, c2 - c3 from c
 union all select lang, 4, 'drop duplicate text', c3, c4, c3 - c4 from c"""
 
 QUERIES = {
+    "s1_read_csv": (
+        s1,
+        "select doc_id, source, lang, n_chars, md5(coalesce(text, '')) as text_md5 from documents",
+    ),
     "s2_load_documents": (
         lambda s, d: documents(s, d).select("doc_id", "lang", "source", "n_chars"),
         "select doc_id, lang, source, n_chars from documents",

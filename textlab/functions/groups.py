@@ -52,10 +52,11 @@ def salted_join(rows: DataFrame, table: DataFrame, names, how: str = "inner") ->
     ``table`` has a row per key and is repeated for every salt, so its size counts SALTS times
     and a key with a third of all ``rows`` is SALTS tasks' work. Adaptive execution doesn't split
     such a key by itself where the table is an aggregate. The salt of a row is a hash of its
-    columns, which is the same when a task is repeated.
+    columns, which is the same when a task is repeated; columns that hold maps have no hash.
     """
     names = keys(names)
-    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+    hashed = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+    salt = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int") if hashed else F.lit(0)
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return join_on(rows.withColumn("_salt", salt), copies, [*names, "_salt"], how).drop("_salt")
 
@@ -65,17 +66,25 @@ def lookup_join(rows: DataFrame, table: DataFrame, names, how: str = "inner", li
 
     At most ``limit + 1`` rows of it are read to find out.
     """
-    small = _collected(table, BROADCAST_ROWS if limit is None else limit)
+    small = _local(table, BROADCAST_ROWS if limit is None else limit)
     if small is None:
         return salted_join(rows, table, names, how)
     return join_on(rows, F.broadcast(small), names, how)
 
 
-def _collected(df: DataFrame, limit: int) -> DataFrame | None:
+def collected(df: DataFrame, limit: int = BROADCAST_ROWS):
+    """``df`` as an Arrow table if it has at most ``limit`` rows and BROADCAST_BYTES bytes, else None.
+
+    At most ``limit + 1`` rows are read to find out.
+    """
     table = df.limit(limit + 1).toArrow()
-    if table.num_rows > limit or table.nbytes > BROADCAST_BYTES:
-        return None
-    return df.sparkSession.createDataFrame(table, df.schema)
+    return None if table.num_rows > limit or table.nbytes > BROADCAST_BYTES else table
+
+
+def _local(df: DataFrame, limit: int) -> DataFrame | None:
+    """``df`` as a table of the plan if it is small."""
+    table = collected(df, limit)
+    return None if table is None else df.sparkSession.createDataFrame(table, df.schema)
 
 
 def small_table(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -84,5 +93,5 @@ def small_table(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     The check reads at most ``limit + 1`` rows. A larger table stays a distributed one; where the
     other side may have a hot key, ``lookup_join`` is the join to use.
     """
-    found = _collected(df, limit)
+    found = _local(df, limit)
     return df if found is None else F.broadcast(found)

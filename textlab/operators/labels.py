@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlab.functions.groups import join_on, keys, lookup_join, with_totals
-from textlab.functions.labels import label_rows, parse_labels
+from textlab.functions.labels import label_rows
+from textlab.operators.classes import atomic_classes, class_dictionary, hot_vector, label_sets
+from textlab.operators.classes import decode_id_lists as names_of_ids
 
 WEIGHT_RATIO = 2.0
 FOCAL_RATIO = 5.0
@@ -153,15 +155,8 @@ def unseen_labels(train: DataFrame, val: DataFrame, label: str) -> DataFrame:
 
 
 def index_labels(df: DataFrame, label: str) -> DataFrame:
-    """``(label, class_id)`` by sorted label: the table behind encoding and decoding.
-
-    The classes are ranked from one sorted list, whose length is the number of classes.
-    """
-    classes = df.select(F.col(label).cast("string").alias("label")).dropna().distinct()
-    ordered = classes.agg(F.array_sort(F.collect_list("label")).alias("classes"))
-    return ordered.select(F.posexplode("classes").alias("class_id", "label")).select(
-        "label", "class_id"
-    )
+    """``(label, class_id)`` by sorted label: the table behind encoding and decoding."""
+    return class_dictionary(df, label)
 
 
 def encode_labels(df: DataFrame, label: str, classes: DataFrame) -> DataFrame:
@@ -174,27 +169,21 @@ def decode_ids(df: DataFrame, classes: DataFrame, id_column: str = "class_id") -
     return lookup_join(df.filter(F.col(id_column).isNotNull()), table, id_column)
 
 
-def class_list(classes: DataFrame) -> Column:
-    """The class names in id order as one array, as a scalar subquery."""
-    ordered = classes.agg(F.array_sort(F.collect_list(F.struct("class_id", "label"))).alias("c"))
-    return ordered.select(F.col("c.label")).scalar()
-
-
 def decode_id_lists(df: DataFrame, classes: DataFrame, ids: str = "class_ids") -> DataFrame:
     """Class names of a list of class ids."""
-    named = df.withColumn("_classes", class_list(classes))
-    names = F.transform(F.col(ids), lambda i: F.get(F.col("_classes"), i))
-    return named.withColumn("decoded", names).drop("_classes")
+    return names_of_ids(df, classes, ids)
 
 
 def atomic_labels(df: DataFrame, label: str) -> DataFrame:
     """``(label, class_id)`` of the atomic labels of a multi-label column, over all rows."""
-    return index_labels(label_rows(df, label, multi_label=True), "label")
+    return atomic_classes(df, label)
 
 
 def multi_hot(df: DataFrame, label: str) -> DataFrame:
-    """0/1 vector over the sorted atomic labels of all rows."""
-    named = df.withColumn("_classes", class_list(atomic_labels(df, label)))
-    mine = parse_labels(df, label)
-    hot = F.transform(F.col("_classes"), lambda c: F.array_contains(mine, c).cast("float"))
-    return named.withColumn("multi_hot", hot).drop("_classes")
+    """0/1 vector over the sorted atomic labels of all rows, as long as there are labels.
+
+    Where labels are many, ``label_sets`` gives the same as the ids of the labels of a row.
+    """
+    classes = atomic_classes(df, label)
+    found = label_sets(df, label, classes, "_ids")
+    return found.select(*df.columns, hot_vector(F.col("_ids"), classes.count()).alias("multi_hot"))

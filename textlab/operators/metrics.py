@@ -96,8 +96,16 @@ def metrics_multilabel(scored: DataFrame, by=()) -> DataFrame:
     )
 
 
+def confusion_cells(scored: DataFrame, by=()) -> DataFrame:
+    """The cells of the confusion matrix that occur, one row each, at any number of classes."""
+    return confusion_counts(scored, by).select(*keys(by), "label", "prediction", "n")
+
+
 def confusion(scored: DataFrame, by=()) -> DataFrame:
-    """Confusion matrix in long form over the classes of each group, zeros included."""
+    """Confusion matrix in long form over the classes of each group, zeros included.
+
+    It has a row for every pair of classes; where classes are many, ``confusion_cells`` is what to use.
+    """
     by = keys(by)
     counts = confusion_counts(scored, by)
     seen = counts.select(*by, F.explode(F.array("label", "prediction")).alias("class"))

@@ -20,7 +20,6 @@ from textlab.functions.text import TOKEN
 from textlab.operators.labels import (
     atomic_labels,
     attach_weights,
-    class_list,
     multi_hot,
     pos_weights,
     weights_from_counts,

@@ -1,36 +1,15 @@
-"""Text tables in files, and the files written for readers."""
+"""Tables in files, and the files written for readers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LATIN = "ISO-8859-1"
-
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def is_utf8(spark: SparkSession, path: str) -> bool:
-    """Spark replaces bad bytes silently, so the encoding is checked on the raw lines."""
-    bad = spark.read.text(path).filter(~F.is_valid_utf8(F.col("value")))
-    return bad.isEmpty()
-
-
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema=None) -> DataFrame:
-    """CSV with a header, as UTF-8, or as Latin-1 where the bytes are not valid UTF-8."""
-    try:
-        if encoding is None:
-            encoding = "UTF-8" if is_utf8(spark, path) else LATIN
-        reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-        reader = reader.option("encoding", encoding)
-        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-        return reader.csv(path)
-    except Exception as error:
-        raise ValueError(f"cannot load {path}: {error}") from error
-
-
 def write_predictions(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Predictions as one file per partition; CSV gets a header and quoted quotes."""
     writer = df.write.mode("errorifexists")
