@@ -20,10 +20,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textlab.llm.common import partitions
+from textlab.llm.common import partitions, stored
 
 HASH_BITS = 18
 SIZES = (3, 4, 5, 6)
@@ -187,15 +186,27 @@ def trained(bag_columns: list[np.ndarray], labels: np.ndarray) -> Model:
 
 def sample(rows: DataFrame) -> DataFrame:
     """The bags of the labelled texts that are fitted on: per class the first by ``order``, and of
-    these as many as SAMPLE_GRAMS allows. ``rows`` has ``order``, ``label`` (0 or 1) and ``text``."""
+    these as many as SAMPLE_GRAMS allows. ``rows`` has ``order``, ``label`` (0 or 1) and ``text``.
+
+    The sizes of the bags, one number for each row of the sample, pass through the driver."""
     first = [
         rows.filter(F.col("label") == label).orderBy("order", F.xxhash64("text")).limit(n)
         for label, n in enumerate(SAMPLE_ROWS)
     ]
     # The limits leave one partition; turning texts into bags is work for all tasks.
-    found = bags(first[0].union(first[1]).repartition(partitions(rows.sparkSession), "order"))
-    so_far = W.partitionBy("label").orderBy("order", "columns").rowsBetween(W.unboundedPreceding, 0)
-    return found.withColumn("so_far", F.sum("n").over(so_far)).filter(F.col("so_far") <= SAMPLE_GRAMS)
+    found = stored(bags(first[0].union(first[1]).repartition(partitions(rows.sparkSession), "order")), "bags")
+    sizes = sorted((r["label"], r["order"], r["n"]) for r in found.select("label", "order", "n").collect())
+    taken = F.lit(False)
+    for label in (0, 1):
+        total, last = 0, None
+        for _, order, n in (x for x in sizes if x[0] == label):
+            total += n
+            if total > SAMPLE_GRAMS:
+                break
+            last = order
+        if last is not None:
+            taken |= (F.col("label") == label) & (F.col("order") <= last)
+    return found.filter(taken)
 
 
 def fit(rows: DataFrame) -> Model:
