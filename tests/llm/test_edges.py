@@ -18,7 +18,7 @@ OPERATORS = {
     "shards": lambda d: sharding.document_shards(d),
     "own_shards": lambda d: sharding.hilbert_shards(d, ["source", "n_chars"], "doc_id", 4),
     "mix": lambda d: mixing.document_mix(d),
-    "pseudonyms": lambda d: pseudonyms.pseudonymised(d),
+    "pseudonyms": lambda d: pseudonyms.pseudonymised(d, "k"),
     "repeats": lambda d: repeats.repeated_words(d),
     "urls": lambda d: links.url_verdicts(d, RULE_TABLE, "doc_id", "text", "lang"),
     "language": lambda d: language.cross_predicted(d),
@@ -88,7 +88,7 @@ def test_odd_languages(odd):
 
 
 def test_odd_pseudonyms(odd):
-    rows = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymised(odd).collect()}
+    rows = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymised(odd, "k").collect()}
     assert rows == {r["doc_id"]: r["text"] for r in odd.collect()}
 
 

@@ -83,7 +83,7 @@ def op8_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
-    return pseudonyms.document_pseudonyms(load(spark, folder, "documents"))
+    return pseudonyms.document_pseudonyms(load(spark, folder, "documents"), pseudonyms.session_key(spark))
 
 
 OP7_SQL = r"""

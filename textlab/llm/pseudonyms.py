@@ -8,16 +8,20 @@ digests of the same look. Everything is built from DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "textlab"
+#: Where a session names the key.
+KEY_SETTING = "textlab.pseudonyms.key"
 ROUNDS = 8
 
 #: Patterns by kind; where several fit at one place the first one decides.
 PATTERNS = {
     "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "secret": r"(?<![A-Za-z0-9_])(?i:token|secret|password|passwd|api_?key)[\x20]{0,2}[=:][\x20]{0,2}[\"']?[A-Za-z0-9_/+-]{16,}+",
+    "credential": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{20,}+|gh[pousr]_[A-Za-z0-9]{36,}+)(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9]|[./-][0-9])",
@@ -29,8 +33,10 @@ PATTERNS = {
 ANY = "|".join(PATTERNS.values())
 #: A text without any of these has nothing to replace: every pattern has a sign of mails or secrets,
 #: or two digits that touch or have one dot, blank or hyphen between them.
-HINT = r"[@=:]|[0-9][.\x20-]?[0-9]"
-#: Set after a card or IBAN that is shorter than the longest match; no pattern holds or needs it.
+HINT = r"[@=:]|[0-9][.\x20-]?[0-9]|AKIA|sk-|gh[pousr]_"
+#: Country codes of phone numbers; those not listed have three digits.
+COUNTRY = r"^(\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}))"
+#: Set around a card or IBAN that is shorter than the longest match; no pattern holds or needs it.
 END, SELF = "\uffff", "\ufffe"
 #: Letters and digits of an IBAN by country.
 IBAN_LENGTHS = {
@@ -55,18 +61,16 @@ def quotient(a: Column, b) -> Column:
     return ((a - F.pmod(a, b)) / b).cast("long")
 
 
-def permuted(value: Column, low, high, kind: str, key: str) -> Column:
+def permuted(value: Column, low: Column, high: Column, kind: Column, key: str) -> Column:
     """Permutation of 0 to ``low * high - 1``: the halves take turns in shifting each other.
 
     The value is left * low + right; both factors are below 2 ** 31.
     """
-    low, high = (x if isinstance(x, Column) else F.lit(x) for x in (low, high))
-    value, low, high = value.cast("long"), low.cast("long"), high.cast("long")
     start = F.struct(quotient(value, low).alias("left"), F.pmod(value, low).alias("right"))
 
     def turn(a, i):
         even = F.pmod(i, F.lit(2)) == 0
-        shift = digest(F.lit(key), F.lit(kind), i, low, high, F.when(even, a["right"]).otherwise(a["left"]))
+        shift = digest(F.lit(key), kind, i, low, high, F.when(even, a["right"]).otherwise(a["left"]))
         return F.struct(
             F.when(even, F.pmod(a["left"] + shift, high)).otherwise(a["left"]).alias("left"),
             F.when(even, a["right"]).otherwise(F.pmod(a["right"] + shift, low)).alias("right"),
@@ -94,15 +98,6 @@ def laid_out(digits: Column, like: Column) -> Column:
     return F.aggregate(F.split(like, ""), start, put)["out"]
 
 
-def permuted_digits(digits: Column, kind: str, key: str) -> Column:
-    """Another string of as many digits, up to 18 of them."""
-    n = F.char_length(digits)
-    half = quotient(n, 2).cast("int")
-    low, high = F.round(F.pow(F.lit(10.0), n - half)), F.round(F.pow(F.lit(10.0), half))
-    out = permuted(F.concat(F.lit("0"), digits).cast("long"), low, high, kind, key)
-    return F.lpad(out.cast("string"), n, F.lit("0"))
-
-
 def luhn(digits: Column, doubled: int) -> Column:
     """Luhn sum of digits; from the right, the first (1) or second (0) one is doubled first."""
     start = F.struct(F.lit(0).alias("sum"), F.lit(doubled).alias("double"))
@@ -115,71 +110,124 @@ def luhn(digits: Column, doubled: int) -> Column:
     return F.aggregate(F.split(F.reverse(digits), ""), start, add)["sum"]
 
 
-def is_card(value: Column) -> Column:
-    digits = digits_of(value)
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed and planned once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def is_card(digits: Column) -> Column:
+    """Whether 13 to 19 digits pass the Luhn check."""
     return F.char_length(digits).between(13, 19) & (F.pmod(luhn(digits, 0), F.lit(10)) == 0)
 
 
-def card(value: Column, key: str) -> Column:
-    """Card and account numbers that pass the Luhn check; null for the others."""
-    digits = digits_of(value)
-    body = permuted_digits(F.substring(digits, F.lit(1), F.char_length(digits) - 1), "card", key)
-    check = F.pmod(10 - F.pmod(luhn(body, 1), F.lit(10)), F.lit(10))
-    return F.when(is_card(value), laid_out(F.concat(body, check.cast("string")), value))
+def job(kind: Column | str, number: Column, low: Column | int, high: Column | int, digits: Column | int = 0) -> Column:
+    """A number to be permuted among ``low * high``, and the digits that the result is filled up to."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(
+        lit(kind).alias("kind"), number.cast("long").alias("number"), lit(low).cast("long").alias("low"),
+        lit(high).cast("long").alias("high"), lit(digits).cast("int").alias("digits"),
+    )
+
+
+def digit_jobs(kind: Column, parts: Column) -> Column:
+    """One job per string of at most 18 digits, the second of its own kind."""
 
+    def one(digits: Column, i: Column) -> Column:
+        n = F.char_length(digits)
+        half = F.floor(n / 2)
+        power = lambda x: F.round(F.pow(F.lit(10.0), x))
+        return job(F.when(i == 0, kind).otherwise(F.concat(kind, F.lit("2"))), F.concat(F.lit("0"), digits), power(n - half), power(half), n)
 
-def phone(value: Column, key: str) -> Column:
-    """All digits but the country code, which stays: up to three digits after a plus."""
-    country = F.regexp_extract(value, r"^(\+[0-9]{1,3}(?=[^0-9])|\+[0-9]{2})", 1)
-    rest = F.substring(value, F.char_length(country) + 1, F.lit(99))
-    return F.concat(country, laid_out(permuted_digits(digits_of(rest), "phone", key), rest))
+    return F.transform(F.filter(parts, lambda x: x != ""), one)
 
 
-def ssn(value: Column, key: str) -> Column:
+def ssn_job(value: Column) -> Column:
     """Social security numbers with an area, group and serial that are given out."""
-    area, group, serial = (F.substring(value, p, n).cast("int") for p, n in ((1, 3), (5, 2), (8, 4)))
-    valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
-    at = area - 1 - (area > 666).cast("int")
-    out = permuted((at * 99 + group - 1).cast("long") * 9999 + serial - 1, 9999, 898 * 99, "ssn", key)
-    left = quotient(out, 9999)
-    new = quotient(left, 99) + 1
-    parts = [(new + (new >= 666).cast("int"), 3), (F.pmod(left, F.lit(99)) + 1, 2), (F.pmod(out, F.lit(9999)) + 1, 4)]
-    return F.when(valid, F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in parts]))
+    return let(
+        F.transform(F.split(value, "-"), lambda x: x.cast("int")),
+        lambda p: F.when(
+            (p[0] > 0) & (p[0] < 900) & (p[0] != 666) & (p[1] > 0) & (p[2] > 0),
+            job("ssn", ((p[0] - 1 - (p[0] > 666).cast("int")) * 99 + p[1] - 1).cast("long") * 9999 + p[2] - 1, 9999, 898 * 99),
+        ),
+    )
+
+
+def ssn_of(out: Column) -> Column:
+    def show(left: Column) -> Column:
+        area = quotient(left, 99) + 1
+        parts = [(area + (area >= 666).cast("int"), 3), (F.pmod(left, F.lit(99)) + 1, 2), (F.pmod(out, F.lit(9999)) + 1, 4)]
+        return F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in parts])
+
+    return let(quotient(out, 9999), show)
+
+
+def ip_job(value: Column) -> Column:
+    return let(
+        F.transform(F.split(value, "[.]"), lambda x: x.cast("long")),
+        lambda octets: F.when(
+            F.forall(octets, lambda x: x <= 255), job("ip", F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x), 65536, 65536)
+        ),
+    )
 
 
-def ip(value: Column, key: str) -> Column:
-    octets = F.transform(F.split(value, "[.]"), lambda x: x.cast("long"))
-    number = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
-    out = permuted(number, 65536, 65536, "ip", key)
-    parts = [F.pmod(F.shiftright(out, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]
-    return F.when(F.forall(octets, lambda x: x <= 255), F.concat_ws(".", *parts))
+def ip_of(out: Column) -> Column:
+    return F.concat_ws(".", *[F.pmod(F.shiftright(out, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)])
 
 
-def date(value: Column, key: str) -> Column:
-    """Dates of the calendar from 1800 to 2199, each permuted inside its century.
+def date_parts(value: Column) -> Column:
+    """Year, month and day of a date as written, and whether year and month come first.
 
     Four digits first are year, month, day; with dots day, month, year; with slashes month, day,
-    year, or day first where only that is a date. Numbers keep leading zeros.
+    year, or day first where only that is a date.
     """
-    parts = F.split(value, "[./-]")
-    year_first = F.char_length(F.get(parts, F.lit(0))) == 4
-    y, a, b = (F.when(year_first, F.get(parts, F.lit(i))).otherwise(F.get(parts, F.lit(j))) for i, j in ((0, 2), (1, 0), (2, 1)))
-    month_first = year_first | (value.contains("/") & (a.cast("int") <= 12))
-    m, d = (F.when(month_first, p).otherwise(q) for p, q in ((a, b), (b, a)))
-    year, month, day = (x.cast("int") for x in (y, m, d))
-    leap = (F.pmod(year, F.lit(4)) == 0) & ((F.pmod(year, F.lit(100)) != 0) | (F.pmod(year, F.lit(400)) == 0))
-    longest = F.when(month == 2, 28 + leap.cast("int")).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    valid = year.between(1800, 2199) & month.between(1, 12) & (day >= 1) & (day <= longest)
-    first = F.make_date((quotient(year, 100) * 100).cast("int"), F.lit(1), F.lit(1))
-    # A century has 92 * 397 days, or 75 * 487 if its first year is a leap year.
-    long = F.pmod(quotient(year, 100), F.lit(4)) == 0
-    low, high = (F.when(long, p).otherwise(q) for p, q in ((487, 397), (75, 92)))
-    out = F.date_add(first, permuted(F.datediff(F.make_date(year, month, day), first), low, high, "date", key).cast("int"))
-    fit = lambda x, like: F.when(F.char_length(like) == 2, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
-    new_m, new_d, new_y = fit(F.month(out), m), fit(F.day(out), d), F.lpad(F.year(out).cast("string"), 4, "0")
-    mark = F.regexp_extract(value, "([./-])", 1)
-    two = F.when(month_first, F.concat(new_m, mark, new_d)).otherwise(F.concat(new_d, mark, new_m))
-    return F.when(valid, F.when(year_first, F.concat(new_y, mark, two)).otherwise(F.concat(two, mark, new_y)))
+
+    def named(p: Column) -> Column:
+        year_first = F.char_length(p[0]) == 4
+        month_first = year_first | (value.contains("/") & (p[0].cast("int") <= 12))
+        y, a, b = (F.when(year_first, p[i]).otherwise(p[j]) for i, j in ((0, 2), (1, 0), (2, 1)))
+        return F.struct(
+            y.alias("y"), F.when(month_first, a).otherwise(b).alias("m"), F.when(month_first, b).otherwise(a).alias("d"),
+            year_first.alias("year_first"), month_first.alias("month_first"),
+        )
+
+    return let(F.split(value, "[./-]"), named)
+
+
+def century(year: Column) -> Column:
+    return F.make_date((quotient(year, 100) * 100).cast("int"), F.lit(1), F.lit(1))
+
+
+def date_job(value: Column) -> Column:
+    """Dates of the calendar from 1800 to 2199, each permuted inside its century."""
+
+    def made(t: Column) -> Column:
+        year, month, day = t["y"], t["m"], t["d"]
+        leap = (F.pmod(year, F.lit(4)) == 0) & ((F.pmod(year, F.lit(100)) != 0) | (F.pmod(year, F.lit(400)) == 0))
+        longest = F.when(month == 2, 28 + leap.cast("int")).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+        valid = year.between(1800, 2199) & month.between(1, 12) & (day >= 1) & (day <= longest)
+        # A century has 92 * 397 days, or 75 * 487 if its first year is a leap year.
+        long = F.pmod(quotient(year, 100), F.lit(4)) == 0
+        low, high = (F.when(long, p).otherwise(q) for p, q in ((487, 397), (75, 92)))
+        return F.when(valid, job("date", F.datediff(F.make_date(year, month, day), century(year)), low, high))
+
+    return let(date_parts(value), lambda p: let(F.struct(*[p[k].cast("int").alias(k) for k in "ymd"]), made))
+
+
+def date_of(value: Column, out: Column) -> Column:
+    """A date as it is written, with the day that ``out`` days of its century lead to."""
+
+    def show(t: Column) -> Column:
+        p, new = t["p"], t["new"]
+        fit = lambda x, like: F.lpad(x.cast("string"), F.when(F.char_length(like) == 2, 2).otherwise(F.char_length(x.cast("string"))), F.lit("0"))
+        month, day, year = fit(F.month(new), p["m"]), fit(F.day(new), p["d"]), F.lpad(F.year(new).cast("string"), 4, "0")
+        mark = F.regexp_extract(value, "([./-])", 1)
+        two = F.when(p["month_first"], F.concat(month, mark, day)).otherwise(F.concat(day, mark, month))
+        return F.when(p["year_first"], F.concat(year, mark, two)).otherwise(F.concat(two, mark, year))
+
+    return let(
+        date_parts(value),
+        lambda p: let(F.struct(p.alias("p"), F.date_add(century(p["y"].cast("int")), out.cast("int")).alias("new")), show),
+    )
 
 
 def remainder(letters_and_digits: Column) -> Column:
@@ -191,34 +239,33 @@ def remainder(letters_and_digits: Column) -> Column:
     )
 
 
-def is_iban(value: Column) -> Column:
-    plain = F.regexp_replace(value, " ", "")
+def is_iban(plain: Column) -> Column:
+    """Whether a number without blanks has 1 to 30 digits behind its check and passes it."""
     digits = F.char_length(digits_of(F.substring(plain, 5, 99)))
     checked = remainder(F.concat(F.substring(plain, 5, 99), F.substring(plain, 1, 4))) == 1
     return (F.char_length(plain) >= 12) & (digits > 0) & (digits <= 30) & checked
 
 
-def iban(value: Column, key: str) -> Column:
-    """Account numbers that pass the check: other digits, and check digits to match."""
-    plain = F.regexp_replace(value, " ", "")
-    country, rest = F.substring(plain, 1, 2), F.substring(plain, 5, 99)
-    digits = digits_of(rest)
-    new = F.concat(
-        permuted_digits(F.substring(digits, 1, 15), "iban", key),
-        F.when(F.char_length(digits) > 15, permuted_digits(F.substring(digits, 16, 15), "iban2", key)).otherwise(""),
-    )
-    body = laid_out(new, rest)
+def without_blanks(value: Column) -> Column:
+    return F.regexp_replace(value, " ", "")
+
+
+def iban_of(value: Column, body: Column) -> Column:
+    """An account number with other digits, check digits to match, and blanks where they were."""
+    country = F.substring(value, 1, 2)
     check = F.lpad((98 - remainder(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
-    out = F.concat(country, check, body)
-    spaced = F.aggregate(
-        F.split(value, ""),
-        F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-        lambda a, c: F.struct(
-            F.concat(a["out"], F.when(c == " ", c).otherwise(F.substring(out, a["at"], F.lit(1)))).alias("out"),
-            (a["at"] + (c != " ").cast("int")).alias("at"),
-        ),
-    )["out"]
-    return F.when(is_iban(value), spaced)
+
+    def spaced(out: Column) -> Column:
+        return F.aggregate(
+            F.split(value, ""),
+            F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
+            lambda a, c: F.struct(
+                F.concat(a["out"], F.when(c == " ", c).otherwise(F.substring(out, a["at"], F.lit(1)))).alias("out"),
+                (a["at"] + (c != " ").cast("int")).alias("at"),
+            ),
+        )["out"]
+
+    return let(F.concat(country, check, body), spaced)
 
 
 def keyed(value: Column, kind: str, key: str) -> Column:
@@ -231,41 +278,114 @@ def mail(value: Column, key: str) -> Column:
 
 
 def secret(value: Column, key: str) -> Column:
-    head = F.regexp_extract(value, "^([^=:]*[=:] {0,2}[\"']?)", 1)
-    tail = F.substring(value, F.char_length(head) + 1, F.lit(1 << 20))
-    return F.concat(head, F.rpad(keyed(tail, "secret", key), F.char_length(tail), keyed(tail, "more", key)))
+    """What stands before the secret, or its well-known first letters, then a digest as long."""
+    head = F.regexp_extract(value, "^([^=:]*[=:] {0,2}[\"']?|AKIA|sk-|gh[pousr]_)", 1)
+    return let(
+        F.struct(head.alias("head"), F.substring(value, F.char_length(head) + 1, F.lit(1 << 20)).alias("tail")),
+        lambda s: F.concat(s["head"], F.rpad(keyed(s["tail"], "secret", key), F.char_length(s["tail"]), keyed(s["tail"], "more", key))),
+    )
+
 
+def kind_of(value: Column) -> Column:
+    """The kind of a match, the first whose pattern it fits as a whole."""
+    found = F.when(value.contains("@"), "mail").when(value.rlike("^(?:[A-Za-z_]+ {0,2}[=:]|AKIA|sk-|gh[pousr]_)"), "secret")
+    for kind in ("iban", "ip", "date", "ssn", "phone", "card"):
+        found = found.when(value.rlike("^(?:" + PATTERNS[kind] + ")$"), kind)
+    return found.otherwise("phone")
 
-def pseudonym(value: Column, key: str = KEY) -> Column:
-    """The pseudonym of one match, or the match itself where it fails its check."""
-    whole = lambda kind: value.rlike("^(?:" + PATTERNS[kind] + ")$")
-    made = F.when(value.contains("@"), mail(value, key)).when(value.rlike("^[A-Za-z_]+ {0,2}[=:]"), secret(value, key))
-    for kind, rule in (("iban", iban), ("ip", ip), ("date", date), ("ssn", ssn), ("phone", phone), ("card", card)):
-        made = made.when(whole(kind), rule(value, key))
-    return F.coalesce(made.otherwise(phone(value, key)), value)
+
+def pseudonym(value: Column, key: str) -> Column:
+    """The pseudonym of one match, or the match itself where it fails its check.
+
+    The kind is decided once. What can be counted becomes one number, or two of long account
+    numbers, all kinds go through the same permutation, and the result is written as the match was:
+    cards and accounts with a new check digit, phone numbers with their country code.
+    """
+
+    def read(m: Column) -> Column:
+        v, kind = m["v"], m["kind"]
+        rest = (
+            F.when(kind == "phone", F.substring(v, F.char_length(F.regexp_extract(v, COUNTRY, 1)) + 1, F.lit(99)))
+            .when(kind == "iban", F.substring(without_blanks(v), 5, 99))
+            .otherwise(v)
+        )
+        return let(F.struct(v.alias("v"), kind.alias("kind"), rest.alias("rest"), digits_of(rest).alias("digits")), counted)
+
+    def counted(m: Column) -> Column:
+        v, kind, digits = m["v"], m["kind"], m["digits"]
+        none = F.array().cast("array<string>")
+        parts = (
+            F.when((kind == "card") & is_card(digits), F.array(F.substring(digits, F.lit(1), F.char_length(digits) - 1)))
+            .when(kind == "phone", F.array(digits))
+            .when((kind == "iban") & is_iban(without_blanks(v)), F.array(F.substring(digits, 1, 15), F.substring(digits, 16, 15)))
+            .otherwise(none)
+        )
+        number = F.when(kind == "ssn", ssn_job(v)).when(kind == "ip", ip_job(v)).when(kind == "date", date_job(v))
+        jobs = F.concat(digit_jobs(kind, parts), F.filter(F.array(number), lambda x: x.isNotNull()))
+        outs = F.transform(
+            jobs,
+            lambda x: let(
+                permuted(x["number"], x["low"], x["high"], x["kind"], key),
+                lambda out: F.struct(out.alias("number"), F.lpad(out.cast("string"), x["digits"], F.lit("0")).alias("digits")),
+            ),
+        )
+        return let(F.struct(m.alias("m"), outs.alias("outs")), shown)
+
+    def shown(r: Column) -> Column:
+        v, kind, rest = r["m"]["v"], r["m"]["kind"], r["m"]["rest"]
+        body = F.array_join(F.transform(r["outs"], lambda x: x["digits"]), "")
+        # The check digit of a card follows from the others.
+        new = let(body, lambda b: F.when(kind == "card", F.concat(b, F.pmod(10 - F.pmod(luhn(b, 1), F.lit(10)), F.lit(10)).cast("string"))).otherwise(b))
+        laid = laid_out(new, rest)
+        out = F.get(r["outs"], F.lit(0))["number"]
+        written = (
+            F.when(kind.isin("card", "phone", "iban"), let(laid, lambda t: (
+                F.when(kind == "iban", iban_of(v, t)).when(kind == "phone", F.concat(F.regexp_extract(v, COUNTRY, 1), t)).otherwise(t)
+            )))
+            .when(kind == "ssn", ssn_of(out))
+            .when(kind == "ip", ip_of(out))
+            .when(kind == "date", date_of(v, out))
+        )
+        return F.when(F.size(r["outs"]) > 0, written).otherwise(v)
+
+    def routed(m: Column) -> Column:
+        return F.when(m["kind"] == "mail", mail(m["v"], key)).when(m["kind"] == "secret", secret(m["v"], key)).otherwise(read(m))
+
+    return F.coalesce(let(F.struct(value.alias("v"), kind_of(value).alias("kind")), routed), value)
 
 
 def shortened(value: Column) -> Column:
-    """One match, with ``END`` after the part that passes where that is not the whole.
+    """One match, with ``END`` around the part that passes where that is not the whole.
 
-    Parts start with the match and end before a blank or hyphen; the longest one that passes is
-    taken, of an IBAN first the one as long as its country has them.
+    Parts begin at the start of the match or, of a card, behind a blank or hyphen, and end before
+    one. The first beginning that passes is taken, and of its parts the longest; of an IBAN first
+    the one as long as its country has them.
     """
     n = F.char_length(value)
-    part = lambda i: F.substring(value, F.lit(1), i)
     after = lambda i: F.substring(value, i + 1, F.lit(1))
+    cut = lambda a, b: F.substring(value, a, b - a + 1)
     ends = F.filter(F.sequence(F.greatest(n, F.lit(12)), F.lit(12), F.lit(-1)), lambda i: after(i).isin("", " ", "-"))
     lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
-    due = F.element_at(lengths, F.substring(value, 1, 2))
-    own = lambda i: F.char_length(F.regexp_replace(part(i), " ", "")) == due
-    cards = F.filter(ends, lambda i: is_card(part(i)))
-    ibans = F.filter(ends, lambda i: is_iban(part(i)))
-    best = F.when(value.rlike("^[0-9]"), F.get(cards, F.lit(0))).otherwise(
-        F.coalesce(F.get(F.filter(ibans, own), F.lit(0)), F.get(ibans, F.lit(0)))
-    )
-    cut = F.concat(part(best), F.lit(END), F.substring(value, best + 1, n))
+
+    def card_part(ends: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.greatest(n - 12, F.lit(1))), lambda a: (a == 1) | after(a - 2).isin(" ", "-"))
+        pairs = F.flatten(F.transform(begins, lambda a: F.transform(ends, lambda b: F.struct(a.alias("a"), b.alias("b")))))
+        return F.get(F.filter(pairs, lambda p: let(digits_of(cut(p["a"], p["b"])), is_card)), F.lit(0))
+
+    def iban_part(ends: Column) -> Column:
+        passing = F.filter(F.transform(ends, lambda b: F.struct(F.lit(1).alias("a"), b.alias("b"))), lambda p: let(without_blanks(cut(F.lit(1), p["b"])), is_iban))
+        due = F.element_at(lengths, F.substring(value, 1, 2))
+        own = lambda p: F.char_length(without_blanks(cut(F.lit(1), p["b"]))) == due
+        return let(passing, lambda found: F.coalesce(F.get(F.filter(found, own), F.lit(0)), F.get(found, F.lit(0))))
+
+    def marked(p: Column) -> Column:
+        before = F.when(p["a"] > 1, F.concat(cut(F.lit(1), p["a"] - 1), F.lit(END))).otherwise("")
+        behind = F.when(p["b"] < n, F.concat(F.lit(END), F.substring(value, p["b"] + 1, n))).otherwise("")
+        return F.concat(before, cut(p["a"], p["b"]), behind)
+
+    best = let(ends, lambda e: F.when(value.rlike("^[0-9]"), card_part(e)).otherwise(iban_part(e)))
     fits = value.rlike(f"^(?:{PATTERNS['card']}|{PATTERNS['iban']})$")
-    return F.when((n > 12) & fits, F.when(best < n, cut).otherwise(value)).otherwise(value)
+    return F.when((n > 12) & fits, F.coalesce(let(best, marked), value)).otherwise(value)
 
 
 def replaced(value: Column, rule) -> Column:
@@ -278,7 +398,7 @@ def replaced(value: Column, rule) -> Column:
 
 
 def with_ends(value: Column) -> Column:
-    """``END`` after every card and IBAN that is shorter than its match.
+    """``END`` around every card and IBAN that is shorter than its match.
 
     What follows one is searched again, as it may begin the next match, until nothing is new.
     Each turn but the last sets one more ``END`` at least, with 12 characters or more before it.
@@ -293,24 +413,36 @@ def with_ends(value: Column) -> Column:
     return F.when(value.rlike(f"{PATTERNS['card']}|{PATTERNS['iban']}"), F.aggregate(turns, start, turn)["text"]).otherwise(value)
 
 
-def pseudonymised(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymised(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``df`` with the personal data of its text replaced; all other columns stay as they are.
 
     Null stays null, a text without personal data stays as it is to the byte, and numbers that
-    fail their check stay. Cards and IBANs with an expiry, a code or a word behind them are found;
-    a card behind other digits that it is not parted from by more than a blank or hyphen is not.
-    Whole texts are searched; repeated rows get equal texts.
+    fail their check stay. Cards and IBANs with an expiry, a code or a word behind them are found,
+    and cards behind other digits. A phone number is the same pseudonym in any notation. Whole texts
+    are searched; repeated rows get equal texts, an empty table gives no rows. Whoever has ``key``
+    can invert the pseudonyms.
     """
     value = F.col(text)
-    # Own marks stand before a blank or hyphen; those that the text has by itself get a sign behind them.
-    marked = with_ends(F.replace(value, F.lit(END), F.lit(END + SELF)))
-    # Bound as an element, so that the ends are looked for once.
-    joined = F.get(F.transform(F.array(marked), lambda t: replaced(t, lambda m: pseudonym(m, key))), F.lit(0))
-    joined = F.replace(F.regexp_replace(joined, END + "(?=[\\x20-])", ""), F.lit(END + SELF), F.lit(END))
-    return df.withColumn(text, F.when(value.rlike(HINT) & value.rlike(ANY), joined).otherwise(value))
+
+    def joined(marked: Column) -> Column:
+        return F.replace(F.regexp_replace(replaced(marked, lambda m: pseudonym(m, key)), END + "(?!" + SELF + ")", ""), F.lit(END + SELF), F.lit(END))
+
+    # Marks that the text has by itself get a sign behind them.
+    whole = let(with_ends(F.replace(value, F.lit(END), F.lit(END + SELF))), joined)
+    return df.withColumn(text, F.when(value.rlike(HINT) & value.rlike(ANY), whole).otherwise(value))
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names in KEY_SETTING; where it names none, one is drawn and kept for
+    this session, so that nobody can invert the pseudonyms later."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, key)
+    return key
 
 
-def document_pseudonyms(df: DataFrame, id_col: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:
-    """``doc_id``, the new ``text``, and whether it is ``changed``."""
+def document_pseudonyms(df: DataFrame, key: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, the new ``text``, and whether it is ``changed``; every row gives one."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("old"), F.col(text).cast("string").alias("text"))
-    return pseudonymised(rows, "text", key).select("doc_id", "text", (~F.col("text").eqNullSafe(F.col("old"))).alias("changed"))
+    return pseudonymised(rows, key).select("doc_id", "text", (~F.col("text").eqNullSafe(F.col("old"))).alias("changed"))
