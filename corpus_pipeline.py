@@ -21,7 +21,8 @@ LEAST_CERTAINTY = 0.5
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled rows have; no text or no letters, none.
 
-    Without any labelled row nothing is known, and all documents with letters would go.
+    Without any labelled row nothing is known, and all documents with letters would go. Repeated
+    rows are judged alike; no rows give none.
     """
     model = language.fit(docs)
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
@@ -31,20 +32,36 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies."""
+    """One document, that with the smallest id, of each group of near copies.
+
+    Documents without words are near to none and all stay; of rows that repeat an id one stays. No
+    rows give none.
+    """
     return ngramjoin.distinct_documents(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymised(docs)
+    """All documents, with the personal data of their texts replaced under the key of the session.
+
+    Null and empty texts, repeated rows and other columns stay as they are; no rows give none.
+    """
+    return pseudonyms.pseudonymised(docs, pseudonyms.session_key(spark))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, as repeated rows."""
+    """Each document as often as the mix takes it, as repeated rows.
+
+    Documents without words, null and empty texts among them, are not taken; null sources are one
+    source. No rows give none.
+    """
     return mixing.mixture(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, one piece a sequence; repeated rows are packed each.
+
+    Null and empty texts are the end token alone. No rows give none.
+    """
     return packing.document_packing(docs, tokenizer_path())
 
 
