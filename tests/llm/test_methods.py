@@ -739,3 +739,10 @@ def test_run_digests_by_hand(spark):
         gone = {i for s, n, q in runs for i in range(s + q, s + n)}
         text = " ".join(x for i, x in enumerate(w) if i not in gone)
         assert found["collapsed_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_buckets_of_any_number_find_the_same(spark, docs, monkeypatch):
+    rows = docs.select(F.col("doc_id").alias("id"), "text")
+    wanted = sorted(ngramjoin.shared_counts(rows, ngramjoin.text_reader(3, True), F.lit(0)).collect())
+    got = sorted(ngramjoin.shared_counts(rows, ngramjoin.text_reader(3, True), F.lit(ngramjoin.BUCKET_SHINGLES)).collect())
+    assert len(wanted) == docs.count() and got == wanted

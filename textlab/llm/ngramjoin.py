@@ -20,7 +20,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -126,13 +126,12 @@ def sent(sets, ids: np.ndarray, chunk: int, buckets: int):
     header["s1"], header["s2"] = sets.signatures()
     rows = [(-1 - chunk % buckets, chunk, 0, header.tobytes())]
     tokens, owner = tokens[starts], np.where(many, 0, row[starts] + 1).astype(np.uint32)
-    cuts = np.searchsorted(tokens, (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(SENT_BITS)) // np.uint64(buckets))
-    for k in range(buckets):
-        a, b = cuts[k], cuts[k + 1]
-        if b > a:
-            steps = np.diff(tokens[a:b], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T[: SENT_BITS // 8]
-            owners = owner[a:b].view(np.uint8).reshape(-1, 4).T
-            rows.append((k, chunk, 1, steps.tobytes() + owners.tobytes()))
+    bucket = tokens // np.uint64(-(-(1 << SENT_BITS) // buckets))
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+    for a, b in zip(cuts, [*cuts[1:], len(tokens)]):
+        steps = np.diff(tokens[a:b], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T[: SENT_BITS // 8]
+        owners = owner[a:b].view(np.uint8).reshape(-1, 4).T
+        rows.append((int(bucket[a]), chunk, 1, steps.tobytes() + owners.tobytes()))
     return pa.RecordBatch.from_pylist([dict(zip(("bucket", "chunk", "kind", "data"), r)) for r in rows], SENT_SCHEMA)
 
 
@@ -185,13 +184,19 @@ def summed(table: pa.Table) -> pa.Table:
     return pa.table({k: header[k] for k in HEADER.names})
 
 
-def shared_counts(sets: DataFrame, read) -> DataFrame:
+#: Shingles that a bucket has about; a task of Python holds one bucket at a time.
+BUCKET_SHINGLES = 600_000
+
+
+def shared_counts(sets: DataFrame, read, shingles: Column) -> DataFrame:
     """Size, signature and number of shared shingles of each row.
 
     ``read`` makes (sets, ids) slices of a batch. A slice is named by its task and number, so the
     table must be a file scan or another input that gives the same rows when a task is repeated.
+    ``shingles`` is about the number of shingles of a row; buckets are as many as their sum asks for.
     """
-    buckets = partitions(sets.sparkSession)
+    total = sets.agg(F.sum(shingles)).first()[0] or 0
+    buckets = max(partitions(sets.sparkSession), -(-int(total) // BUCKET_SHINGLES))
 
     def send(batches):
         part, number = TaskContext.get().partitionId() << 24, 0
@@ -364,12 +369,12 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     its texts. Other columns are not read; an empty table gives no rows.
     """
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("string").alias("text"))
-    sized = stored(shared_counts(rows, text_reader(width, fold)), "sized")
+    sized = stored(shared_counts(rows, text_reader(width, fold), F.octet_length("text") / 6), "sized")
     likely = with_partners(sized, share)
     classes = likely.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.max("id").alias("last"))
     classes = stored(classes, "classes")
     sets = stored(class_sets(rows, classes.select("id", "n", "s1", "s2"), width, fold), "sets")
-    left = with_partners(shared_counts(sets.select("id", "tokens"), set_reader), share).select("id")
+    left = with_partners(shared_counts(sets.select("id", "tokens"), set_reader, F.octet_length("tokens") / 8), share).select("id")
     sets = stored(sets.join(stored(left, "left"), "id", "left_semi"), "sets")
     boundary = chosen_boundary(sets, share)
     light = light_links(sets, boundary, share)
