@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 
 from textlab.llm.common import partitions, stored
 from textlab.llm.components import components
-from textlab.llm.textarrays import MIX, Words, chunks, mixed
+from textlab.llm.textarrays import MIX, Words, chunks, give_back, mixed
 
 #: Bits of a hash that are sent to find out whether a shingle occurs elsewhere. Chance meetings
 #: only keep a set that could have been left out.
@@ -168,6 +168,8 @@ def met(table: pa.Table) -> pa.Table:
         counts = np.bincount(hits[hits > 0] - 1).astype("<u4")
         if len(counts):
             out.append((int(table["bucket"][0].as_py()), int(c), 1, counts.tobytes()))
+    del parts, tokens, order, twice, shared
+    give_back()
     return pa.Table.from_pylist([dict(zip(("bucket", "chunk", "kind", "data"), r)) for r in out], SENT_SCHEMA)
 
 
@@ -204,6 +206,7 @@ def shared_counts(sets: DataFrame, read, shingles: Column) -> DataFrame:
             for found, ids in read(batch):
                 yield sent(found, ids, part + number, buckets)
                 number += 1
+        give_back()
 
     moved = sets.mapInArrow(send, SENT)
     counted = moved.groupBy("bucket").applyInArrow(met, SENT)

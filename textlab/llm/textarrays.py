@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +16,18 @@ MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 CHUNK_BYTES = 2_000_000
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where that can be asked for.
+
+    Python workers live on through later stages, and what one stage has freed but kept adds to what
+    the next one takes.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim is not None:
+        trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * MIX[0]
     x = (x ^ (x >> np.uint64(27))) * MIX[1]
