@@ -74,7 +74,7 @@ def test_failed_trials_are_recorded_and_left_out(parts, monkeypatch):
     def fail(*_):
         raise RuntimeError("no fit")
 
-    monkeypatch.setattr(train, "_fit", fail)
+    monkeypatch.setattr(train, "fit_estimator", fail)
     proxy = sp.proxy_sample(parts[0].drop("split"), "label", "doc_id")
     best, record = train.search(proxy, "text", "label", CFG, trials=3)
     assert best == CFG and [r["error"] for r in record] == ["no fit"] * 3

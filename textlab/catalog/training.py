@@ -2,12 +2,14 @@
 
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.catalog.inputs import documents, labeled, multi_docs
-from textlab.operators import explain, train
+from textlab.operators import explain, fitting, train
 from textlab.operators import split as sp
+from textlab.operators.losses import cross_entropy, focal_loss
 from textlab.operators.metrics import metrics, metrics_multilabel
 from textlab.functions.labels import parse_labels
 from textlab.operators.validate import clean
@@ -91,6 +93,71 @@ def e14_multi(s, d):
     return train.cross_validate_multilabel(sp.random_folds(df, "doc_id", 3), "text", "tags", "nb_multinomial", FAST)
 
 
+RACE_TRIALS = 4
+
+
+def t9_race(s, d):
+    """The rungs of a race of settings on all documents: its fits and the rows they see."""
+    val = F.when(F.col("doc_id") % 5 == 0, "val").otherwise("train")
+    parts = written(documents(s, d).select("doc_id", "text", "lang", val.alias("split")), "parts")
+    best, record = fitting.race(parts, "text", "lang", "doc_id", FAST, trials=RACE_TRIALS, least=0.25)
+    last = max(r["rung"] for r in record)
+    won = next(r for r in record if r["rung"] == last and r["weight_decay"] == best.weight_decay)
+    rows = [(i, r["share"]) for i, r in enumerate(record) if r["error"] is None]
+    fits = s.createDataFrame(rows, "fit int, share double").groupBy("share").agg(F.count(F.lit(1)).alias("n_fits"))
+    seen = parts.select("split", fitting.hash_share("doc_id", FAST.seed).alias("h"))
+    counts = [F.count_if((F.col("split") == p) & (F.col("h") < F.col("share"))).alias(f"n_{p}") for p in ("train", "val")]
+    every = seen.join(F.broadcast(fits), F.col("h") < F.col("share"))
+    return every.groupBy("share", "n_fits").agg(*counts).withColumn("best_is_last", F.lit(won["f1"] is not None and last == 2))
+
+
+RACE_SQL = """with p as (select doc_id, cast(cast('0x' || substr(md5('42:' || doc_id), 1, 8) as bigint) as double) / 4294967296 as h from documents),
+  r as (select cast(unnest([0.25, 0.5, 1.0]) as double) as share, cast(unnest([4, 2, 1]) as bigint) as n_fits)
+select share, n_fits, count(case when doc_id % 5 <> 0 then 1 end) as n_train, count(case when doc_id % 5 = 0 then 1 end) as n_val, true as best_is_last
+from r join p on p.h < r.share group by all"""
+
+
+def t5_rounds(s, d):
+    """Focal training by rounds: no round raises the loss, and the first is that of the plain fit."""
+    fit, val = _parts(s, d)
+    one = train.fit_focal(fit, "text", "label", 2.0, cfg=FAST)
+    falls = all(b < a for a, b in zip(one.rounds, one.rounds[1:]))
+    told = focal_loss(one.score(fit), one.classes, 2.0).select("n_rows", F.col("focal_loss").alias("_l"))
+    near = F.abs(F.col("_l") - F.lit(one.rounds[-1])) <= 1e-6 * F.lit(one.rounds[-1])
+    return told.select(F.lit(falls and len(one.rounds) > 1).alias("falls"), near.alias("last_is_the_model"))
+
+
+def t10_early(s, d):
+    """The validation curve of early stopping: its steps, and whether the best has the least loss."""
+    fit, val = _parts(s, d)
+    parts = fit.unionByName(val).select("text", "label", "split")
+    done = fitting.fit_early_stopped("lr_unigram", parts, "text", "label", FAST)
+    curve = done.curve(s)
+    facts = curve.agg(
+        F.min("val_loss").alias("least"), F.min(F.when(F.col("best"), F.col("val_loss"))).alias("best"), F.count_if("best").alias("n_best")
+    ).withColumn("_model", cross_entropy(done.trained.score(val), done.trained.classes).select("cross_entropy").scalar())
+    same = F.abs(F.col("_model") - F.col("best")) <= 1e-9
+    return facts.select((F.col("least") == F.col("best")).alias("best_is_least"), same.alias("best_is_returned"), "n_best")
+
+
+def x1_facts(s, d):
+    """What the words of all documents add: shares that sum to 1, and the score without intercept."""
+    fit, _ = _parts(s, d)
+    one = train.fit_model("lr_bigram", fit, "text", "label", FAST)
+    docs = documents(s, d).select("doc_id", "text")
+    words = explain.word_scores(one.model, docs, "doc_id", "text")
+    sums = words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum("contribution").alias("sum"))
+    scored = one.model.transform(docs).select("doc_id", "prediction", vector_to_array("rawPrediction").alias("raw"))
+    offsets = F.array(*[F.lit(float(v)) for v in one.model.stages[-1].interceptVector])
+    at = F.col("prediction").cast("int")
+    both = scored.join(sums, "doc_id")
+    return both.select("doc_id", "n_words", (F.abs(F.get("raw", at) - F.get(offsets, at) - F.col("sum")) < 1e-6).alias("adds_up"))
+
+
+X1_SQL = r"""select doc_id, count(distinct t) as n_words, true as adds_up
+from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as t from documents) group by doc_id"""
+
+
 def x1(s, d):
     one, val = _fitted(s, d)
     return explain.word_importance(one.model, val, "doc_id", "text").select("doc_id", "rank", "word", "score", "in_top")
@@ -167,7 +234,14 @@ QUERIES = {
     "t5_focal_fit": (t5, None),
     "t6_multilabel_fit": (t6, None),
     "t9_search": (t9, None),
+    "t9_race": (t9_race, RACE_SQL),
+    "t5_focal_rounds": (t5_rounds, "select count(*) > 0 as falls, true as last_is_the_model from documents"),
     "t10_training_curve": (t10, None),
+    "t10_early_stopping": (
+        t10_early,
+        "select count(*) > 0 as best_is_least, true as best_is_returned, cast(1 as bigint) as n_best from documents",
+    ),
+    "x1_contributions": (x1_facts, X1_SQL),
     "e14_cross_validate": (e14, None),
     "e14_cross_validate_multilabel": (e14_multi, None),
     "x1_word_importance": (x1, None),

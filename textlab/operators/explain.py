@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.functions.groups import join_on, keys
-from textlab.functions.text import tokens
+from textlab.operators.contributions import word_contributions
 from textlab.operators.ranks import exact_median, ranked
 from textlab.plans.rules import calibration_verdict
 
@@ -103,19 +103,10 @@ def merge_subwords(pieces: DataFrame) -> DataFrame:
 
 
 def word_scores(model: PipelineModel, rows: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``(id, word, score)``: each word's share of the linear score of the predicted class.
-
-    Every word is scored by the fitted pipeline as a text of its own; what it adds to the score
-    of an empty text is its contribution, so hashed features need no inverse.
-    """
-    scored = model.transform(rows).select(id_col, text, F.col("prediction").cast("int").alias("_class"))
-    words = scored.select(id_col, "_class", F.explode(tokens(F.col(text))).alias(text))
-    counted = words.groupBy(id_col, "_class", text).agg(F.count(F.lit(1)).alias("_n"))
-    empty = rows.sparkSession.createDataFrame([("",)], f"{text} string")
-    base = model.transform(empty).select(vector_to_array("rawPrediction").alias("b")).scalar()
-    raw = model.transform(counted).withColumn("_raw", vector_to_array("rawPrediction"))
-    added = F.abs(F.get("_raw", "_class") - F.get("_base", "_class")) * F.col("_n")
-    return raw.withColumn("_base", base).select(id_col, F.col(text).alias("word"), added.alias("score"))
+    """``(id, word, score, contribution)``: each word's share of the linear score of the predicted
+    class, with its sign and without."""
+    shares = word_contributions(model, rows, id_col, text)
+    return shares.select(id_col, "word", F.abs("contribution").alias("score"), "contribution")
 
 
 def word_importance(

@@ -141,14 +141,17 @@ def _clamped(n: Column, bounds) -> Column:
     return F.greatest(F.lit(least), F.least(F.lit(most), F.floor(n * F.lit(share))))
 
 
-def proxy_sample(train: DataFrame, label: str, id_col: str, seed: int = 42, by=()) -> DataFrame:
+def proxy_sample(
+    train: DataFrame, label: str, id_col: str, seed: int = 42, by=(), val_bounds=PROXY_VAL, train_bounds=PROXY_TRAIN
+) -> DataFrame:
     """Add ``role`` for the search: ``proxy_val`` and ``proxy_train`` of fixed sizes, stratified.
 
-    Both come from the training rows. A table too small for both parts gets ``both`` everywhere.
+    Both come from the training rows. The bounds are the share of the rows, the least and the most of
+    them. A table too small for both parts gets ``both`` everywhere.
     """
     by = keys(by)
     counts = with_totals(_classes(train, label, by), by, total=F.sum("n"))
-    n_val, n_train = _clamped(F.col("total"), PROXY_VAL), _clamped(F.col("total"), PROXY_TRAIN)
+    n_val, n_train = _clamped(F.col("total"), val_bounds), _clamped(F.col("total"), train_bounds)
     plan = quotas(counts, n_val, by, name="q_val").withColumn("rest", F.col("n") - F.col("q_val"))
     plan = quotas(plan, n_train, by, size="rest", name="q_train")
     whole = n_val + n_train >= F.col("total")

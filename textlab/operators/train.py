@@ -12,7 +12,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IDF, HashingTF, NGram, SQLTransformer, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.functions.labels import parse_labels
@@ -24,7 +24,7 @@ from textlab.operators.labels import (
     pos_weights,
     weights_from_counts,
 )
-from textlab.operators.losses import true_probability
+from textlab.operators.losses import clipped
 from textlab.operators.metrics import METRICS, decide_multilabel, metrics, metrics_multilabel
 from textlab.operators.predict import predict
 from textlab.plans.rules import ROSTER
@@ -62,6 +62,8 @@ class Config:
     strategy: str = "GOOD"
     trials: int = 10
     seed: int = 42
+    exact_iterations: bool = False
+    focal_rounds: int = 20
 
     @property
     def iterations(self) -> int:
@@ -69,8 +71,8 @@ class Config:
 
     @property
     def tolerance(self) -> float:
-        """Early stopping: a shorter patience stops at a larger change."""
-        return 10.0 ** -self.patience
+        """A shorter patience stops at a larger change; ``exact_iterations`` at none."""
+        return 0.0 if self.exact_iterations else 10.0 ** -self.patience
 
     @classmethod
     def of(cls, analysis_row) -> "Config":
@@ -99,6 +101,8 @@ class Trained:
     seconds: float = 0.0
     error: str | None = None
     config: Config | None = None
+    #: Focal loss after each round of focal training.
+    rounds: list[float] = field(default_factory=list)
 
     def score(self, df: DataFrame) -> DataFrame:
         return predict(self.model, df, self.classes)
@@ -125,7 +129,7 @@ def _counted(kind: str) -> str:
     return "counts" if kind == "logistic" else "features"
 
 
-class _Features:
+class Features:
     """Hashed counts of a training table, held while models are fitted on them.
 
     Tokens are hashed in one pass; inverse document frequencies are fitted and applied on the
@@ -188,29 +192,74 @@ def fit_model(name: str, train: DataFrame, text: str, label: str, cfg: Config) -
     started = time.monotonic()
     index = index_classes(train, label)
     ready = _prepared(train, text, label, cfg, index)
-    with _Features(name, ready, text, ["class_id", "weight"]) as features:
+    with Features(name, ready, text, ["class_id", "weight"]) as features:
         scaling, data = features.fitted()
-        model = PipelineModel(stages=[*features.stages, *scaling, _fit(name, data, cfg)])
-    return Trained(name, model, list(index.labels), time.monotonic() - started, config=cfg)
+        rounds: list[float] = []
+        model = PipelineModel(stages=[*features.stages, *scaling, fit_estimator(name, data, cfg, rounds)])
+    return Trained(name, model, list(index.labels), time.monotonic() - started, config=cfg, rounds=rounds)
 
 
-def _fit(name: str, data: DataFrame, cfg: Config):
+def fit_estimator(name: str, data: DataFrame, cfg: Config, rounds: list[float] | None = None):
+    """The estimator fitted on ``features``, ``class_id`` and ``weight``; focal losses go to ``rounds``."""
     fitted = estimator(name, cfg).fit(data)
     if cfg.use_focal_loss and CANDIDATES[name][0] == "logistic":
-        fitted = _refit_focal(name, data, fitted, cfg)
+        fitted = _focal(name, data, fitted, cfg, [] if rounds is None else rounds)
     return fitted
 
 
-def _refit_focal(name: str, data: DataFrame, first, cfg: Config):
-    """Second fit with the weights ``w * (1 - p)^gamma`` of the first one.
+def _true_p(model, data: DataFrame) -> DataFrame:
+    p = F.get(vector_to_array("probability"), F.col("class_id").cast("int"))
+    return model.transform(data).select("features", "class_id", "weight", "_made", clipped(p).alias("p"))
+
+
+def _focal_factor(p: Column, gamma: float) -> Column:
+    """What the slope of the focal loss is as a multiple of that of the cross-entropy."""
+    return F.pow(1 - p, F.lit(gamma)) * (1 + gamma * p * -F.ln(p) / (1 - p))
+
+
+#: Focal training ends when a round lowers the loss by less than this share of it.
+FOCAL_TOLERANCE = 1e-4
+FOCAL_STEPS = (1.0, 0.5, 0.25, 0.125)
 
-    Spark ML has no focal objective; this reweighting is an approximation of training with it.
+
+def _focal(name: str, data: DataFrame, first, cfg: Config, rounds: list[float]):
+    """Focal training by reweighting, round by round to a fixed point.
+
+    A row weighs the quotient of the slopes of its focal loss and of its cross-entropy, so where the
+    weights no longer change the slope of the focal loss is zero. A round goes from the weights that
+    made the present model towards the new ones, all the way or half of it and so on, until the
+    focal loss falls; where it falls at none of FOCAL_STEPS, training is over. A penalty is relative
+    to the weighted loss, as in any fit with weights.
     """
-    p = F.get(vector_to_array("probability"), F.col("class_id").cast("int"))
-    scored = first.transform(data).select(
-        "features", "class_id", (F.col("weight") * F.pow(1 - p, F.lit(cfg.focal_gamma))).alias("weight")
-    )
-    return estimator(name, cfg).fit(scored)
+    gamma, p = cfg.focal_gamma, F.col("p")
+    loss_of = F.sum(F.col("weight") * F.pow(1 - p, F.lit(gamma)) * -F.ln(p)) / F.sum("weight")
+    held = data.withColumn("_made", F.lit(1.0)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model, loss = first, _true_p(first, held).agg(loss_of.alias("l")).first()["l"]
+        rounds.append(loss)
+        for _ in range(cfg.focal_rounds):
+            factor = _focal_factor(p, gamma)
+            told = _true_p(model, held)
+            mean = told.agg((F.sum(F.col("weight") * factor) / F.sum("weight")).alias("v")).first()["v"]
+            for step in FOCAL_STEPS:
+                made = ((1 - step) * F.col("_made") + step * factor / mean).alias("_made")
+                tried = told.select("features", "class_id", "weight", made).persist(StorageLevel.MEMORY_AND_DISK)
+                fitted = estimator(name, cfg).fit(tried.withColumn("weight", F.col("weight") * F.col("_made")))
+                new_loss = _true_p(fitted, tried).agg(loss_of.alias("l")).first()["l"]
+                if new_loss < loss:
+                    break
+                tried.unpersist()
+            else:
+                break
+            held.unpersist()
+            gain = (loss - new_loss) / loss
+            model, loss, held = fitted, new_loss, tried
+            rounds.append(loss)
+            if gain < FOCAL_TOLERANCE:
+                break
+    finally:
+        held.unpersist()
+    return model
 
 
 def fit_focal(train: DataFrame, text: str, label: str, gamma: float, name: str = "lr_unigram", cfg=Config()) -> Trained:
@@ -233,12 +282,12 @@ def fit_models(names, train: DataFrame, text: str, label: str, configs) -> list[
             return Trained(name, error=str(error), config=cfg)
 
     try:
-        return _together(one, names)
+        return together(one, names)
     finally:
         shared.unpersist()
 
 
-def _together(work, items) -> list:
+def together(work, items) -> list:
     """Results in the order of the items; each item is a series of Spark jobs of its own."""
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         return list(pool.map(inheritable_thread_target(SparkSession.active())(work), items))
@@ -286,7 +335,7 @@ def fit_multilabel(train: DataFrame, text: str, label: str, cfg: Config = Config
     weights = {r["label"]: r["pos_weight"] for r in pos_weights(train, label).collect()}
     classes = [r["label"] for r in atomic_labels(train, label).orderBy("class_id").collect()]
     hot = multi_hot(train, label).select(text, "multi_hot")
-    with _Features(name, hot, text, ["multi_hot"]) as features:
+    with Features(name, hot, text, ["multi_hot"]) as features:
         scaling, data = features.fitted()
 
         def one(i: int):
@@ -295,7 +344,7 @@ def fit_multilabel(train: DataFrame, text: str, label: str, cfg: Config = Config
             weight = F.when(F.col("class_id") == 1, F.lit(float(weights[classes[i]]))).otherwise(1.0)
             return estimator(name, cfg).fit(rows.withColumn("weight", weight))
 
-        models = _together(one, range(len(classes)))
+        models = together(one, range(len(classes)))
     return TrainedLabels(PipelineModel(stages=[*features.stages, *scaling]), models, classes, time.monotonic() - started, name, config=cfg)
 
 
@@ -357,8 +406,8 @@ def search(proxy: DataFrame, text: str, label: str, cfg: Config, name: str = "lr
     sample = proxy.filter("role <> 'unused'").select(text, F.col(label).cast("string").alias(label), "role")
     in_train, in_val = "role in ('proxy_train', 'both')", "role in ('proxy_val', 'both')"
     index = index_classes(sample.filter(in_train), label)
-    weighted = _weighted_part(sample, label, cfg, in_train)
-    with _Features(name, weighted, text, [label, "weight", "role"]) as features:
+    weighted = weighted_part(sample, label, cfg, in_train)
+    with Features(name, weighted, text, [label, "weight", "role"]) as features:
         scaling, data = features.fitted(in_train)
         data = index.transform(data)
 
@@ -368,20 +417,20 @@ def search(proxy: DataFrame, text: str, label: str, cfg: Config, name: str = "lr
                 "max_iter": settings[i].iterations, "f1": None, "error": None,
             }
             try:
-                model = PipelineModel(stages=[*scaling, _fit(name, data, settings[i])])
+                model = PipelineModel(stages=[*scaling, fit_estimator(name, data, settings[i])])
                 scores, _ = evaluate(Trained(name, model, list(index.labels)), features.held.filter(in_val), label)
                 entry["f1"] = scores["f1"]
             except Exception as error:
                 entry["error"] = str(error)
             return entry
 
-        record = _together(one, range(len(settings)))
+        record = together(one, range(len(settings)))
     done = [r for r in record if r["f1"] is not None]
     best = max(done, key=lambda r: (r["f1"], -r["trial"]), default=None)
     return cfg if best is None else settings[best["trial"]], record
 
 
-def _weighted_part(df: DataFrame, label: str, cfg: Config, rows: str) -> DataFrame:
+def weighted_part(df: DataFrame, label: str, cfg: Config, rows: str) -> DataFrame:
     """``weight`` from the class sizes of some of the rows; classes without any count once."""
     if not cfg.use_class_weights:
         return df.withColumn("weight", F.lit(1.0))
@@ -403,7 +452,7 @@ def cross_validate(folded: DataFrame, text: str, label: str, name: str, cfg: Con
     sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
     total = sum(sizes.values())
     try:
-        features = _Features(name, index.transform(data), text, [label, "class_id", "fold"])
+        features = Features(name, index.transform(data), text, [label, "class_id", "fold"])
     except Exception as error:
         rows = [(fold, None, None, None, None, total - n, n, str(error)) for fold, n in sorted(sizes.items())]
         return folded.sparkSession.createDataFrame(rows, FOLD_SCHEMA)
@@ -414,14 +463,14 @@ def cross_validate(folded: DataFrame, text: str, label: str, name: str, cfg: Con
             n_val = sizes[fold]
             try:
                 scaling, rest = features.fitted(f"fold <> {int(fold)}")
-                model = PipelineModel(stages=[*scaling, _fit(name, _weighted_part(rest, label, cfg, "true"), cfg)])
+                model = PipelineModel(stages=[*scaling, fit_estimator(name, weighted_part(rest, label, cfg, "true"), cfg)])
                 val = features.held.filter(F.col("fold") == fold)
                 scores, _ = evaluate(Trained(name, model, list(index.labels)), val, label)
                 return (fold, *[scores[m] for m in METRICS], total - n_val, n_val, None)
             except Exception as error:
                 return (fold, None, None, None, None, total - n_val, n_val, str(error))
 
-        rows = _together(one, sorted(sizes))
+        rows = together(one, sorted(sizes))
     return folded.sparkSession.createDataFrame(rows, FOLD_SCHEMA)
 
 

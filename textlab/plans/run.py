@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from textlab.functions.labels import parse_labels
 from textlab.functions.text import fill_empty
 from textlab.operators import compare, explain, metrics, profile, quality, split, train, validate
+from textlab.operators.fitting import race
 from textlab.operators.merge import auto_columns, merge_text, merged_name
 from textlab.operators.tracking import STEPS, run_state
-from textlab.plans import analysis, reports
+from textlab.plans import analysis, reports, rules
 from textlab.session import written
 from textlab.sources.runs import SavedRun, save_run
 
@@ -88,6 +89,10 @@ def run(
         facts = record.first()
         cfg = replace(train.Config.of(facts), seed=seed)
         names = models or list(facts["models"])
+        # Also those that are named by hand, which the analysis has no say in.
+        oversized = df.sparkSession.range(1).select(
+            rules.oversized_models(F.lit(facts["n_rows"]), F.array(*[F.lit(n) for n in names])).alias("m")
+        ).first()["m"] or []
         decide_cv = facts["use_cv"] if use_cv is None else use_cv
         decide_search = facts["use_search"] if use_search is None else use_search
 
@@ -163,6 +168,7 @@ def run(
             "decisions": analysis.decision_log(record),
             "comparison": compare.attach_training(comparison, trainings),
             "comparison_table": compare.comparison_table(comparison),
+            "oversized_models": list(oversized),
             "quality": findings,
             "reports": told,
             "cv": cv,
@@ -210,9 +216,9 @@ def _validated(df, label, text, text_columns, id_col, auto_merge, min_rows):
 
 
 def _searched(train_part, text, label, id_col, cfg, name, n_trials):
-    found, _ = train.search(
-        split.proxy_sample(train_part, label, id_col, cfg.seed), text, label, cfg, name, n_trials
-    )
+    """Settings by a race on the training rows alone, a part of which it holds out for itself."""
+    parts = split.stratified_split(train_part, label, id_col, seed=cfg.seed + 1)
+    found, _ = race(parts, text, label, id_col, cfg, name, n_trials)
     return found
 
 
