@@ -615,7 +615,6 @@ def test_toxicity_on_held_out_rows(spark, small):
     found = toxicity.cross_scored(docs, labels).join(labels, "doc_id").join(english, "doc_id").filter("held_out").collect()
     right = [r["predicted"] == r["toxic"] for r in found]
     toxic = [r["predicted"] for r in found if r["toxic"] == 1]
-    print(np.mean(right), np.mean(toxic))
     assert len(right) > 300 and np.mean(right) > 0.95 and np.mean(toxic) > 0.8
 
 
