@@ -457,6 +457,20 @@ def test_trust_spreads_over_links(spark):
     assert found == pytest.approx(brute_rank(edges, ["a"]), abs=1e-2)
 
 
+def test_trust_and_distrust_of_hundreds_of_hosts_and_a_long_chain(spark):
+    rng = np.random.default_rng(8)
+    cloud = sorted({(f"h{a}", f"h{b}", int(w)) for a, b, w in rng.integers(0, 200, (600, 3)) if a != b})
+    chain = [(f"c{i}", f"c{i + 1}", 1) for i in range(60)]
+    rows = [("distrust", *e) for e in chain] + [("trust", *e) for e in cloud if e[2]]
+    table = spark.createDataFrame(rows, "kind string, src string, dst string, weight long")
+    seeds = spark.createDataFrame([("distrust", "c0"), ("trust", "h1"), ("trust", "h2")], "kind string, host string")
+    found = {(r["kind"], r["host"]): r["score"] for r in links.propagated(table, seeds).collect()}
+    assert all(found["distrust", f"c{i}"] > 0 for i in range(61))
+    for kind, edges, start in (("distrust", chain, ["c0"]), ("trust", [e for e in cloud if e[2]], ["h1", "h2"])):
+        wanted = {h: v for h, v in brute_rank(edges, start).items() if v}
+        assert {h: v for (k, h), v in found.items() if k == kind and v} == pytest.approx(wanted, abs=1e-5)
+
+
 def test_url_verdicts(spark):
     page = lambda *to: "".join(f'<a class=x HREF="{t}">t</a>' for t in to)
     rows = [
