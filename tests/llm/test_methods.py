@@ -207,6 +207,22 @@ def test_shards(spark, docs, texts):
         assert (r["size"], r["text_crc32"]) == (len(data) + 1, zlib.crc32(data))
 
 
+def test_strings_are_quantised_on_their_whole_values(spark):
+    rows = [(i, f"https://site{i % 32:02}.org") for i in range(3200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    cells = {(r["source"], r["c"]) for r in sharding.with_curve(df, ["source"], "c").collect()}
+    assert sorted(cells) == [(f"https://site{i:02}.org", i) for i in range(32)]
+    # A brute-force version of the cells: the cuts that lie below the first row of a value.
+    names = [None, "", "a", "aa", "b", "\u00e9"]
+    values = [names[min(i % 11, 5)] for i in range(990)]
+    df = spark.createDataFrame(list(enumerate(values)), "doc_id long, source string")
+    order = sorted(values, key=lambda v: (v is not None, (v or "").encode()))
+    ends = {v: k + 1 for k, v in enumerate(order)}
+    bounds = [v for v in ends if int(ends[v] * 8 / 990) > int((ends[v] - values.count(v)) * 8 / 990)]
+    place = {v: sum(ends[b] < ends[v] for b in bounds) for v in ends}
+    assert {(r["source"], r["c"]) for r in sharding.with_curve(df, ["source"], "c", 3).collect()} == set(place.items())
+
+
 def test_shards_are_narrow_in_all_dimensions_and_written(spark, tmp_path):
     rng = random.Random(3)
     rows = [(i, f"s{rng.randrange(32):02}", rng.randrange(10**6)) for i in range(4000)]

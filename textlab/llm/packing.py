@@ -23,6 +23,8 @@ GREATEST = 4096
 END_ID = 2
 #: Fixed value: how the tokenizer splits a text into parts that are coded one by one.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Fixed value: the normaliser and splitter that go with it, as tokenizer files write them.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Lowercase"}]}
 #: Marks that often stand after a word.
 MARKS = tuple(".,;:!?")
 #: Words and parts whose ids a task keeps at a time; when it is full it starts anew.

@@ -22,12 +22,29 @@ PARTS_PER_PARTITION = 8
 TIE_BITS = 44
 
 
-def as_number(column: Column, kind: T.DataType) -> Column:
-    """A number in the order of the values: of strings their first six bytes."""
-    if isinstance(kind, T.StringType):
-        start = F.substring(F.rpad(F.encode(column, "UTF-8"), 6, F.lit(b"\x00")), 1, 6)
-        return F.conv(F.hex(start), 16, 10).cast("double")
-    return column.cast("double")
+def as_string(column: Column) -> Column:
+    """A string in the order of the values, with a null before all of them."""
+    return F.when(column.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), column))
+
+
+def string_bounds(df: DataFrame, value: Column, count: int) -> Column:
+    """At most ``count`` sorted values that cut ``df`` in even parts, the largest one among them.
+
+    The rows are counted by value, with the sums starting in each task, so a value that fills a
+    third of the table is one row; the distinct values are put in order by a range sort, and their
+    counts are summed up part by part. Values are compared whole, byte by byte.
+    """
+    counts = df.groupBy(value.alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
+    dealt = stored(counts, "values").repartitionByRange(partitions(df.sparkSession), "__value")
+    dealt = stored(dealt.withColumn("__part", F.spark_partition_id()), "dealt")
+    sizes = dealt.groupBy("__part").agg(F.sum("__n").alias("__rows"))
+    starts = F.broadcast(running_starts(sizes, "__part", "__rows"))
+    before = F.sum("__n").over(W.partitionBy("__part").orderBy("__value"))
+    placed = dealt.withColumn("__own", before).join(starts, "__part")
+    until = F.col("__start") + F.col("__own")
+    # A value is a bound where a cut falls on its rows, so there are at most as many as cuts.
+    cut = F.floor(until * count / F.col("__all")) > F.floor((until - F.col("__n")) * count / F.col("__all"))
+    return placed.filter(cut).agg(F.sort_array(F.collect_list("__value")).alias("bounds")).scalar()
 
 
 def hilbert_index(df: DataFrame, cells: list[str], name: str, bits: int = BITS) -> DataFrame:
@@ -61,14 +78,22 @@ def hilbert_index(df: DataFrame, cells: list[str], name: str, bits: int = BITS)
 
 
 def with_curve(df: DataFrame, dimensions: list[str], name: str, bits: int = BITS) -> DataFrame:
-    """``df`` with the place of each row on the curve; a null counts as the lowest value."""
-    cells, out = [], df
+    """``df`` with the place of each row on the curve; a null counts as the lowest value.
+
+    Numbers are cut at quantiles of the rows, strings at quantiles of the rows in the order of
+    their whole values, so up to ``2**bits`` values of equal frequency have cells of their own.
+    """
+    cells, out, count = [], df, 2**bits - 1
     for i, dimension in enumerate(dimensions):
-        value = F.coalesce(as_number(F.col(dimension), df.schema[dimension].dataType), F.lit(float("-inf")))
         bounds, cell = f"__bounds{i}", f"__cell{i}"
-        found = quantile_bounds(df, value, 2**bits - 1)
-        out = out.withColumn(bounds, found).withColumn(cell, rank_in_bounds(F.col(bounds), value, 2**bits))
-        out = out.withColumn(cell, F.least(F.col(cell), F.lit(2**bits - 1)))
+        if isinstance(df.schema[dimension].dataType, T.StringType):
+            value = as_string(F.col(dimension))
+            found = string_bounds(df, value, count + 1)
+        else:
+            value = F.coalesce(F.col(dimension).cast("double"), F.lit(float("-inf")))
+            found = quantile_bounds(df, value, count)
+        out = out.withColumn(bounds, found).withColumn(cell, rank_in_bounds(F.col(bounds), value, count + 1))
+        out = out.withColumn(cell, F.least(F.col(cell), F.lit(count)))
         cells.append(cell)
     return hilbert_index(out, cells, name, bits).select(*df.columns, name)
 
