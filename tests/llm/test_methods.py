@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -184,6 +185,16 @@ def test_codes_are_those_of_the_tokenizer(text):
         assert np.frombuffer(codes.ids(text), "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids
 
 
+def test_another_tokenizer_gets_whole_texts():
+    from tokenizers import Tokenizer
+
+    other = str(Path(catalog.tokenizer_path()).with_name("byte_bpe_50k.json"))
+    assert packing.codes(catalog.tokenizer_path()).by_words and not packing.codes(other).by_words
+    for text in [*STRANGE, "Two  words\n\nAnd LINES"]:
+        got = np.frombuffer(packing.codes(other).ids(text), "<u4").tolist()
+        assert got == Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids
+
+
 # 4 ---------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ crosses documents.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from array import array
@@ -23,8 +24,18 @@ GREATEST = 4096
 END_ID = 2
 #: Fixed value: how the tokenizer splits a text into parts that are coded one by one.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Fixed value: the normaliser and splitter that go with it, as tokenizer files write them.
-NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Lowercase"}]}
+# The normaliser and splitter that go with it, as tokenizer files state them.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PARTS}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Marks that often stand after a word.
 MARKS = tuple(".,;:!?")
 #: Words and parts whose ids a task keeps at a time; when it is full it starts anew.
@@ -51,6 +62,14 @@ class Kept(dict):
         return found
 
 
+def coded_by_words(spec: dict) -> bool:
+    """Whether a tokenizer file codes words one by one, as ``Codes`` does."""
+    marked = all("<|" in t["content"] and not any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
+    plain = not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+    cut = spec["truncation"] or spec["padding"]
+    return marked and plain and not cut and (spec["normalizer"], spec["pre_tokenizer"]) == (NORMALIZER, SPLITTER)
+
+
 class Codes:
     """Ids of texts as bytes of unsigned 32-bit numbers.
 
@@ -65,6 +84,7 @@ class Codes:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = coded_by_words(json.loads(self.tokenizer.to_str()))
         self.find = regex.compile(PARTS).findall
         self.bytes_of = ByteLevel(add_prefix_space=False, use_regex=False)
         self.parts, self.words = Kept(self.part), Kept(self.word)
@@ -76,7 +96,7 @@ class Codes:
 
     def word(self, word: str) -> bytes:
         if "<|" in word:  # special tokens are found before anything else
-            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            return self.whole(word)
         plain = lowered(word if word.isascii() else unicodedata.normalize("NFC", word))
         if plain.isalpha():  # letters only are one part, and so are marks after them
             return self.parts[plain]
@@ -84,7 +104,12 @@ class Codes:
             return self.parts[plain[:-1]] + self.parts[plain[-1]]
         return b"".join(map(self.parts.__getitem__, self.find(plain)))
 
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def ids(self, text: str) -> bytes:
+        if not self.by_words:
+            return self.whole(text)
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
