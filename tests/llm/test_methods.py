@@ -572,9 +572,8 @@ def test_distances(spark, docs, texts):
     for lang in set(langs.values()):
         words = Counter(w for d, t in texts.items() if langs[d] == lang for w in WORD.findall(t))
         total = sum(words.values())
-        for e in references[lang]["ref_words"]:
-            if e["hash"] is not None:
-                assert any(hashes[w] == e["hash"] and n / total == pytest.approx(e["share"]) for w, n in words.items())
+        found = {e["hash"]: e["share"] for e in references[lang]["ref_words"] if e["hash"] is not None}
+        assert found == pytest.approx({hashes[w]: n / total for w, n in words.items() if n >= quality.COMMON_SHARE * total})
     for doc in sorted(texts)[:60]:
         words, ref = WORD.findall(texts[doc]), references[langs[doc]]
         common = {e["hash"]: e["share"] for e in ref["ref_words"] if e["hash"] is not None}
@@ -588,6 +587,21 @@ def test_distances(spark, docs, texts):
         assert 0 <= rows[doc]["char_distance"] <= 1
 
 
+def test_common_words_of_one_slot_and_long_ones(spark):
+    """400 equally frequent words of 12 letters, of which many share their slot."""
+    words = [f"word{i:08}" for i in range(400)]
+    text = " ".join(words)
+    df = spark.createDataFrame([(i, text, "en") for i in range(3)] + [(3, " ".join(words[:100] * 2), "en")], "doc_id long, text string, lang string")
+    ref = {r["lang"]: r for r in quality.language_references(df).collect()}["en"]
+    counts = Counter(words * 3 + words[:100] * 2)
+    assert len(ref["ref_extra"]) > 20 and ref["ref_common"] == pytest.approx(1.0)
+    assert sorted(e["share"] for e in ref["ref_words"] if e["hash"]) == pytest.approx(sorted(n / 1400 for n in counts.values()))
+    rows = by_id(quality.quality_rules(df))
+    q = [counts[w] / 1400 for w in words]
+    assert rows[0]["word_distance"] == pytest.approx(js([1 / 400] * 400, q), abs=1e-6)
+    assert rows[3]["word_distance"] == pytest.approx(js([1 / 100] * 100 + [0] * 300, q), abs=1e-6)
+
+
 def test_clean_documents_stay_and_junk_goes(spark, small, docs):
     marked = quality.quality_rules(docs).join(load(spark, small, "labels"), "doc_id").collect()
     good = [r for r in marked if r["quality"] == 1 and not r["base_failed"]]

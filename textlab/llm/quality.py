@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlab.llm.common import GAP, SPACES, stored, string_or_empty, word_count, words
+from textlab.llm.common import SPACES, stored, string_or_empty, words
 
 # Fixed values of the base rules: symbols, window length, least words, most repeated words in %.
 SYMBOLS = "#*$%&|<>"
@@ -26,9 +26,10 @@ CLASSES = {
     "digit": r"\p{Nd}++",
     "stop": r"[.,;:!?'\"()-]++",
 }
-#: A common word has at most so many characters and at least so large a share of all words of its
-#: language. It is found by its hash in a table of SLOTS entries. The rest is one more class.
-LONGEST_COMMON, COMMON_SHARE, SLOTS = 8, 0.002, 1024
+#: A common word has at least so large a share of all words of its language, so there are 500 at
+#: most. It is found by its hash in a table of SLOTS entries, behind which follow those whose slot
+#: is taken by a more frequent word. The words that are not common are one more class.
+COMMON_SHARE, SLOTS = 0.002, 1024
 MOST_LANGUAGES = 512
 #: A document is judged on characters or words only if it has as many of them at least.
 LEAST_CHARACTERS, LEAST_FOR_WORDS = 200, 100
@@ -37,8 +38,8 @@ MOST_CHARACTER_DISTANCE, MOST_WORD_DISTANCE = 0.25, 0.40
 
 
 def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the counts of the base rules and their verdict."""
-    df = df.withColumn("__words", words(F.col(text)))
+    """``df`` with the counts of the base rules and their verdict, and the character classes."""
+    df = with_classes(df, text).withColumn("__words", words(F.col(text)))
     value = string_or_empty(F.col(text))
     hashed = F.transform("__words", lambda w: F.xxhash64(w))
     df = df.withColumn("__hashed", hashed)
@@ -70,11 +71,13 @@ def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
     )["n"]
     lines = F.filter(F.split(value, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
     df = df.withColumn("__lines", lines)
-    symbols = F.regexp_count(value, F.lit("[" + SYMBOLS + "]"))
+    # No class has a symbol, and one class is white space.
+    symbols = F.regexp_count("__others", F.lit("[" + SYMBOLS + "]"))
+    spaces = F.get("__chars", F.lit(list(CLASSES).index("space")))
     df = df.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
-            "word_chars": F.char_length(F.regexp_replace(value, GAP, "")).cast("long"),
+            "word_chars": F.char_length(value) - spaces.cast("long"),
             "n_symbols": symbols.cast("long"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "n_repeat_words": F.when(placed.isNull(), F.lit(0)).otherwise(covered).cast("long"),
@@ -84,15 +87,20 @@ def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base_failed", failed)
 
 
-def character_counts(text: Column) -> Column:
-    """Counts of the character classes of a text, in the order of CLASSES, then the others."""
-    value = string_or_empty(text)
-    left, taken, length = value, [], F.char_length(value)
-    for pattern in CLASSES.values():
-        shorter = F.regexp_replace(left, pattern, "")
-        taken.append(F.char_length(left) - F.char_length(shorter))
-        left = shorter
-    return F.array(*taken, F.char_length(left)).cast("array<double>")
+def with_classes(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``__chars``, the counts of the character classes of a text in the order of CLASSES,
+    then of the others, and ``__others``, the others themselves.
+
+    Each class is taken out of what the one before it has left, one column after the other, so
+    that the whole text is gone through once.
+    """
+    left = [f"__left{i}" for i in range(len(CLASSES))] + ["__others"]
+    df = df.withColumn(left[0], string_or_empty(F.col(text)))
+    for before, after, pattern in zip(left, left[1:], CLASSES.values()):
+        df = df.withColumn(after, F.regexp_replace(before, pattern, ""))
+    lengths = [F.char_length(c) for c in left]
+    taken = [a - b for a, b in zip(lengths, lengths[1:])]
+    return df.withColumn("__chars", F.array(*taken, lengths[-1]).cast("array<double>")).drop(*left[:-1])
 
 
 def plain_sum(values: Column) -> Column:
@@ -112,21 +120,21 @@ def as_distance(twice: Column) -> Column:
 def language_references(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per language, and one with a null language that sums over all documents.
 
-    ``ref_chars`` has the shares of the character classes. ``ref_words`` has SLOTS entries, found
-    by the hash of a word: the hash and the share of the common word of that slot, or null. A
-    word is common if it is short and makes up COMMON_SHARE of the words of the language; the
-    most frequent one has the slot. The counts cover all documents.
+    ``ref_chars`` has the shares of the character classes. ``ref_words`` has the hashes and shares
+    of the common words: one in each of SLOTS entries, found by the hash, or null, then those whose
+    slot is taken, the hashes of which ``ref_extra`` lists. ``ref_common`` is the share of all of
+    them. A word is common if it makes up COMMON_SHARE of the words of the language. The counts
+    cover all documents.
     """
     rows = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    counts = rows.select("lang", character_counts(F.col("text")).alias("c"), word_count(F.col("text")).alias("n"))
     places = range(len(CLASSES) + 1)
     sums = (
-        counts.select("lang", "n", *[F.get("c", F.lit(i)).alias(f"c{i}") for i in places])
+        with_classes(rows)
+        .select("lang", *[F.get("__chars", F.lit(i)).alias(f"c{i}") for i in places])
         .groupBy("lang")
-        .agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in places])
+        .agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in places])
     )
-    short = F.explode(words(F.col("text"))).alias("word")
-    found = rows.select("lang", short).filter(F.char_length("word") <= LONGEST_COMMON).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    found = rows.select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     sums, found = stored(sums, "sums"), stored(found, "words")
 
     def both(table: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -135,28 +143,37 @@ def language_references(df: DataFrame, text: str = "text", lang: str = "lang") -
         pooled = table.groupBy(*keys).agg(*kept).select(F.lit(None).cast("string").alias("lang"), *keys, *columns)
         return own.unionByName(pooled)
 
-    sums = both(sums, [], ["n"] + [f"c{i}" for i in places])
-    many = sums.select(F.col("lang").alias("_lang"), F.col("n").alias("_all"))
-    slot = F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int")
+    sums = both(sums, [], [f"c{i}" for i in places])
+    many = both(found, [], ["n"]).select(F.col("lang").alias("_lang"), F.col("n").alias("_all"))
+    hashed = F.xxhash64("word")
     common = (
         both(found, ["word"], ["n"])
         .join(F.broadcast(bounded(many)), F.col("lang").eqNullSafe(F.col("_lang")))
         .filter(F.col("n") >= COMMON_SHARE * F.col("_all"))
-        .select("lang", slot.alias("slot"), F.struct("n", F.xxhash64("word").alias("hash"), (F.col("n") / F.col("_all")).alias("share")).alias("entry"))
-        .groupBy("lang", "slot")
-        .agg(F.max("entry").alias("entry"))
+        .select("lang", F.struct(F.pmod(hashed, F.lit(SLOTS)).cast("int").alias("slot"), (-F.col("n")).alias("n"), hashed.alias("hash"), (F.col("n") / F.col("_all")).alias("share")).alias("entry"))
+    )
+    # At most 500 for each language, the most frequent one of a slot first.
+    tables = common.groupBy(F.col("lang").alias("_lang")).agg(F.sort_array(F.collect_list("entry")).alias("entries"))
+    listed = F.col("entries")
+    behind = lambda i: F.coalesce(F.get(listed, i - 1)["slot"] == F.get(listed, i)["slot"], F.lit(False))
+    tables = tables.select(
+        "_lang",
+        F.map_from_entries(F.transform(F.filter(listed, lambda e, i: ~behind(i)), lambda e: F.struct(e["slot"], e))).alias("slots"),
+        F.transform(F.filter(listed, lambda e, i: behind(i)), lambda e: F.struct(e["hash"].alias("hash"), e["share"].alias("share"))).alias("extra"),
     )
-    # A slot each, so a language has SLOTS entries at most.
-    tables = common.groupBy(F.col("lang").alias("_lang")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "entry"))).alias("slots"))
     slots = F.transform(
         F.sequence(F.lit(0), F.lit(SLOTS - 1)),
         lambda i: F.struct(F.try_element_at("slots", i)["hash"].alias("hash"), F.try_element_at("slots", i)["share"].alias("share")),
     )
+    none = F.array().cast("array<struct<hash:bigint,share:double>>")
     characters = F.array(*[F.col(f"c{i}") for i in places])
+    entries = F.concat(slots, F.coalesce("extra", none))
     return sums.join(tables, F.col("lang").eqNullSafe(F.col("_lang")), "left").select(
         "lang",
         F.transform(characters, lambda c: c / F.nullif(plain_sum(characters), F.lit(0.0))).alias("ref_chars"),
-        slots.alias("ref_words"),
+        entries.alias("ref_words"),
+        F.transform(F.coalesce("extra", none), lambda e: e["hash"]).alias("ref_extra"),
+        F.aggregate(entries, F.lit(0.0), lambda a, e: a + F.coalesce(e["share"], F.lit(0.0))).alias("ref_common"),
     )
 
 
@@ -175,21 +192,21 @@ def divergence_columns(df: DataFrame, references: DataFrame, text: str = "text",
     """
     references = references.select(*[F.col(c).alias("__" + c) for c in references.columns])
     known = references.filter(F.col("__lang").isNotNull())
-    pooled = references.filter(F.col("__lang").isNull()).select(F.struct("__ref_chars", "__ref_words")).scalar()
+    parts = F.struct(*[c for c in references.columns if c != "__lang"])
+    pooled = references.filter(F.col("__lang").isNull()).select(parts).scalar()
     df = df.join(F.broadcast(known), F.col(lang).cast("string") == F.col("__lang"), "left")
-    df = df.withColumn("__ref", F.coalesce(F.when(F.col("__lang").isNotNull(), F.struct("__ref_chars", "__ref_words")), pooled))
-    table, shares = F.col("__ref.__ref_words"), F.col("__ref.__ref_chars")
-    df = df.withColumn("__chars", character_counts(F.col(text)))
+    df = df.withColumn("__ref", F.coalesce(F.when(F.col("__lang").isNotNull(), parts), pooled))
+    table, shares, extra = F.col("__ref.__ref_words"), F.col("__ref.__ref_chars"), F.col("__ref.__ref_extra")
     n_chars, n_words = plain_sum(F.col("__chars")), F.size("__hashed")
     by_class = F.zip_with(F.col("__chars"), shares, lambda c, q: divergence(c / n_chars, q))
-    # The slots of the common words of the document, equal ones side by side.
-    slots = F.filter(
-        F.transform(
-            "__hashed",
-            lambda h: F.when(F.get(table, F.pmod(h, F.lit(SLOTS)).cast("int"))["hash"] == h, F.pmod(h, F.lit(SLOTS)).cast("int")),
-        ),
-        lambda s: s.isNotNull(),
-    )
+    # The places of the common words of the document in the table, equal ones side by side.
+    def place(h: Column) -> Column:
+        slot = F.pmod(h, F.lit(SLOTS)).cast("int")
+        taken = F.get(table, slot)["hash"]
+        behind = F.nullif(F.array_position(extra, h).cast("int"), F.lit(0)) + (SLOTS - 1)
+        return F.when(taken == h, slot).when(taken.isNotNull() & (F.size(extra) > 0), behind)
+
+    slots = F.filter(F.transform("__hashed", place), lambda s: s.isNotNull())
     df = df.withColumn("__slots", F.when(n_words >= LEAST_FOR_WORDS, F.sort_array(slots)))
     listed = F.col("__slots")
     ends = F.filter(
@@ -209,7 +226,7 @@ def divergence_columns(df: DataFrame, references: DataFrame, text: str = "text",
         )
 
     own = F.aggregate("__ends", start, step)
-    every = F.aggregate(table, F.lit(0.0), lambda a, e: a + F.coalesce(e["share"], F.lit(0.0)))
+    every = F.col("__ref.__ref_common")
     rest = divergence(F.greatest(1 - F.size(listed) / n_words, F.lit(0.0)), F.greatest(1 - every, F.lit(0.0)))
     return df.withColumns(
         {
