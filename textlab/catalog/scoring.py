@@ -355,8 +355,23 @@ QUERIES = {
           case when coalesce(hit, false) then ae when st = 'failed' then e end as error from h""",
     ),
     "k4_explain_report": (
-        lambda s, d: reports.explain_report(scored(s, d)).filter("section = 'histogram'"),
-        f"with {SCORED_SQL}, bins as (select {BIN} as b from scored) {REPORT_BINS}",
+        lambda s, d: reports.explain_report(scored(s, d)),
+        f"""with {SCORED_SQL}, bins as (select {BIN} as b from scored),
+          f as (select count(*) as n, avg(conf) as a, min(conf) as lo, max(conf) as hi, stddev_pop(conf) as sd,
+            count(case when conf < 0.8 then 1 end) as low, median(conf) as mid from scored),
+          g as (select {BIN} as bin, count(*) as n, avg(conf) as c, avg(case when label = prediction then 1 else 0 end) as a from scored group by 1),
+          e as (select sum(abs(a - c) * n) / sum(n) as ece from g)
+        select 'confidence' as section, 1 as ord, 'n_samples' as key, n::varchar as value from f
+        union all select 'confidence', 2, 'mean_confidence', printf('%.4f', round_even(a, 4)) from f
+        union all select 'confidence', 3, 'min_confidence', printf('%.4f', round_even(lo, 4)) from f
+        union all select 'confidence', 4, 'max_confidence', printf('%.4f', round_even(hi, 4)) from f
+        union all select 'confidence', 5, 'std_confidence', printf('%.4f', round_even(sd, 4)) from f
+        union all select 'confidence', 6, 'low_confidence_count', low::varchar from f
+        union all select 'confidence', 7, 'low_confidence_pct', printf('%.4f', round_even(low / n * 100, 2)) from f
+        union all select 'confidence', 8, 'median_confidence', printf('%.4f', round_even(mid, 4)) from f
+        union all select 'calibration', 1, 'ece', printf('%.4f', round_even(ece, 4)) from e
+        union all select 'calibration', 2, 'verdict', case when ece < 0.05 then 'well calibrated' when ece < 0.1 then 'acceptable' else 'poor' end from e
+        union all {REPORT_BINS}""",
     ),
     "k4_baseline_report": (
         lambda s, d: reports.baseline_report(m.metrics(scored(s, d)), m.majority_baseline(documents(s, d), "lang")),
