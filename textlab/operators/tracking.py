@@ -21,8 +21,9 @@ def run_state(events: DataFrame) -> DataFrame:
     """Status, start, end and error of every step of every run.
 
     ``events`` is ``(run, step, status, ts, error)``; an event without a step concerns the run.
-    A step without events is pending. Steps of other names follow the seven, by name. If a run failed as a whole, its first step still running
-    failed with it. Two map-side combined aggregates; a run keeps a row per step.
+    A step without events is pending. Steps of other names follow the seven, by name. If a run
+    failed as a whole, its first step still running failed with it. Two map-side combined
+    aggregates; a run keeps a row per step.
     """
     ended = F.col("status").isin("completed", "failed")
     failed = F.col("status") == "failed"
