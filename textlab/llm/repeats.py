@@ -1,16 +1,22 @@
 """Substring dedup: suffixes are split by prefixes of varying length into groups that fit in
-memory, and in the suffix tree of each group the nodes at a depth of WINDOW words are repeats.
+memory, and in the suffix trees of each group the nodes at a depth of WINDOW words are repeats.
 
 Two windows of words are equal only if they agree in the run of GRAM words with the least hash,
-their anchor. So suffixes are first split by the GRAM words at their anchor, which every window
-has, and prefixes that occur once are dropped: they can't be part of a repeat. Prefixes with few
-suffixes share a group. A prefix with very many is extended to the whole window, where equal
-suffixes are counted and no tree is needed. Texts that are equal as a whole are one class.
+their anchor. So a window is told by the suffix that begins at its anchor and, read backwards, by
+the words in front of it. Suffixes are split by the GRAM words at their anchor, and prefixes that
+occur once are dropped: they can't be part of a repeat. A prefix with more than MOST_RUNS different
+continuations is made longer: its windows are halved by the place of their anchor, which gives
+each half more words in common, and again until a group fits, at the latest when the prefix is
+the whole window. In a group the suffixes are sorted, forwards and backwards, and the longest
+common prefixes of neighbours are the depths of the nodes of the two trees. Windows with their
+anchor at word o are equal if they lie below one node of depth window - o and one of depth o.
+Texts that are equal as a whole are one class.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +27,7 @@ from textlab.llm.common import partitions, stored
 from textlab.llm.textarrays import MIX, Words, chunks, mixed
 
 WINDOW, GRAM = 35, 8
-#: Runs of suffixes in a group, and runs under one prefix from which the prefix is extended.
+#: Runs of suffixes in a group, and different runs under one prefix above which it is made longer.
 GROUP_RUNS, MOST_RUNS = 8_000, 1_000
 NO_ID = -(2**63)
 
@@ -72,15 +78,6 @@ class Anchored:
         return tuple(sums)
 
 
-def two_hashes(columns) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each row of a matrix of hashes, given by its columns."""
-    h = None
-    for column in columns:
-        h = [np.full(len(column), m, np.uint64) for m in MIX] if h is None else h
-        h = [mixed(x * np.uint64(7) + column) for x in h]
-    return tuple(h)
-
-
 def plain(text: str | None) -> bytes:
     """The words of a text with one blank between them."""
     return b" ".join((text or "").encode().split())
@@ -105,10 +102,7 @@ def scanned(rows: DataFrame, window: int) -> DataFrame:
 
 
 def shared_anchors(texts: DataFrame) -> DataFrame:
-    """``s1``, ``s2``, ``runs``: of each class the numbers of its anchors that occur elsewhere.
-
-    Numbers of anchors with more than MOST_RUNS runs are given as their complement (~number).
-    """
+    """``s1``, ``s2``, ``runs``: of each class the numbers of its anchors that occur elsewhere."""
 
     def explode(batches):
         for batch in batches:
@@ -123,103 +117,168 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
 
     anchors = texts.select("s1", "s2", "keys").mapInArrow(explode, "key bigint, s1 bigint, s2 bigint, ordinal int")
     counted = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    counted = stored(counted, "keys")
+    counted = stored(counted.select("key"), "keys")
     known = anchors.join(counted, "key")
-    number = F.when(F.col("m") > MOST_RUNS, F.bitwise_not("ordinal")).otherwise(F.col("ordinal"))
     # At most as many as a text has anchors.
-    return known.groupBy("s1", "s2").agg(F.sort_array(F.collect_list(number)).alias("runs"))
+    return known.groupBy("s1", "s2").agg(F.sort_array(F.collect_list("ordinal")).alias("runs"))
+
 
+def fields(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
-RUNS = "s1 bigint, s2 bigint, ordinal int, key bigint, offset int, windows int, c1 bigint, c2 bigint, content binary, extended boolean"
+
+def digest(content: np.ndarray, size: int, *salt: int) -> bytes:
+    """Of some words, apart for different numbers ``salt``."""
+    return hashlib.blake2b(content.tobytes(), digest_size=size, salt=np.array(salt, np.int32).tobytes()).digest()
+
+
+RUNS = "s1 bigint, s2 bigint, ordinal int, key bigint, offset int, windows int, c1 bigint, c2 bigint, content binary"
 
 
 def cut_runs(texts: DataFrame, window: int) -> DataFrame:
-    """The words under each run of windows whose anchor occurs elsewhere, as hashes; for extended
-    prefixes the hashes of the windows themselves."""
+    """The words under each run of windows whose anchor occurs elsewhere, as hashes."""
 
     def cut(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
                 found = Anchored(part.column("text"), window)
-                out = {k: [] for k in ("row", "ordinal", "content", "extended", "run")}
-                if any(runs and runs[0] < 0 for runs in part.column("runs").to_pylist()):
-                    n = max(0, len(found.words.hashes) - window + 1)
-                    whole = np.stack(two_hashes([found.words.hashes[j : n + j] for j in range(window)]), 1)
-                for row, runs in enumerate(part.column("runs").to_pylist()):
-                    for number in runs:
-                        extended = number < 0
-                        ordinal = ~number if extended else number
-                        run = found.first[row] + ordinal
-                        lo, end = found.lo[run], found.end[run]
-                        content = whole[lo:end] if extended else found.words.hashes[lo : end + window - 1]
-                        for k, v in zip(out, (row, ordinal, content.tobytes(), extended, run)):
-                            out[k].append(v)
-                if not out["row"]:
+                runs = part.column("runs").to_pylist()
+                ordinal = np.array([x for numbers in runs for x in numbers], np.int64)
+                if not len(ordinal):
                     continue
-                run, row = np.array(out["run"]), np.array(out["row"])
-                offset, windows = found.anchor[run] - found.lo[run], found.end[run] - found.lo[run]
-                marks = [hashlib.blake2b(c, digest_size=16, salt=int(o).to_bytes(8, "little"), person=b"x" if e else b"").digest() for c, o, e in zip(out["content"], offset, out["extended"])]
-                marks = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
+                row = np.repeat(np.arange(len(runs)), [len(numbers) for numbers in runs])
+                run = found.first[row] + ordinal
+                lo, end = found.lo[run], found.end[run]
+                offset = found.anchor[run] - lo
+                content = [found.words.hashes[a : b + window - 1] for a, b in zip(lo, end)]
+                marks = b"".join(digest(c, 16, o, window) for c, o in zip(content, offset))
+                marks = np.frombuffer(marks, np.int64).reshape(-1, 2)
                 signs = [part.column(c).to_numpy()[row] for c in ("s1", "s2")]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in signs]
-                    + [pa.array(out["ordinal"], pa.int32()), pa.array(found.key[run].view(np.int64)), pa.array(offset.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(out["content"], pa.binary()), pa.array(out["extended"], pa.bool_())],
-                    [c.split()[0] for c in RUNS.split(", ")],
-                )
+                places = [x.astype(np.int32) for x in (offset, end - lo)]
+                columns = [*signs, ordinal.astype(np.int32), found.key[run].view(np.int64), *places, marks[:, 0], marks[:, 1]]
+                content = pa.array([c.tobytes() for c in content], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in columns], content], fields(RUNS))
 
     return texts.select("text", "s1", "s2", "runs").mapInArrow(cut, RUNS)
 
 
+PIECES = (
+    "key bigint, o1 bigint, o2 bigint, base int, c1 bigint, c2 bigint, offset int, windows int, "
+    "least int, most int, m bigint, content binary"
+)
+
+
+def longer_prefixes(pieces: DataFrame, window: int) -> DataFrame:
+    """Pieces with the windows of each given one whose anchor is at words ``least`` to the middle, and
+    those beyond; ``key`` is of the words that all windows of a half share, ``base`` the number of the
+    first of its windows in the run ``o1``, ``o2``."""
+
+    def halves(batches):
+        for batch in batches:
+            out = {k: [] for k in fields(PIECES)}
+            for r in batch.to_pylist():
+                words = np.frombuffer(r["content"], np.uint64)
+                middle = (r["least"] + r["most"]) // 2
+                for least, most in ((r["least"], middle), (middle + 1, r["most"])):
+                    first = max(0, r["offset"] - most)
+                    last = min(r["windows"] - 1, r["offset"] - least)
+                    if first > last:
+                        continue
+                    content = words[first : last + window]
+                    offset = r["offset"] - first
+                    key = digest(content[offset - least : offset + window - most], 8, least, most)
+                    marks = np.frombuffer(digest(content, 16, offset, most - least), np.int64)
+                    new = {
+                        "key": int(np.frombuffer(key, np.int64)[0]), "base": r["base"] + first, "c1": int(marks[0]), "c2": int(marks[1]),
+                        "offset": offset, "windows": last - first + 1, "least": least, "most": most, "content": content.tobytes(),
+                    }
+                    for k, values in out.items():
+                        values.append(new[k] if k in new else r[k])
+            if out["key"]:
+                yield pa.RecordBatch.from_pydict(out, batch.schema)
+
+    return pieces.select(*fields(PIECES)).mapInArrow(halves, PIECES)
+
+
+def prefix_groups(kinds: DataFrame, window: int) -> tuple[DataFrame, DataFrame | None]:
+    """Runs and pieces of runs under prefixes that fit in memory, each once with its number ``m``, and
+    the pieces of the runs that were cut (None: none were)."""
+    pieces = kinds.select(
+        "key", F.col("c1").alias("o1"), F.col("c2").alias("o2"), F.lit(0).alias("base"), "c1", "c2", "offset", "windows",
+        F.lit(0).alias("least"), F.lit(window - GRAM).alias("most"), "m", "content",
+    )
+    apart = ["key", "c1", "c2", "offset", "windows", "m", "content"]
+    different, fitting, cuts = pieces, [], []
+    while True:
+        counted = different.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("a"), F.first("most").alias("b"))
+        large = stored(counted.filter((F.col("n") > MOST_RUNS) & (F.col("a") < F.col("b"))).select("key"), "large")
+        if large.isEmpty():
+            fitting.append(different.select(*apart))
+            break
+        fitting.append(different.join(large, "key", "left_anti").select(*apart))
+        pieces = stored(longer_prefixes(pieces.join(large, "key"), window), "pieces")
+        cuts.append(pieces.select("o1", "o2", "base", "c1", "c2"))
+        first = [F.first(c).alias(c) for c in ("offset", "windows", "least", "most", "content")]
+        different = stored(pieces.groupBy("key", "c1", "c2").agg(*first, F.sum("m").alias("m")), "different")
+    return reduce(DataFrame.unionByName, fitting), reduce(DataFrame.unionByName, cuts) if cuts else None
+
+
+def nodes(table: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows, each of ``lengths`` words, and the common words of each with the one before."""
+    order = np.lexsort(table.T[::-1]) if table.shape[1] else np.arange(len(table))
+    same = np.cumprod(table[order[1:]] == table[order[:-1]], axis=1, dtype=np.int8).sum(axis=1)
+    common = np.zeros(len(order), np.int64)
+    common[1:] = np.minimum(same, np.minimum(lengths[order[1:]], lengths[order[:-1]]))
+    return order, common
+
+
+def below(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """For each row the number of its node at this depth."""
+    node = np.empty(len(order), np.int64)
+    node[order] = np.cumsum(common < depth)
+    return node
+
+
 def tree_repeats(runs: DataFrame, window: int) -> DataFrame:
-    """``c1``, ``c2``, ``at``: the windows of each class of runs that occur elsewhere, by suffix trees."""
+    """``c1``, ``c2``, ``at``: the windows of each run or piece that occur elsewhere, by suffix trees."""
+    front = window - GRAM
 
     def subtrees(table: pa.Table) -> pa.Table:
         contents = [np.frombuffer(x, np.uint64) for x in table["content"].to_pylist()]
-        windows, many = table["windows"].to_numpy(), table["m"].to_numpy() > 1
-        suffixes = np.concatenate([np.lib.stride_tricks.sliding_window_view(c, window) for c in contents])
-        # Suffixes in order; two neighbours that agree in all words hang below one deep node.
-        quick = two_hashes(suffixes[:, ::6].T)[0]
-        order = np.argsort(quick, kind="stable")
-        close = np.zeros(len(order), bool)
-        same = quick[order[1:]] == quick[order[:-1]]
-        close[1:] |= same
-        close[:-1] |= same
-        order = order[close]
-        order = order[np.lexsort(suffixes[order].T[::-1])]
-        deep = (suffixes[order[1:]] == suffixes[order[:-1]]).all(axis=1)
-        repeated = np.repeat(many, windows)
-        repeated[order[1:][deep]] = True
-        repeated[order[:-1][deep]] = True
-        ends = np.cumsum(windows)
-        places = [np.flatnonzero(repeated[e - n : e]).astype(np.int32) for e, n in zip(ends, windows)]
-        keep = pa.array([len(x) > 0 for x in places])
-        return table.select(["c1", "c2"]).append_column("at", pa.array(places, pa.list_(pa.int32()))).filter(keep)
-
-    return runs.groupBy("group").applyInArrow(subtrees, REPEATED)
-
-
-REPEATED = "c1 bigint, c2 bigint, at array<int>"
-
-
-def extended_repeats(kinds: DataFrame) -> DataFrame:
-    """The same under extended prefixes: windows whose hash is that of another one."""
-
-    def explode(batches):
-        for batch in batches:
-            n = batch.column("windows").to_numpy()
-            if not n.sum():
-                continue
-            hashes = np.frombuffer(b"".join(batch.column("content").to_pylist()), np.int64).reshape(-1, 2)
-            rest = [pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("c1", "c2", "m")]
-            at = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(at), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy())], ["c1", "c2", "m", "at", "h1", "h2"])
-
-    read = kinds.select("c1", "c2", "m", "windows", "content")
-    leaves = read.mapInArrow(explode, "c1 bigint, c2 bigint, m bigint, at int, h1 bigint, h2 bigint")
-    leaves = stored(leaves, "leaves")
-    equal = stored(leaves.groupBy("h1", "h2").agg(F.sum("m").alias("all")).filter("all > 1").drop("all"), "equal")
-    # At most as many as a run has windows.
-    return leaves.join(equal, ["h1", "h2"]).groupBy("c1", "c2").agg(F.collect_list("at").alias("at"))
+        windows, offset, m = (table[c].to_numpy().astype(np.int64) for c in ("windows", "offset", "m"))
+        after = windows - 1 - offset + window
+        right = np.zeros((len(contents), window), np.uint64)
+        left = np.zeros((len(contents), front), np.uint64)
+        for i, words in enumerate(contents):
+            right[i, : after[i]] = words[offset[i] :]
+            left[i, : offset[i]] = words[: offset[i]][::-1]
+        forwards, backwards = nodes(right, after), nodes(left, offset)
+        starts = np.r_[0, np.cumsum(windows)]
+        repeated = np.zeros(starts[-1], bool)
+        for o in range(front + 1):
+            has = np.flatnonzero((offset >= o) & (offset - o < windows))
+            if len(has):
+                node = below(*forwards, window - o)[has] * (len(contents) + 1) + below(*backwards, o)[has]
+                _, place = np.unique(node, return_inverse=True)
+                repeated[starts[has] + offset[has] - o] = np.bincount(place, m[has])[place] > 1
+        at = [np.flatnonzero(repeated[a:b]).astype(np.int32) for a, b in zip(starts, starts[1:])]
+        keep = pa.array([len(x) > 0 for x in at], pa.bool_())
+        return table.select(["c1", "c2"]).append_column("at", pa.array(at, pa.list_(pa.int32()))).filter(keep)
+
+    return runs.groupBy("group").applyInArrow(subtrees, "c1 bigint, c2 bigint, at array<int>")
+
+
+def repeats_of_runs(kinds: DataFrame, window: int) -> DataFrame:
+    """``c1``, ``c2``, ``at``: the windows of each different run that occur elsewhere."""
+    fitting, cuts = prefix_groups(kinds, window)
+    fitting = stored(fitting, "fitting")
+    groups = max(partitions(kinds.sparkSession), 1 + fitting.count() // GROUP_RUNS)
+    found = tree_repeats(fitting.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))), window)
+    found = stored(found, "repeated")
+    if cuts is None:
+        return found
+    moved = F.transform("at", lambda x: x + F.col("base"))
+    return found.unionByName(cuts.join(found, ["c1", "c2"]).select(F.col("o1").alias("c1"), F.col("o2").alias("c2"), moved.alias("at")))
 
 
 def repeated_windows(df: DataFrame, id_col: str, text: str, window: int) -> tuple[DataFrame, DataFrame]:
@@ -246,12 +305,9 @@ def repeated_windows(df: DataFrame, id_col: str, text: str, window: int) -> tupl
     texts = stored(texts.mapInArrow(same, texts.schema), "texts")
     runs = stored(cut_runs(texts, window), "runs")
     # Equal runs are one kind, so what a passage has in common is looked at once.
-    first = [F.first(c).alias(c) for c in ("content", "windows", "extended")]
+    first = [F.first(c).alias(c) for c in ("content", "windows", "offset")]
     kinds = stored(runs.groupBy("key", "c1", "c2").agg(*first, F.count(F.lit(1)).alias("m")), "kinds")
-    short = kinds.filter(~F.col("extended"))
-    groups = max(partitions(df.sparkSession), 1 + short.count() // GROUP_RUNS)
-    repeated = tree_repeats(short.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))), window)
-    repeated = stored(repeated.unionByName(extended_repeats(kinds.filter("extended"))), "repeated")
+    repeated = stored(repeats_of_runs(kinds, window), "marks")
     marks = runs.select("s1", "s2", "ordinal", "c1", "c2").join(repeated, ["c1", "c2"])
     marked = marks.groupBy("s1", "s2").agg(F.collect_list(F.struct("ordinal", "at")).alias("marks"))
     lone = texts.filter("m = 1").join(marked, ["s1", "s2"])
