@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlab.functions.groups import salted_join
 from textlab.llm.common import partitions, stored
 from textlab.llm.textarrays import MIX, Words, chunks, mixed
 
@@ -311,7 +312,9 @@ def repeated_windows(df: DataFrame, id_col: str, text: str, window: int) -> tupl
     marks = runs.select("s1", "s2", "ordinal", "c1", "c2").join(repeated, ["c1", "c2"])
     marked = marks.groupBy("s1", "s2").agg(F.collect_list(F.struct("ordinal", "at")).alias("marks"))
     lone = texts.filter("m = 1").join(marked, ["s1", "s2"])
-    return found.drop("keys").join(classes.select("s1", "s2", "m"), ["s1", "s2"], "left"), lone
+    # Only classes of more than one row are met, and the rows of a large one are dealt out.
+    copies = classes.filter("m > 1").select("s1", "s2", "m")
+    return stored(salted_join(found.drop("keys"), copies, ["s1", "s2"], "left"), "sized"), lone
 
 
 KEPT = "s1 bigint, s2 bigint, removed bigint, kept_sha string, kept string"
@@ -359,7 +362,9 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     """
     found, lone = repeated_windows(df, id_col, text, window)
     kept = stored(kept_words(lone, window, with_text=False).drop("kept"), "kept")
-    joined = found.join(kept, ["s1", "s2"], "left")
+    # Copies have nothing kept; each goes its own way, so that no task gets all of a class.
+    apart = F.when(F.col("m") > 1, F.xxhash64("id", "s1")).otherwise(0)
+    joined = found.withColumn("apart", apart).join(kept.withColumn("apart", F.lit(0).cast("long")), ["s1", "s2", "apart"], "left")
     copied = F.coalesce(F.col("m") > 1, F.lit(False))
     return joined.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col),
