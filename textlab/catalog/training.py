@@ -6,9 +6,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.catalog.inputs import documents, labeled, multi_docs
+from textlab.catalog.inputs import MULTI_SQL, documents, labeled, multi_docs
 from textlab.operators import explain, fitting, train
 from textlab.operators import split as sp
+from textlab.operators.labelbayes import fit_label_bayes
 from textlab.operators.losses import cross_entropy, focal_loss
 from textlab.operators.metrics import metrics, metrics_multilabel
 from textlab.functions.labels import parse_labels
@@ -69,6 +70,35 @@ def t6(s, d):
     return metrics_multilabel(fitted.score(val.withColumn("labels", parse_labels(val, "tags"))))
 
 
+def t6_bayes(s, d):
+    """All labels of all documents from one count of labels and terms."""
+    df = multi_docs(s, d)
+    model = fit_label_bayes(df, "text", "tags")
+    return model.score(df, "text", "doc_id").select("doc_id", F.array_join("predicted", ",").alias("predicted"))
+
+
+#: The same for every document and label, densely.
+T6_BAYES_SQL = rf"""with {MULTI_SQL},
+r as materialized (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') as ts,
+  list_distinct(list_filter(list_transform(regexp_split_to_array(tags, '[,|]'), lambda x: trim(x)), lambda x: x <> '')) as ls from multi),
+t as materialized (select doc_id, unnest(ts) as term from r),
+l as materialized (select doc_id, unnest(ls) as label from r),
+f as (select term, count(*) as f from t group by term),
+c as (select label, term, count(*) as c from t join l using (doc_id) group by all),
+g as (select (select count(*) from multi) as n, (select count(*) from t) as n_terms, (select count(*) from f) as v),
+k as (select label, count(*) as n1, sum(len(ts)) as t1 from l join r using (doc_id) group by label),
+w as (select *, least(greatest(n - n1, 1) / greatest(n1, 1), 50) as w from k, g),
+m as (select label, w, ln(w * n1 + 1) - ln(n - n1 + 1) as prior, ln(n_terms - t1 + v) - ln(w * t1 + v) as shift from w),
+lifts as (select label, term, ln(w * c + 1) - ln(f - c + 1) + ln(f + 1) as lift from c join f using (term) join m using (label)),
+met as (select doc_id, label, sum(lift) as lift from t join lifts using (term) group by all),
+shared as (select doc_id, count(*) as n_terms, sum(-ln(f + 1)) as lift from t join f using (term) group by doc_id),
+told as (select r.doc_id, m.label from r cross join m left join met on met.doc_id = r.doc_id and met.label = m.label
+  left join shared on shared.doc_id = r.doc_id
+  where prior + coalesce(shared.n_terms, 0) * shift + coalesce(shared.lift, 0) + coalesce(met.lift, 0) >= 0)
+select r.doc_id, coalesce(string_agg(label, ',' order by label), '') as predicted from r left join told on told.doc_id = r.doc_id
+group by r.doc_id"""
+
+
 def t9(s, d):
     """Trials of the search on the proxy sample of the training part."""
     fit, _ = _parts(s, d)
@@ -233,6 +263,7 @@ QUERIES = {
     "t2_class_weighted_fit": (t2, None),
     "t5_focal_fit": (t5, None),
     "t6_multilabel_fit": (t6, None),
+    "t6_multilabel_bayes": (t6_bayes, T6_BAYES_SQL),
     "t9_search": (t9, None),
     "t9_race": (t9_race, RACE_SQL),
     "t5_focal_rounds": (t5_rounds, "select count(*) > 0 as falls, true as last_is_the_model from documents"),
