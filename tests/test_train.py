@@ -9,7 +9,7 @@ from textlab.operators import compare, explain, labels, train
 from textlab.operators import split as sp
 from textlab.operators.metrics import metrics, metrics_multilabel
 from textlab.plans.run import run
-from textlab.sources.runs import SavedRun, load_run, save_run
+from textlab.sources.runs import SavedRun, load_run, save_run, saved_runs
 from textlab.sources.tables import load
 from textlab.streaming.scoring import file_stream, predict_stream, write_stream
 
@@ -159,6 +159,35 @@ def test_saved_run_gives_the_recorded_best(spark, parts, bayes, logistic, tmp_pa
         load_run(spark, path, "other")
 
 
+def test_a_run_that_ends_half_way_is_not_there(spark, bayes, tmp_path):
+    """Its files are, but no manifest; the runs saved before stay."""
+
+    class Broken:
+        classes, config, seconds = [], None, 0.0
+
+        @property
+        def model(self):
+            raise RuntimeError("killed")
+
+    path = str(tmp_path / "run")
+    with pytest.raises(ValueError, match="no saved run"):
+        load_run(spark, path)
+    two = {"nb_multinomial": bayes, "broken": Broken()}
+    with pytest.raises(RuntimeError, match="killed"):
+        save_run(spark, SavedRun("half", "nb_multinomial", "text", False, two), path)
+    assert saved_runs(spark, path).count() == 0
+    first = SavedRun("first", "nb_multinomial", "text", False, {"nb_multinomial": bayes}, spark.range(3), 7, metrics={"nb_multinomial": {"f1": 0.5}})
+    version = save_run(spark, first, path)
+    with pytest.raises(RuntimeError, match="killed"):
+        save_run(spark, SavedRun("half", "nb_multinomial", "text", False, two), path)
+    again = load_run(spark, path)
+    assert (again.name, again.seed, again.analysis.count(), again.metrics) == ("first", 7, 3, first.metrics)
+    assert again.models["nb_multinomial"].config == bayes.config and again.started_at <= again.finished_at
+    save_run(spark, SavedRun("second", "nb_multinomial", "text", False, {"nb_multinomial": bayes}), path)
+    assert load_run(spark, path).name == "second" and load_run(spark, path, version=version).name == "first"
+    assert saved_runs(spark, path).count() == 2
+
+
 def test_multilabel(spark, small):
     df = multi_docs(spark, small)
     fitted = train.fit_multilabel(df, "text", "tags", CFG)
@@ -189,7 +218,9 @@ def test_whole_run(spark, small, tmp_path):
     assert {r["status"] for r in done["state"].collect()} == {"completed"}
     assert done["comparison"].count() == 2 and done["cv"]["folds"].count() == 2
     assert set(done["reports"]) == {"quality", "baseline", "model", "explanation", "cross_validation"}
-    assert load_run(spark, path).best == done["best_model_name"]
+    saved = load_run(spark, path)
+    assert saved.best == done["best_model_name"] and saved.seed == 42 and saved.analysis.count() > 0
+    assert saved.metrics[saved.best]["f1"] == done["best_model_metrics"]["f1"]
     assert spark.read.json(path + "/reports/model/rows").filter("section = 'diagnosis'").count() == 1
     shown = [r[0] for r in spark.read.text(path + "/reports/model/text").collect()]
     assert shown[0] == "model of run" and shown.index("VALIDATION") < shown.index("DIAGNOSIS")

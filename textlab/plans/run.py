@@ -154,7 +154,7 @@ def run(
             }
             told["cross_validation"] = reports.cv_report(folds, summary)
         if path:
-            _save(path, name, best, usable, text, multi, record, told)
+            _save(path, name, best, usable, text, multi, record, told, seed, tracker, results)
         tracker.log(STEPS[-1], "completed")
         return {
             "status": "success",
@@ -264,9 +264,14 @@ def _reports(table, text, label, multi, findings, scored, comparison, record, ba
     return told
 
 
-def _save(path, name, best, usable, text, multi, record, told):
-    spark = record.sparkSession
-    saved = SavedRun(name, best.name, text, multi, {t.name: t for t in usable}, analysis.analysis_long(record))
-    save_run(spark, saved, path)
+def _save(path, name, best, usable, text, multi, record, told, seed, tracker, results):
+    """The reports, then the run, whose manifest comes last of all."""
     for kind, report in told.items():
         reports.write_report(report, f"{path}/reports/{kind}", f"{kind.replace('_', ' ')} of {name}")
+    # A row per candidate.
+    scores = {r["model"]: {k: v for k, v in r.asDict().items() if isinstance(v, float)} for r in results.collect()}
+    saved = SavedRun(
+        name, best.name, text, multi, {t.name: t for t in usable}, analysis.analysis_long(record),
+        seed, tracker.rows[0][3], datetime.datetime.now(), scores,
+    )
+    save_run(record.sparkSession, saved, path)
