@@ -3,6 +3,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from textlab.catalog.inputs import documents, multi_docs
 from textlab.functions.labels import parse_labels
 from textlab.operators import compare, explain, labels, train
@@ -11,7 +12,7 @@ from textlab.operators.metrics import metrics, metrics_multilabel
 from textlab.plans.run import run
 from textlab.sources.runs import SavedRun, load_run, save_run, saved_runs
 from textlab.sources.tables import load
-from textlab.streaming.scoring import file_stream, predict_stream, write_stream
+from textlab.streaming.scoring import file_stream, predict_stream, table_stream, write_stream
 
 CFG = train.Config(epochs=(1, 2), weight_decay=0.01)
 
@@ -131,6 +132,18 @@ def test_the_last_word_of_a_long_text_counts(spark, last_words, tmp_path):
     assert {r["word"] for r in words.filter("in_top").collect()} <= {"yes", "no"}
 
 
+def test_a_table_streams_as_a_file_and_as_a_folder_of_files(spark, small, tmp_path):
+    whole = load(spark, small, "documents")
+    whole.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    wanted = sorted(r["doc_id"] for r in whole.select("doc_id").collect())
+    for i, folder in enumerate((small, str(tmp_path))):
+        stream = table_stream(spark, folder, "documents", whole.schema, files_per_batch=2).select("doc_id")
+        write_stream(stream, str(tmp_path / f"o{i}"), str(tmp_path / f"c{i}")).awaitTermination()
+        assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / f"o{i}")).collect()) == wanted
+    told = queries()["r7_predict_stream"](spark, str(tmp_path))
+    assert sorted(r["doc_id"] for r in told.collect()) == wanted
+
+
 def test_stream_counts_every_row_in_any_batching(spark, small, tmp_path):
     from textlab.streaming.scoring import distribution, distribution_stream, label_windows
 

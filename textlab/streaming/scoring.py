@@ -16,6 +16,13 @@ def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
     return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int = 100) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files."""
+    # A pattern, as a stream takes a plain path for a folder.
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{folder.rstrip('/')}/{{{name}.parquet}}")
+
+
 def predict_stream(model: PipelineModel, stream: DataFrame, classes: list[str]) -> DataFrame:
     """The batch scoring plan on a stream; it keeps no state."""
     return predict(model, stream, classes)
