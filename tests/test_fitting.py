@@ -104,3 +104,23 @@ def test_word_order_counts_where_the_model_has_pairs(order_table):
     plain = train.fit_model("lr_unigram", order_table.filter("split = 'train'"), "text", "label", CFG)
     shares = explain.word_scores(plain.model, order_table, "doc_id", "text").filter("word in ('up', 'down')").agg(F.max("score")).first()[0]
     assert shares < 1e-3
+
+
+def test_no_term_of_a_text_is_shuffled(spark, small):
+    """Texts are dealt out once; what is exchanged has as many rows as there are texts."""
+    rows = spark.read.parquet(f"{small}/documents.parquet").withColumn("label", F.col("lang"))
+    one = train.fit_model("lr_bigram", rows, "text", "label", CFG)
+    words = explain.word_scores(one.model, rows, "doc_id", "text")
+    text = words._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_a_model_beyond_the_limit_is_joined(order_table, monkeypatch):
+    from textlab.operators import contributions
+
+    one = train.fit_model("lr_bigram", order_table, "text", "label", CFG)
+    sent = {(r["doc_id"], r["word"]): r["contribution"] for r in explain.word_scores(one.model, order_table, "doc_id", "text").collect()}
+    monkeypatch.setattr(contributions, "SENT_WEIGHTS", 0)
+    for r in explain.word_scores(one.model, order_table, "doc_id", "text").collect():
+        assert r["contribution"] == pytest.approx(sent.pop((r["doc_id"], r["word"])), abs=1e-9)
+    assert not sent

@@ -36,16 +36,22 @@ def weight_matrix(model: PipelineModel) -> np.ndarray:
     return weights if scaling is None else weights * scaling.idf.toArray()
 
 
+#: Weights that are sent to all tasks, as scoring does with the whole model; a larger table is joined.
+SENT_WEIGHTS = 1 << 24
+
+
 def weight_table(spark: SparkSession, model: PipelineModel) -> DataFrame:
-    """``(bucket, class_id, weight)`` of the weights that are not zero, as many as the model has."""
+    """``(bucket, weights)``: the weights of all classes, for the buckets that have any."""
     weights = weight_matrix(model)
-    row, bucket = np.nonzero(weights)
-    table = pa.table({"bucket": bucket.astype(np.int32), "class_id": row.astype(np.int32), "weight": weights[row, bucket]})
-    return spark.createDataFrame(table)
+    bucket = np.flatnonzero(weights.any(axis=0))
+    ends = np.arange(len(bucket) + 1, dtype=np.int32) * len(weights)
+    each = pa.ListArray.from_arrays(ends, np.ascontiguousarray(weights[:, bucket].T).ravel())
+    table = spark.createDataFrame(pa.table({"bucket": bucket.astype(np.int32), "weights": each}))
+    return F.broadcast(table) if weights.size <= SENT_WEIGHTS else table
 
 
 def terms(model: PipelineModel, rows: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``(id, class_id, term, first, second, n)``: the terms of each row and how often it has them.
+    """``(id, class_id, term, first, second)``: the terms of each row, as often as it has them.
 
     ``class_id`` is the predicted class; ``second`` is null for single words.
     """
@@ -59,8 +65,7 @@ def terms(model: PipelineModel, rows: DataFrame, id_col: str, text: str) -> Data
         at = F.when(F.size(words) > 1, F.sequence(F.lit(0), F.size(words) - 2)).otherwise(F.array().cast("array<int>"))
         pair = lambda a, b: F.struct(F.concat_ws(" ", a, b).alias("term"), a.alias("first"), b.alias("second"))
         found = F.concat(found, F.transform(at, lambda i: pair(F.get(words, i), F.get(words, i + 1))))
-    long = scored.select(id_col, "class_id", F.inline(found))
-    return long.groupBy(id_col, "class_id", "term", "first", "second").agg(F.count(F.lit(1)).alias("n"))
+    return scored.select(id_col, "class_id", F.inline(found))
 
 
 def bucketed(model: PipelineModel, found: DataFrame) -> DataFrame:
@@ -75,13 +80,13 @@ def word_contributions(model: PipelineModel, rows: DataFrame, id_col: str, text:
     """``(id, word, contribution)``: the share of each word in the linear score of the predicted
     class, with its sign. A row without words has none.
 
-    Ids are expected to be unique. The terms meet the table of weights by bucket, so a model of any
-    size is joined, not sent along.
+    Ids are expected to be unique. The texts are dealt out by id once. All terms of a row are then in
+    one task, where they meet the weights and are summed, so that no term is shuffled.
     """
-    long = bucketed(model, terms(model, rows, id_col, text))
-    weights = weight_table(rows.sparkSession, model)
-    met = long.join(weights, ["bucket", "class_id"], "left")
-    added = F.coalesce("weight", F.lit(0.0)) * F.col("n")
+    dealt = rows.select(id_col, text).repartition(id_col)
+    long = bucketed(model, terms(model, dealt, id_col, text))
+    met = long.join(weight_table(rows.sparkSession, model), "bucket", "left")
+    weight = F.coalesce(F.get("weights", F.col("class_id")), F.lit(0.0))
     words = F.when(F.col("second").isNull(), F.array("first")).otherwise(F.array("first", "second"))
-    shares = met.select(id_col, F.explode(words).alias("word"), (added / F.size(words)).alias("_share"))
+    shares = met.select(id_col, F.explode(words).alias("word"), (weight / F.size(words)).alias("_share"))
     return shares.groupBy(id_col, "word").agg(F.sum("_share").alias("contribution"))
