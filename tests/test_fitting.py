@@ -124,3 +124,24 @@ def test_a_model_beyond_the_limit_is_joined(order_table, monkeypatch):
     for r in explain.word_scores(one.model, order_table, "doc_id", "text").collect():
         assert r["contribution"] == pytest.approx(sent.pop((r["doc_id"], r["word"])), abs=1e-9)
     assert not sent
+
+
+def test_focal_rounds_go_on_from_the_last_coefficients(order_table, monkeypatch):
+    """Only the first fit takes all iterations; the loss that the rounds reach is no worse for it."""
+    asked, plain = [], train.estimator
+
+    def noted(name, cfg):
+        asked.append(cfg.iterations)
+        return plain(name, cfg)
+
+    monkeypatch.setattr(train, "estimator", noted)
+    cfg = replace(CFG, max_iter=20)
+    one = train.fit_focal(order_table, "text", "label", 2.0, "lr_bigram", cfg)
+    assert asked[0] == 20 and len(asked) > 1 and set(asked[1:]) == {train.ITERATIONS_PER_EPOCH}
+    assert all(b < a for a, b in zip(one.rounds, one.rounds[1:])) and len(one.rounds) > 1
+
+
+def test_a_fit_has_a_task_for_each_core(spark):
+    many = spark.range(1000, numPartitions=100).repartition(64)
+    few = train.by_cores(many)
+    assert few.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and few.count() == 1000
