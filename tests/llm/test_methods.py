@@ -800,3 +800,24 @@ def test_buckets_of_any_number_find_the_same(spark, docs, monkeypatch):
     wanted = sorted(ngramjoin.shared_counts(rows, ngramjoin.text_reader(3, True), F.lit(0)).collect())
     got = sorted(ngramjoin.shared_counts(rows, ngramjoin.text_reader(3, True), F.lit(ngramjoin.BUCKET_SHINGLES)).collect())
     assert len(wanted) == docs.count() and got == wanted
+
+
+def test_packing_gives_memory_back_after_each_batch(spark, monkeypatch):
+    import pyarrow as pa
+
+    class Caught:
+        """A table that hands out the function it is mapped with."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, function, _):
+            return function
+
+    calls = []
+    monkeypatch.setattr(packing, "give_back", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one two", ""])], ["doc_id", "text"])
+    empty = batch.slice(0, 0)
+    out = list(packing.pieces(Caught(), catalog.tokenizer_path(), keep_ids=False)(iter([batch, empty, batch])))
+    assert len(calls) == 3 and [b.num_rows > 0 for b in out] == [True, False, True]
+    assert set(out[0].column(0).to_pylist()) == {1, 2}

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.llm.common import ranked, string_or_empty
+from textlab.llm.textarrays import give_back
 
 GREATEST = 4096
 END_ID = 2
@@ -143,7 +144,7 @@ def pieces(df: DataFrame, tokenizer: str, keep_ids: bool = True, greatest: int =
         known = codes(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
+            rows, value = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}, None
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = known.ids(value.as_py()) + end
                 total, start = len(data) // 4, 0
@@ -154,8 +155,12 @@ def pieces(df: DataFrame, tokenizer: str, keep_ids: bool = True, greatest: int =
                     if keep_ids:
                         rows["ids"].append(np.frombuffer(part, "<u4"))
                     start += length
-            columns = [pa.array(rows[k], kinds[k]) for k in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            out = pa.RecordBatch.from_arrays([pa.array(rows[k], kinds[k]) for k in names], names)
+            del rows, batch, value
+            yield out
+            del out
+            # Texts of a batch are large, and what is freed would stay with the worker.
+            give_back()
 
     kinds = {k: pa.int64() for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")} | {"ids": pa.list_(pa.int64())}
     names = [k for k in kinds if keep_ids or k != "ids"]
