@@ -145,3 +145,19 @@ def test_a_fit_has_a_task_for_each_core(spark):
     many = spark.range(1000, numPartitions=100).repartition(64)
     few = train.by_cores(many)
     assert few.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and few.count() == 1000
+
+
+def test_a_focal_round_begins_near_the_step_of_the_last(spark, order_table, monkeypatch):
+    """Steps are tried two at a time, and a round does not begin again at steps that failed before."""
+    assert train.step_order(0) == list(train.FOCAL_STEPS)
+    assert train.step_order(3) == [0.25, 0.125, 0.5, 1.0]
+    asked, plain = [], train.together
+
+    def noted(work, items):
+        asked.append(list(items))
+        return plain(work, items)
+
+    monkeypatch.setattr(train, "together", noted)
+    one = train.fit_focal(order_table, "text", "label", 2.0, "lr_bigram", replace(CFG, max_iter=20))
+    assert asked and all(len(a) == 2 for a in asked)
+    assert all(b < a for a, b in zip(one.rounds, one.rounds[1:])) and len(one.rounds) > 1
