@@ -4,6 +4,7 @@ import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, MultilabelClassificationEvaluator
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from textlab.catalog.inputs import ATOMIC, LANGS, scored, scored_multi
 from textlab.operators import compare, explain, losses, metrics, predict
 from textlab.operators.tracking import run_state
@@ -115,6 +116,16 @@ def test_subwords(spark):
     assert got == [(1, 1, "##x", 1.0), (1, 2, "playing", 5.0), (1, 3, "now", 4.0), (2, 1, "a", 1.0)]
 
 
+def test_subwords_of_lists_stay_in_their_row(spark, small):
+    """Pieces of a text are put together where the text is: no shuffle, no window, any order, any score."""
+    told = queries()["x2_merge_subwords"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in told and "Window" not in told
+    rows = [(1, 3, "##c", None), (1, 1, "a", 2), (1, 2, "##b", 3), (1, 5, None, None), (1, 4, "d", None), (2, 0, "##x", 1)]
+    df = spark.createDataFrame(rows, "id int, pos int, token string, score int")
+    got = sorted((r["id"], r["word_no"], r["word"], r["score"]) for r in explain.merge_subwords(df).collect())
+    assert got == [(1, 1, "abc", 5), (1, 2, "d", None), (2, 1, "##x", 1)]
+
+
 def test_top_k_pads_and_breaks_ties_by_class(spark):
     df = spark.createDataFrame([([0.4, 0.4, 0.2],)], "p array<double>")
     row = predict.top_k(df, ["a", "b", "c"], 4).first()

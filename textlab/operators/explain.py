@@ -84,22 +84,45 @@ def calibration_error(scored: DataFrame, by=(), p: str = "p") -> DataFrame:
     return totals.withColumn("verdict", calibration_verdict(F.col("ece")))
 
 
+def subword_groups(lists: DataFrame) -> DataFrame:
+    """``(id, words)``: the words of each text in order, as ``(word, score)``, from the list of its
+    ``##`` pieces, ``(id, pieces)`` with ``pos``, ``token`` and ``score`` in any order.
+
+    A text stays in its row: its pieces are sorted and cut as one array, and nothing is shuffled.
+    """
+    one = lists.select(F.explode("pieces").alias("p")).select("p.*")
+    kind = one.select(F.sum("score").alias("s")).schema["s"].dataType
+    each = F.col("pieces")
+    if one.columns != ["pos", "token", "score"] or one.schema["score"].dataType != kind:
+        each = F.transform(each, lambda p: F.struct(p["pos"].alias("pos"), p["token"].alias("token"), p["score"].cast(kind).alias("score")))
+    sorted_ = lists.select("id", F.sort_array(each).alias("_p"))
+    first = lambda p, i: (i == 0) | F.coalesce(~p["token"].startswith(CONTINUATION), F.lit(False))
+    at = F.filter(F.transform("_p", lambda p, i: F.when(first(p, i), i)), lambda i: i.isNotNull())
+    cut = sorted_.select("id", "_p", at.alias("_at"))
+    size = F.size("_p")
+
+    token, score = (lambda i, c=c: F.get("_p", i)[c] for c in ("token", "score"))
+
+    def word(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("_at", k + 1), size)
+        # By place, as a slice would copy the whole array for each word; most words are one piece.
+        rest = F.sequence(start + 1, end - 1)
+        parts = F.concat(F.array(token(start)), F.transform(rest, lambda i: F.substring(token(i), 3, 2**31 - 1)))
+        total = F.aggregate(rest, score(start), lambda a, i: F.coalesce(a + score(i), a, score(i)).cast(kind))
+        alone = F.struct(F.coalesce(token(start), F.lit("")).alias("word"), score(start).alias("score"))
+        return F.when(end == start + 1, alone).otherwise(F.struct(F.array_join(parts, "").alias("word"), total.alias("score")))
+
+    return cut.select("id", F.transform("_at", word).alias("words"))
+
+
 def merge_subwords(pieces: DataFrame) -> DataFrame:
     """Join ``##`` pieces ``(id, pos, token, score)`` to the word before them, adding scores.
 
     A continuation at the very start of a text stays a word of its own.
     """
-    order = Window.partitionBy("id").orderBy("pos")
-    starts = (~F.col("token").startswith(CONTINUATION)) | (F.row_number().over(order) == 1)
-    marked = pieces.withColumn("_start", starts.cast("int"))
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumn("word_no", F.sum("_start").over(running))
-    part = F.when(F.col("_start") == 1, F.col("token")).otherwise(F.substring("token", 3, 2**31 - 1))
-    parts = F.array_sort(F.collect_list(F.struct("pos", part.alias("part"))))
-    return marked.groupBy("id", "word_no").agg(
-        F.array_join(F.transform(parts, lambda x: x["part"]), "").alias("word"),
-        F.sum("score").alias("score"),
-    )
+    lists = pieces.groupBy("id").agg(F.collect_list(F.struct("pos", "token", "score")).alias("pieces"))
+    long = subword_groups(lists).select("id", F.posexplode("words").alias("_i", "_w"))
+    return long.select("id", (F.col("_i") + 1).cast("long").alias("word_no"), "_w.word", "_w.score")
 
 
 def word_scores(model: PipelineModel, rows: DataFrame, id_col: str, text: str) -> DataFrame:
