@@ -69,3 +69,19 @@ def test_the_plan_does_not_grow_with_the_labels(spark):
 def test_without_labels(spark, rows):
     model = fit_label_bayes(spark.createDataFrame(rows, SCHEMA), "text", "tags")
     assert all(not x for x in predicted(model, table(spark, 5)).values())
+
+
+def test_a_term_is_one_row_of_the_model(spark):
+    """Terms are not repeated by label, and those of a large model are not copied for a join."""
+    df = table(spark)
+    model = fit_label_bayes(df, "text", "tags")
+    assert model.terms.count() == model.terms.select("term").distinct().count()
+    many = spark.range(10_001).select(
+        F.concat(F.lit("w"), F.col("id")).alias("term"), F.lit(-1.0).alias("lift"),
+        F.expr("array(struct('t1' as label, 2.0D as lift))").alias("own"),
+    )
+    large = LabelBayes(many, model.labels)
+    assert "_salt" not in large.margins(df, "text", "id")._jdf.queryExecution().analyzed().toString()
+    got = {(r["id"], r["label"]): (r["lift"], r["n_terms"]) for r in large.margins(df.filter("id = 0"), "text", "id").collect()}
+    n = sum(w.startswith("w") for w in df.filter("id = 0").first()["text"].split())
+    assert got == {(0, None): (-n, n), (0, "t1"): (2.0 * n, n)}

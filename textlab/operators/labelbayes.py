@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlab.functions.groups import join_on, lookup_join
+from textlab.functions.groups import join_on, lookup_join, small_table
 from textlab.functions.labels import parse_labels
 from textlab.functions.text import tokens
 from textlab.operators.labels import POS_WEIGHT_CAP
@@ -23,8 +23,8 @@ from textlab.session import written
 
 @dataclass
 class LabelBayes:
-    """``terms`` (term, label, lift; without a label the ``lift`` of all labels) and ``labels``
-    (label, prior, shift)."""
+    """``terms`` (term, the ``lift`` of all labels, and ``own``, that of each label that has the term)
+    and ``labels`` (label, prior, shift)."""
 
     terms: DataFrame
     labels: DataFrame
@@ -42,8 +42,12 @@ class LabelBayes:
         that have one of them, and, without a label, for all labels."""
         found = df.select(id_col, F.explode(tokens(F.col(text))).alias("term"))
         counts = found.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
-        met = lookup_join(counts, self.terms, ["term"])
-        return met.groupBy(id_col, "label").agg(F.sum(F.col("n") * F.col("lift")).alias("lift"), F.sum("n").alias("n_terms"))
+        # A row per term, which is met once. A text counts a term once, and the terms are a table in
+        # files, so where a term is in most of very short texts, adaptive execution splits its rows.
+        met = counts.join(small_table(self.terms), "term")
+        every = F.struct(F.lit(None).cast("string").alias("label"), F.col("lift"))
+        long = met.select(id_col, "n", F.inline(F.concat(F.array(every), F.col("own"))))
+        return long.groupBy(id_col, "label").agg(F.sum(F.col("n") * F.col("lift")).alias("lift"), F.sum("n").alias("n_terms"))
 
     def score(self, df: DataFrame, text: str, id_col: str) -> DataFrame:
         """``df`` with the sorted ``predicted`` labels, those with a margin of 0 or more.
@@ -84,12 +88,15 @@ def fit_label_bayes(train: DataFrame, text: str, label: str) -> LabelBayes:
     """
     mine = F.coalesce(F.array_distinct(parse_labels(train, label)), F.array().cast("array<string>"))
     terms = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))
-    # The entry without a label counts all rows.
-    rows = train.select(F.explode(F.concat(mine, F.array(F.lit(None).cast("string")))).alias("label"), terms.alias("terms"))
-    long = rows.select("label", F.explode("terms").alias("term"))
-    counts = written(long.groupBy("label", "term").agg(F.count(F.lit(1)).alias("n")), "label_terms")
+    # Rows with the same labels are counted together. The entry without a label counts all rows.
+    rows = train.select(F.array_sort(mine).alias("labels"), terms.alias("terms"))
+    each = F.explode(F.concat(F.col("labels"), F.array(F.lit(None).cast("string")))).alias("label")
+    alike = rows.select("labels", F.explode("terms").alias("term")).groupBy("labels", "term").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(alike.select(each, "term", "n").groupBy("label", "term").agg(F.sum("n").alias("n")), "label_terms")
     whole = counts.filter("label is null").agg(F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("terms"), F.count(F.lit(1)).alias("different")).alias("v"))
-    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("terms")).alias("n_terms"))
+    sets = rows.groupBy("labels").agg(F.count(F.lit(1)).alias("n"))
+    n_rows = sets.select(each, "n").groupBy("label").agg(F.sum("n").alias("n_rows"))
+    sizes = join_on(n_rows, counts.groupBy("label").agg(F.sum("n").alias("n_terms")), ["label"], "left").fillna(0, ["n_terms"])
     sizes = written(sizes, "label_sizes")
     n = F.coalesce(sizes.filter("label is null").select("n_rows").scalar(), F.lit(0))
     weight = F.least(F.greatest(F.col("n") - F.col("n_rows"), F.lit(1)) / F.greatest("n_rows", F.lit(1)), F.lit(POS_WEIGHT_CAP))
@@ -101,10 +108,18 @@ def fit_label_bayes(train: DataFrame, text: str, label: str) -> LabelBayes:
         (F.ln(F.col("weight") * F.col("n_rows") + 1) - F.ln(F.col("n") - F.col("n_rows") + 1)).alias("prior"),
         F.when(F.col("v.different") > 0, F.ln(outside) - F.ln(inside)).otherwise(0.0).alias("shift"),
     )
-    total = counts.filter("label is null").select("term", F.col("n").alias("total"))
-    own = counts.filter("label is not null").join(total, "term")
-    own = lookup_join(own, labels.select("label", "weight"), ["label"])
-    lift = F.ln(F.col("weight") * F.col("n") + 1) - F.ln(F.col("total") - F.col("n") + 1) + F.ln(F.col("total") + 1)
-    shared = total.select("term", F.lit(None).cast("string").alias("label"), (-F.ln(F.col("total") + 1)).alias("lift"))
-    model = LabelBayes(own.select("term", "label", lift.alias("lift")).unionByName(shared), labels.select("label", "prior", "shift"))
+    own = lookup_join(counts.filter("label is not null"), labels.select("label", "weight"), ["label"])
+    both = own.unionByName(counts.filter("label is null").withColumn("weight", F.lit(None).cast("double")))
+    # At most as many entries as there are labels.
+    of_term = both.groupBy("term").agg(
+        F.max(F.when(F.col("label").isNull(), F.col("n"))).alias("total"),
+        F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "n", "weight"))).alias("own"),
+    )
+    total = F.col("total")
+
+    def lift(x: Column) -> Column:
+        return F.struct(x["label"].alias("label"), (F.ln(x["weight"] * x["n"] + 1) - F.ln(total - x["n"] + 1) + F.ln(total + 1)).alias("lift"))
+
+    terms = of_term.select("term", (-F.ln(total + 1)).alias("lift"), F.transform("own", lift).alias("own"))
+    model = LabelBayes(terms, labels.select("label", "prior", "shift"))
     return LabelBayes(written(model.terms, "label_bayes"), written(model.labels, "label_priors"))
