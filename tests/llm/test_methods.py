@@ -821,3 +821,35 @@ def test_packing_gives_memory_back_after_each_batch(spark, monkeypatch):
     out = list(packing.pieces(Caught(), catalog.tokenizer_path(), keep_ids=False)(iter([batch, empty, batch])))
     assert len(calls) == 3 and [b.num_rows > 0 for b in out] == [True, False, True]
     assert set(out[0].column(0).to_pylist()) == {1, 2}
+
+
+def test_packing_hands_on_large_batches_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    class Caught:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, function, _):
+            return function
+
+    texts = ["one two three " * 50_000, "four", "five " * 300_000, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(texts)], ["doc_id", "text"])
+    out = list(packing.pieces(Caught(), catalog.tokenizer_path(), keep_ids=False)(iter([batch])))
+    assert len(out) > 1 and {d for b in out for d in b.column(0).to_pylist()} == {1, 2, 3, 4}
+    lengths = {d: 0 for d in (1, 2, 3, 4)}
+    for b in out:
+        for d, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            lengths[d] += n
+    assert lengths[2] == len(packing.codes(catalog.tokenizer_path()).ids("four")) // 4 + 1 and lengths[4] == 1
+
+
+def test_the_pipeline_packs_small_batches(spark, small):
+    import corpus_pipeline
+
+    before = spark.conf.get(corpus_pipeline.BATCH_ROWS)
+    try:
+        corpus_pipeline.packed_sequences(spark, spark.createDataFrame([(1, "one")], "doc_id long, text string"), small)
+        assert int(spark.conf.get(corpus_pipeline.BATCH_ROWS)) == corpus_pipeline.PACKED_ROWS
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_ROWS, before)

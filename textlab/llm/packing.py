@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.llm.common import ranked, string_or_empty
-from textlab.llm.textarrays import give_back
+from textlab.llm.textarrays import chunks, give_back
 
 GREATEST = 4096
 END_ID = 2
@@ -143,23 +143,25 @@ def pieces(df: DataFrame, tokenizer: str, keep_ids: bool = True, greatest: int =
     def cut(batches):
         known = codes(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
+        # Texts of a batch are large: their pieces leave in parts, and what is freed would stay with the worker.
         for batch in batches:
-            rows, value = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}, None
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = known.ids(value.as_py()) + end
-                total, start = len(data) // 4, 0
-                for length in lengths(total, greatest):
-                    part = data[4 * start : 4 * (start + length)]
-                    for k, v in zip(rows, (doc, start, length, zlib.crc32(part), total)):
-                        rows[k].append(v)
-                    if keep_ids:
-                        rows["ids"].append(np.frombuffer(part, "<u4"))
-                    start += length
-            out = pa.RecordBatch.from_arrays([pa.array(rows[k], kinds[k]) for k in names], names)
-            del rows, batch, value
-            yield out
-            del out
-            # Texts of a batch are large, and what is freed would stay with the worker.
+            for slice_ in list(chunks(batch, "text")) or [batch]:
+                rows, value = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}, None
+                for doc, value in zip(slice_.column(0).to_pylist(), slice_.column(1)):
+                    data = known.ids(value.as_py()) + end
+                    total, start = len(data) // 4, 0
+                    for length in lengths(total, greatest):
+                        part = data[4 * start : 4 * (start + length)]
+                        for k, v in zip(rows, (doc, start, length, zlib.crc32(part), total)):
+                            rows[k].append(v)
+                        if keep_ids:
+                            rows["ids"].append(np.frombuffer(part, "<u4"))
+                        start += length
+                out = pa.RecordBatch.from_arrays([pa.array(rows[k], kinds[k]) for k in names], names)
+                del rows, slice_, value
+                yield out
+                del out
+            del batch
             give_back()
 
     kinds = {k: pa.int64() for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")} | {"ids": pa.list_(pa.int64())}
