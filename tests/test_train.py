@@ -46,6 +46,39 @@ def test_a_failing_candidate_is_kept_with_its_error(parts):
     assert done[0].error is None and "no such model" in done[1].error
 
 
+def test_candidates_share_the_hashing_of_their_texts(parts, monkeypatch):
+    """One pass for the candidates on tokens and one for those on pairs, with the models of fits one by one."""
+    passes, plain = [], train.shared_stages
+
+    def noted(names, text):
+        passes.append(list(names))
+        return plain(names, text)
+
+    monkeypatch.setattr(train, "shared_stages", noted)
+    names = ["lr_bigram", "nb_complement", "lr_unigram", "nb_multinomial"]
+    done = train.fit_models(names, parts[0], "text", "label", CFG)
+    assert passes == [["nb_complement", "lr_unigram", "nb_multinomial"], ["lr_bigram"]]
+    assert [one.name for one in done] == names and all(one.error is None for one in done)
+    alone = train.fit_model("lr_unigram", parts[0], "text", "label", CFG)
+    a, b = (m.model.stages[-1].coefficientMatrix.toArray() for m in (done[2], alone))
+    assert a.shape == b.shape and abs(a - b).max() < 1e-6
+    told = train.predictions(done, parts[1], "text")
+    for one in done:
+        wanted = sorted(one.score(parts[1]).select("doc_id", "prediction").collect())
+        assert sorted(told.filter(F.col("model") == one.name).select("doc_id", "prediction").collect()) == wanted
+    with pytest.raises(ValueError, match="no such model"):
+        train.predictions([train.Trained("no such model", error="unknown")], parts[1], "text")
+
+
+def test_shared_candidates_keep_their_own_weights(parts):
+    cfgs = {"lr_unigram": CFG, "nb_complement": replace(CFG, use_class_weights=True)}
+    done = train.fit_models(list(cfgs), parts[0], "text", "label", cfgs)
+    for one in done:
+        alone = train.fit_model(one.name, parts[0], "text", "label", cfgs[one.name]).model.stages[-1]
+        a, b = (m.coefficientMatrix if one.name == "lr_unigram" else m.theta for m in (one.model.stages[-1], alone))
+        assert abs(a.toArray() - b.toArray()).max() < 1e-6
+
+
 def test_weights_come_from_the_training_part(parts):
     weighted = train.train_weights(parts[0], "label", replace(CFG, use_class_weights=True))
     got = {r["label"]: r["weight"] for r in weighted.select("label", "weight").distinct().collect()}
