@@ -161,3 +161,17 @@ def test_a_focal_round_begins_near_the_step_of_the_last(spark, order_table, monk
     one = train.fit_focal(order_table, "text", "label", 2.0, "lr_bigram", replace(CFG, max_iter=20))
     assert asked and all(len(a) == 2 for a in asked)
     assert all(b < a for a, b in zip(one.rounds, one.rounds[1:])) and len(one.rounds) > 1
+
+
+def test_counts_lie_evenly_whatever_the_layout(spark):
+    """A table of a long and a short file, with the validation rows in a third, has equal tasks and no idle one."""
+    def some(start, end, split):
+        text = F.concat_ws(" ", F.lit("up"), F.col("id").cast("string"))
+        return spark.range(start, end, 1, 1).select(text.alias("text"), F.lit("a").alias("label"), F.lit(split).alias("split"))
+
+    uneven = some(0, 3900, "train").union(some(3900, 4000, "train")).union(some(4000, 5000, "val"))
+    with train.Features("lr_unigram", uneven, "text", ["label", "split"]) as features:
+        for rows in ("true", "split = 'train'"):
+            sizes = [r["count"] for r in features.held.filter(rows).groupBy(F.spark_partition_id()).count().collect()]
+            assert len(sizes) == 20 and max(sizes) < 2 * min(sizes)
+    assert train.dealt_out(some(0, 200, "train")).rdd.getNumPartitions() == 1
