@@ -175,3 +175,75 @@ def test_counts_lie_evenly_whatever_the_layout(spark):
             sizes = [r["count"] for r in features.held.filter(rows).groupBy(F.spark_partition_id()).count().collect()]
             assert len(sizes) == 20 and max(sizes) < 2 * min(sizes)
     assert train.dealt_out(some(0, 200, "train")).rdd.getNumPartitions() == 1
+
+
+def test_a_held_table_has_small_batches(spark):
+    """The serializer keeps 100 batches a task, so a batch must not be as large as Spark makes it."""
+    from textlab import session
+
+    before = spark.conf.get(session.BATCH_KEY)
+    kept = session.hold(spark.range(0, 320, 1, 1).withColumn("text", F.repeat(F.lit("word "), 1000)))
+    try:
+        cached = spark._jsparkSession.sharedState().cacheManager().lookupCachedData(kept._jdf).get()
+        assert cached.cachedRepresentation().cacheBuilder().cachedColumnBuffers().count() == 320 / session.BATCH_ROWS
+        assert spark.conf.get(session.BATCH_KEY) == before and kept.count() == 320
+    finally:
+        kept.unpersist()
+
+
+def test_a_large_table_is_fitted_one_fit_at_a_time(order_table, monkeypatch):
+    """Every fit holds a copy of the counts; the models are those of fits at a time."""
+    def asked_of():
+        asked, plain = [], train.together
+
+        def noted(work, items, at_a_time=train.PARALLEL_FITS):
+            asked.append((at_a_time, len(items)))
+            return plain(work, items, at_a_time)
+
+        with monkeypatch.context() as m:
+            m.setattr(train, "together", noted)
+            done = train.fit_models(["lr_unigram", "nb_multinomial"], order_table, "text", "label", replace(CFG, use_focal_loss=True))
+        assert all(one.error is None for one in done)
+        return asked, done[0]
+
+    asked, small = asked_of()
+    assert asked[0] == (train.PARALLEL_FITS, 2) and all(n == 2 for _, n in asked)
+    monkeypatch.setattr(train, "COPIED_A_CORE", 0)
+    asked, large = asked_of()
+    assert asked[0] == (1, 2) and all(n == 1 for _, n in asked[1:])
+    a, b = (one.model.stages[-1].coefficientMatrix.toArray() for one in (small, large))
+    assert abs(a - b).max() < 1e-6 and small.rounds == pytest.approx(large.rounds)
+
+
+def _focal_rounds(spark, monkeypatch):
+    """The losses of the rounds, the model, and the number of tables held, on rows that take part of a step."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 2))
+    y = (x @ [1.5, -1.0] + rng.normal(size=300) > 0).astype(int)
+    data = spark.createDataFrame([(Vectors.dense(a.tolist()), float(b), 1.0) for a, b in zip(x, y)], ["features", "class_id", "weight"])
+    asked, kept, rounds, plain = [], [], [], train.hold
+    with monkeypatch.context() as m:
+        m.setattr(train, "hold", lambda df: kept.append(plain(df)) or kept[-1])
+        m.setattr(train, "FOCAL_STEPS", (0.5, 0.25))
+        cfg = replace(CFG, weight_decay=0.0, max_iter=50, use_focal_loss=True, exact_iterations=True, focal_rounds=4)
+        last = train.fit_estimator("lr_unigram", data, cfg, rounds)
+    return rounds, last.coefficientMatrix.toArray(), len(kept)
+
+
+def test_focal_rounds_hold_no_copies_of_the_features(spark, monkeypatch):
+    persisted = spark.sparkContext._jsc.getPersistentRDDs().size()
+    rounds, sent, n = _focal_rounds(spark, monkeypatch)
+    assert len(rounds) > 2 and n == 0
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= persisted
+    monkeypatch.setattr(train, "SENT_NUMBERS", 0)
+    again, held, n = _focal_rounds(spark, monkeypatch)
+    assert n > 0 and again == pytest.approx(rounds) and abs(sent - held).max() < 1e-6
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= persisted
+
+
+def test_partitions_of_many_rows_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(train, "MOST_ROWS_A_PART", 100)
+    monkeypatch.setattr(train, "ROWS_A_PART", 10)
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(cores * 1000)
+    assert train.dealt_out(rows).rdd.getNumPartitions() == cores * 10
