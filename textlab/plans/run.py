@@ -6,7 +6,6 @@ import datetime
 import time
 from dataclasses import replace
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from textlab.operators.fitting import race
 from textlab.operators.merge import auto_columns, merge_text, merged_name
 from textlab.operators.tracking import STEPS, run_state
 from textlab.plans import analysis, reports, rules
-from textlab.session import written
+from textlab.session import hold, written
 from textlab.sources.runs import SavedRun, save_run
 
 EVENT_SCHEMA = "run string, step string, status string, ts timestamp, error string"
@@ -74,8 +73,8 @@ def run(
         tracker.log(STEPS[i], "running")
 
     def keep(frame: DataFrame) -> DataFrame:
-        held.append(frame.persist(StorageLevel.MEMORY_AND_DISK))
-        return frame
+        held.append(hold(frame))
+        return held[-1]
 
     try:
         step(0)
