@@ -247,3 +247,27 @@ def test_partitions_of_many_rows_have_a_bound(spark, monkeypatch):
     cores = spark.sparkContext.defaultParallelism
     rows = spark.range(cores * 1000)
     assert train.dealt_out(rows).rdd.getNumPartitions() == cores * 10
+
+
+def test_a_word_and_its_pair_are_hashed_in_one_call(spark, order_table):
+    """A call of the hashing for each place; the weights are those of each term hashed alone, also where buckets clash."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import HashingTF, NGram
+    from textlab.operators import contributions
+
+    one = train.fit_model("lr_bigram", order_table, "text", "label", CFG).model
+    places = contributions.places(one, order_table.filter("doc_id < 3"), "doc_id")
+    assert places.count() == 12 and places.filter("next is null").count() == 3
+    few = HashingTF(inputCol="terms", outputCol="counts", numFeatures=3)
+    model = PipelineModel(stages=[NGram(n=2, inputCol="tokens", outputCol="pairs"), few])
+    weights = np.array([[1.0, 10.0, 100.0], [2.0, 20.0, 200.0]])
+    words = ["up", "down", "été", "ß", "東京", "x", "abcd", "abcde"]
+    rows = [(i, i % 2, a, b) for i, (a, b) in enumerate((a, b) for a in words for b in [*words, None])]
+    found = spark.createDataFrame(rows, "doc_id long, class_id int, word string, next string")
+    got, clashes = {r["doc_id"]: r for r in contributions.place_shares(model, found, "doc_id", weights).collect()}, 0
+    assert len(got) == len(rows)
+    for i, at, a, b in rows:
+        own, pair = few.indexOf(a), None if b is None else few.indexOf(f"{a} {b}")
+        clashes += own == pair
+        assert got[i]["own"] == weights[at][own] and got[i]["pair"] == (0.0 if b is None else weights[at][pair])
+    assert clashes
